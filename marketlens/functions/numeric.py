@@ -27,9 +27,10 @@ def round_half_even(col, digits: int = 0) -> Column:
     alone rounds the shortest decimal form of the double, which differs on
     values such as 9099.825.) NULL stays NULL."""
     if digits == 0:
-        return F.bround(_c(col), 0)
+        return F.bround(_c(col), 0) + F.lit(0.0)
     scale = float(10 ** digits)
-    return F.bround(_c(col) * F.lit(scale), 0) / F.lit(scale)
+    # "+ 0.0" turns a rounded negative zero into zero.
+    return F.bround(_c(col) * F.lit(scale), 0) / F.lit(scale) + F.lit(0.0)
 
 
 def salary_midpoint(lo, hi) -> Column:

@@ -27,9 +27,9 @@ def period(expr: str, freq: str) -> str:
 def rnd(expr: str, digits: int = 0) -> str:
     """Half-even rounding with numpy semantics (see functions.numeric)."""
     if digits == 0:
-        return f"round_even(CAST({expr} AS DOUBLE), 0)"
+        return f"(round_even(CAST({expr} AS DOUBLE), 0) + 0.0)"
     scale = float(10 ** digits)
-    return f"(round_even(CAST({expr} AS DOUBLE) * {scale}, 0) / {scale})"
+    return f"(round_even(CAST({expr} AS DOUBLE) * {scale}, 0) / {scale} + 0.0)"
 
 
 def finite(expr: str) -> str:
@@ -82,3 +82,43 @@ def with_(*ctes: str) -> str:
 
 
 BASE = (POSTINGS, FRAME, SKILLS, LINKS)
+
+
+def series_stats(src: str, keys: list[str], value: str = "value", period_col: str = "period_start",
+                 windows=(3, 6, 12), ma_digits: int | None = None) -> str:
+    """SQL twin of ``operators.series.series_stats`` (a full SELECT)."""
+    k = ", ".join(keys)
+    part = f"PARTITION BY {k}"
+    ma = []
+    for w in windows:
+        e = f"CASE WHEN count(*) >= {w} THEN avg(CASE WHEN _rd <= {w} THEN _v END) END"
+        ma.append(f"{rnd(e, ma_digits) if ma_digits is not None else e} AS ma_{w}")
+    return f"""SELECT {k}, latest, n_periods, {', '.join('ma_%d' % w for w in windows)},
+  CASE WHEN n_periods > 1 AND _prev IS NOT NULL AND latest IS NOT NULL AND _prev <> 0
+       THEN {rnd('100.0 * (latest - _prev) / _prev', 2)} END AS growth_rate_pct,
+  CASE WHEN _m >= 2 THEN {rnd('_slope', 4)} END AS slope,
+  CASE WHEN _m >= 2 THEN {rnd('_icpt', 4)} END AS intercept,
+  CASE WHEN _m < 2 THEN 'unknown' WHEN _slope > 0.05 THEN 'up' WHEN _slope < -0.05 THEN 'down' ELSE 'flat' END AS direction,
+  CASE WHEN _m >= 2 THEN {rnd('_r2', 4)} END AS r2
+FROM (
+  SELECT {k}, count(*) AS n_periods, max(CASE WHEN _rd = 1 THEN _v END) AS latest,
+         max(CASE WHEN _rd = 2 THEN _v END) AS _prev, count(_v) AS _m,
+         regr_slope(_v, _x) AS _slope, regr_intercept(_v, _x) AS _icpt, regr_r2(_v, _x) AS _r2,
+         {', '.join(ma)}
+  FROM (
+    SELECT {k}, {period_col} AS _p, {finite(value)} AS _v,
+           row_number() OVER ({part} ORDER BY {period_col} DESC) AS _rd,
+           CASE WHEN {finite(value)} IS NOT NULL THEN CAST(count({finite(value)}) OVER ({part} ORDER BY {period_col} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS DOUBLE) END AS _x
+    FROM {src}) z
+  GROUP BY {k}) g"""
+
+
+def last_periods(src: str, n: int, name: str) -> str:
+    """CTE: rows of ``src`` in its last ``n`` distinct periods."""
+    return f"""{name} AS (SELECT * FROM {src} WHERE period_start IN
+  (SELECT period_start FROM (SELECT DISTINCT period_start FROM {src}) ORDER BY period_start DESC LIMIT {n}))"""
+
+
+def top_keys(src: str, key: str, k: int, name: str) -> str:
+    return f"""{name} AS (SELECT {key} FROM {src} GROUP BY {key}
+  ORDER BY sum(posting_count) DESC, {key} ASC LIMIT {k})"""
