@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketlens.plans import queries, queries_series  # noqa: F401
+from marketlens.plans import queries, queries_forecast, queries_series  # noqa: F401
 from marketlens.plans.registry import ORACLE, QUERIES
 
 
