@@ -18,16 +18,26 @@ TOP_K = 15
 MA_DIGITS = 6
 
 
+def series_frames(spark, d):
+    """The monthly and weekly role and skill series, each pair from one pass
+    (D8 roll-up: one scan of the postings, one link join). These frames are
+    aggregates (periods x keys), so they are persisted for reuse."""
+    f = frame(spark, d)
+    roles = periods.role_rollup(f, ("M", "W-MON")).persist()
+    skills = periods.skill_rollup(b.links(spark, d), f, b.skills(spark, d), ("M", "W-MON")).persist()
+    pick = lambda df, g: df.where(F.col("granularity") == g).drop("granularity")
+    return pick(roles, "M"), pick(roles, "W-MON"), pick(skills, "M"), pick(skills, "W-MON")
+
+
 def windowed(spark, d, window=WINDOW):
     """The four sliced series frames of a run (E1, E2) and both shortlists."""
-    f = frame(spark, d)
-    lk, sk = b.links(spark, d), b.skills(spark, d)
-    mr = periods.last_periods(periods.role_series(f, "M"), window)
-    wr = periods.last_periods(periods.role_series(f, "W-MON"), periods.weekly_window(window))
-    ms = periods.last_periods(periods.skill_series(lk, f, sk, "M"), window)
-    ws = periods.last_periods(periods.skill_series(lk, f, sk, "W-MON"), periods.weekly_window(window))
-    role_keys = periods.rank_top_keys(mr, "role_title_en", "posting_count", TOP_K)
-    skill_keys = periods.rank_top_keys(ms, "display_name_en", "posting_count", TOP_K)
+    mr_all, wr_all, ms_all, ws_all = series_frames(spark, d)
+    mr = periods.last_periods(mr_all, window).persist()
+    wr = periods.last_periods(wr_all, periods.weekly_window(window)).persist()
+    ms = periods.last_periods(ms_all, window).persist()
+    ws = periods.last_periods(ws_all, periods.weekly_window(window)).persist()
+    role_keys = periods.rank_top_keys(mr, "role_title_en", "posting_count", TOP_K).persist()
+    skill_keys = periods.rank_top_keys(ms, "display_name_en", "posting_count", TOP_K).persist()
     return dict(monthly_roles=mr, weekly_roles=wr, monthly_skills=ms, weekly_skills=ws,
                 role_keys=role_keys, skill_keys=skill_keys)
 
