@@ -40,4 +40,4 @@ def future_month_starts(last_month, horizon: int) -> Column:
 
 def iso_date_prefix(col) -> Column:
     """A date from the first ten characters of a text or date value."""
-    return F.try_to_date(F.substring(_c(col).cast("string"), 1, 10), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.substring(_c(col).cast("string"), 1, 10), "yyyy-MM-dd")

@@ -66,3 +66,101 @@ def company_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer table (one row per customer crosses the join, not one per order)."""
     per_key = postings(spark, sf_dir).groupBy("company_id").agg(F.count(F.lit(1)).alias("n"))
     return per_key.join(companies(spark, sf_dir), "company_id").select("company_name", "n")
+
+
+# ------------------------------------------------------------------ ingest side
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def stored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store of earlier postings: the benchmark passages, fingerprinted."""
+    from marketlens.functions.text import fingerprint
+
+    b = read_table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").alias("id"), fingerprint("text").alias("content_hash"))
+
+
+# Market segment -> currency text of the bound payloads.
+CURRENCY_BY_SEGMENT = {"BUILDING": " eur ", "AUTOMOBILE": "euro", "MACHINERY": "usd"}
+
+
+def payload_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed extraction fields per order (orders, customer, lineitem, part):
+    the skill lists come from the order's parts in line order. Status 'P'
+    orders state a minimum above the maximum, customers with a negative
+    balance a negative minimum, parts of size < 3 a blank English label."""
+    o = read_table(spark, sf_dir, "orders")
+    c = read_table(spark, sf_dir, "customer")
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    lines = li.join(p, li.l_partkey == p.p_partkey).groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_name", F.when(F.col("p_size") >= 3, F.col("p_brand")).otherwise(F.lit("")).alias("en")))).alias("ls"))
+    seg = F.coalesce(*[F.when(F.col("c_mktsegment") == k, F.lit(v)) for k, v in CURRENCY_BY_SEGMENT.items()])
+    work = F.coalesce(*[F.when(F.col("o_orderstatus") == k, F.lit(v)) for k, v in WORK_TYPE_BY_STATUS.items()], F.lit("unknown"))
+    is_p = F.col("o_orderstatus") == "P"
+    j = o.join(c, o.o_custkey == c.c_custkey).join(lines, o.o_orderkey == lines.l_orderkey, "left")
+    return j.select(
+        F.col("o_orderkey").alias("payload_id"),
+        F.col("c_name").alias("company_name"),
+        F.col("o_orderpriority").alias("role_title"),
+        F.when(F.col("o_orderstatus") == "F", F.lower("o_orderpriority")).when(is_p, F.lit("   ")).alias("role_title_en"),
+        F.when(F.col("c_acctbal") < 0, F.lit(-1.0)).when(is_p, F.col("o_totalprice") / 8.0).otherwise(F.col("o_totalprice") / 10.0).alias("salary_min"),
+        F.when(is_p, F.col("o_totalprice") / 10.0).otherwise(F.col("o_totalprice") / 8.0).alias("salary_max"),
+        seg.alias("salary_currency"),
+        work.alias("work_type"),
+        (F.col("c_acctbal") > 5000).alias("has_nondiscrimination_disclaimer"),
+        F.coalesce(F.transform("ls", lambda r: r["p_name"]), F.array().cast("array<string>")).alias("skills"),
+        F.coalesce(F.transform("ls", lambda r: r["en"]), F.array().cast("array<string>")).alias("skills_en"),
+    )
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction payloads as JSON texts (what an extractor would return)."""
+    f = payload_fields(spark, sf_dir)
+    return f.select("payload_id", F.to_json(F.struct(*[c for c in f.columns if c != "payload_id"])).alias("payload"))
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction attempts from ``events``: posting = user, order = event id,
+    purchases are fallback-tier attempts; views and purchases succeed, errors
+    fail with a category by value, signups fail validation, clicks fail with
+    an API error; payload = props."""
+    e = read_table(spark, sf_dir, "events")
+    et, v = F.col("event_type"), F.col("value")
+    cat = (
+        F.when(et == "error", F.when(v < 10, F.lit("rate_limit")).when(v < 30, F.lit("parse_error"))
+               .when(v < 60, F.lit("timeout")).otherwise(F.lit("validation_failure")))
+        .when(et == "signup", F.lit("validation_failure"))
+        .when(et == "click", F.lit("api_error"))
+    )
+    return e.select(
+        F.col("user_id").alias("posting_id"), F.col("event_id").alias("attempt"), F.col("ts"),
+        F.when(et == "purchase", F.lit("fallback")).otherwise(F.lit("primary")).alias("tier"),
+        et.isin("view", "purchase").alias("succeeded"),
+        cat.alias("error_category"),
+        F.col("props").alias("payload"),
+        et.alias("model"),
+        F.concat(F.coalesce(cat, F.lit("ok")), F.lit(" after "), F.format_number(v, 2), F.lit(" ms")).alias("message"),
+        (v * 100).alias("latency_ms"),
+        F.when(et == "purchase", F.lit("ollama")).otherwise(F.lit("openrouter")).alias("provider"),
+        F.sha2(F.col("props"), 256).alias("content_hash"),
+        F.length("props").alias("posting_chars"),
+    )
+
+
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat responses from ``conversations``: assistant turns return a fenced
+    JSON object, system turns a JSON array, user turns plain prose; usage
+    counts from the text length and turn."""
+    cv = read_table(spark, sf_dir, "conversations")
+    role = F.col("role")
+    content = (
+        F.when(role == "assistant", F.concat(F.lit("```json\n"), F.to_json(F.struct(F.substring("text", 1, 40).alias("role_title"))), F.lit("\n```")))
+        .when(role == "system", F.to_json(F.array("text")))
+        .otherwise(F.col("text"))
+    )
+    usage = F.struct(F.length("text").alias("prompt_tokens"), F.col("turn").alias("completion_tokens"),
+                     (F.length("text") + F.col("turn")).alias("total_tokens"))
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices"), usage.alias("usage")))
+    return cv.select("conv_id", "turn", "role", "text", body.alias("body"))
