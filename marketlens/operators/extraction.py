@@ -274,11 +274,12 @@ def first_usable_attempt(attempts: DataFrame, *, key_col: str = "posting_id", or
     prior = w.rowsBetween(Window.unboundedPreceding, -1)
     a = attempts.select(
         key_col, order_col, tier_col, ok_col, category_col, payload_col, model_col, message_col,
-        F.coalesce(F.max(F.when(barrier, F.col(order_col))).over(prior), F.lit(None)).alias("_barrier_at"),
+        F.max(F.when(barrier, F.col(order_col))).over(prior).alias("_barrier_at"),
         F.first(F.when(barrier, F.col(category_col)), ignorenulls=True).over(prior).alias("_barrier_cat"),
-        F.coalesce(F.max(F.col(ok_col).cast("int")).over(prior), F.lit(0)).alias("_done_before"),
     )
     eligible = ~primary | F.col("_barrier_at").isNull()
+    # a success ends the chain only if that attempt was eligible
+    a = a.withColumn("_done_before", F.coalesce(F.max((eligible & F.col(ok_col)).cast("int")).over(prior), F.lit(0)))
     tried = eligible & (F.col("_done_before") == 0)
     skipped = primary & F.col("_barrier_at").isNotNull() & (F.col("_done_before") == 0)
     entry = (

@@ -165,12 +165,15 @@ b AS (
     max(CASE WHEN tier = 'primary' AND NOT ok AND cat IN ('rate_limit', 'parse_error', 'timeout') THEN attempt END)
       OVER (PARTITION BY posting_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS barrier_at,
     first(CASE WHEN tier = 'primary' AND NOT ok AND cat IN ('rate_limit', 'parse_error', 'timeout') THEN cat END IGNORE NULLS)
-      OVER (PARTITION BY posting_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS barrier_cat,
-    coalesce(max(CAST(ok AS INTEGER)) OVER (PARTITION BY posting_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done_before
-  FROM a),
+      OVER (PARTITION BY posting_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS barrier_cat
+    FROM a),
+b2 AS (
+  SELECT *, coalesce(max(CAST((tier <> 'primary' OR barrier_at IS NULL) AND ok AS INTEGER))
+      OVER (PARTITION BY posting_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done_before
+  FROM b),
 c AS (
   SELECT *, (tier <> 'primary' OR barrier_at IS NULL) AND done_before = 0 AS tried,
-    tier = 'primary' AND barrier_at IS NOT NULL AND done_before = 0 AS skipped FROM b)
+    tier = 'primary' AND barrier_at IS NOT NULL AND done_before = 0 AS skipped FROM b2)
 """
 
 
