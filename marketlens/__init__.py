@@ -12,3 +12,14 @@ parameters. Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+# Python workers (pandas UDFs, mapInPandas, applyInPandas) receive this
+# package's functions by value, so executors do not need it installed.
+try:  # pragma: no cover - depends on the pyspark build
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
