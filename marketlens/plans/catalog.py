@@ -15,4 +15,4 @@ def all_oracle():
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["top_roles"](spark, sf_dir)
+    return QUERIES["baseline_report"](spark, sf_dir)
