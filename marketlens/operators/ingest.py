@@ -56,8 +56,10 @@ def ingest_batch(batch: DataFrame, store: DataFrame | None, *, id_col: str, text
     status is created / duplicate_in_batch / existing / rejected and
     posting_ref the id of the posting the text resolves to (the stored id, or
     the first batch id for created and in-batch duplicates)."""
-    # only ids and fingerprints cross the shuffles, never the texts
-    admitted = admit_texts(batch.select(id_col, text_col), text_col, max_chars).select(id_col, "content_hash", "reject_reason")
+    # Only ids and fingerprints cross the shuffles, never the texts; the
+    # narrow frame is kept so each text is read and hashed once.
+    admitted = admit_texts(batch.select(id_col, text_col), text_col, max_chars).select(
+        id_col, "content_hash", "reject_reason").persist()
     firsts = first_per_hash(admitted, id_col)
     out = admitted.join(firsts.select("content_hash", F.col("first_" + id_col).alias("_first")), "content_hash", "left")
     if store is not None:

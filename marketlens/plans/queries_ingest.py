@@ -138,7 +138,26 @@ def q_skill_upsert(spark, d):
 
 
 # ------------------------------------------------------------------ H5 glossary merge
-@query("glossary_merge")
+_GLOSSARY_SQL = _PAYLOAD_SQL + f"""
+, g0 AS (SELECT lower(trim(p_name, {WS})) AS key, arg_max(trim(p_name, {WS}), p_partkey) AS original,
+                arg_max(trim(replace(p_name, ' ', '-'), {WS}), p_partkey) AS english, max(p_partkey) AS seq
+         FROM part GROUP BY 1),
+acc AS (SELECT payload_id FROM v WHERE reason IS NULL),
+pr AS (SELECT l.l_orderkey * 100 + row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey) AS seq,
+              trim(p.p_name, {WS}) AS original, trim(p.p_brand, {WS}) AS english
+       FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey WHERE l.l_orderkey IN (SELECT payload_id FROM acc)),
+st AS (SELECT key, original, english, -1 AS seq, true AS is_old FROM g0 WHERE lower(original) <> lower(english)
+       UNION ALL SELECT lower(original), original, english, seq, false FROM pr
+       WHERE original <> '' AND english <> '' AND lower(original) <> lower(english)),
+ch AS (SELECT *, NOT is_old AND (prev IS NULL OR prev <> lower(english)) AS chg FROM
+       (SELECT *, lag(lower(english)) OVER (PARTITION BY key ORDER BY seq) AS prev FROM st))
+SELECT key, arg_min(original, seq) AS original,
+       coalesce(arg_max(english, seq) FILTER (WHERE chg), arg_max(english, seq) FILTER (WHERE is_old)) AS english,
+       max(seq) AS seq
+FROM ch GROUP BY key"""
+
+
+@query("glossary_merge", _GLOSSARY_SQL)
 def q_glossary_merge(spark, d):
     v = accepted_payloads(spark, d)
     pairs = glossary.candidate_pairs(v.withColumnRenamed("payload_id", "id"))
@@ -269,7 +288,18 @@ def q_result_preview(spark, d):
     return store.list_results(_run_results(spark, d), 1).drop("metrics")
 
 
-@query("run_report")
+def _fmt(v: str, t: str) -> str:
+    whole = f"CAST(CAST(round_even({v}, 0) AS BIGINT) AS VARCHAR)"
+    return (f"CASE WHEN {v} IS NULL THEN '—' WHEN contains(coalesce({t}, ''), 'salary') THEN {whole} "
+            f"WHEN abs({v} - round_even({v}, 0)) < 1e-6 THEN {whole} ELSE printf('%.2f', {S.rnd(v, 2)}) END")
+
+
+@query("run_report", _arima_sql(HORIZON, f""", stored AS ({_STORED})
+SELECT 'database' AS report, model_name,
+  row_number() OVER (PARTITION BY model_name ORDER BY predicted_value DESC NULLS LAST, horizon_months, target_type, target_key) AS row_in_model,
+  target_type AS type, target_key AS target, CAST(horizon_months AS VARCHAR) AS horizon,
+  coalesce(CAST(period_start AS VARCHAR), '—') AS period, {_fmt('predicted_value', 'target_type')} AS value
+FROM stored"""))
 def q_run_report(spark, d):
     return store.report_table(_run_results(spark, d), "database")
 
