@@ -88,6 +88,53 @@ fc AS (SELECT {GK}, last_month, n_fit, k,
 {select}""")
 
 
+def _det3(m):
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"(({a}) * (({e}) * ({i}) - ({f}) * ({h})) - ({b}) * (({d}) * ({i}) - ({f}) * ({g})) + ({c}) * (({d}) * ({h}) - ({e}) * ({g})))"
+
+
+def _sarima_sql(horizon: int) -> str:
+    """SQL twin of the seasonal model: stage 2 with d(t-12) (3x3 Cramer),
+    ARIMA fallback under 24 months or a singular system, forecast in closed
+    form: d_i = phi^(i-1) (phi d_n + theta e_n) + Phi sum_j phi^(i-j) h_j."""
+    A = [["s11", "s12", "s13"], ["s12", "s22", "s23"], ["s13", "s23", "s33"]]
+    B = ["r1", "r2", "r3"]
+    det = _det3(A)
+
+    def col(j):
+        return [[B[r] if c == j else A[r][c] for c in range(3)] for r in range(3)]
+
+    x = [f"({_det3(col(j))}) / ({det})" for j in range(3)]
+    m3 = "e1 IS NOT NULL AND d12 IS NOT NULL"
+    sums3 = ", ".join(f"coalesce(sum(CASE WHEN {m3} THEN {a} * {b} END), 0) AS {nm}" for nm, a, b in (
+        ("s11", "d1", "d1"), ("s12", "d1", "e1"), ("s13", "d1", "d12"), ("s22", "e1", "e1"), ("s23", "e1", "d12"),
+        ("s33", "d12", "d12"), ("r1", "d1", "d"), ("r2", "e1", "d"), ("r3", "d12", "d")))
+    base = _arima_sql(horizon, "SELECT 1")
+    base = base.replace("s2 AS (SELECT *, lag(d, 1) OVER", f"s2 AS (SELECT *, lag(d, 12) OVER ({W_}) AS d12, lag(d, 1) OVER")
+    base = base.replace("   max(n_fit) AS n_fit, max(hold) AS hold\n   FROM s4 GROUP BY", f"   max(n_fit) AS n_fit, max(hold) AS hold, {sums3}\n   FROM s4 GROUP BY")
+    use3 = f"(n_fit >= 24 AND abs({det}) > 1e-12)"
+    base = base.replace(
+        "   FROM st2),\nfc AS",
+        f"   FROM st2),\nest3 AS (SELECT *, CASE WHEN {use3} THEN greatest(-0.99, least(0.99, {x[0]})) ELSE phi END AS phi3,"
+        f" CASE WHEN {use3} THEN {x[1]} ELSE theta END AS theta3,"
+        f" CASE WHEN {use3} THEN greatest(-0.99, least(0.99, {x[2]})) ELSE 0.0 END AS sphi FROM est),\n"
+        "hist AS (SELECT s1.target_type, s1.target_key, s1.fit, s1.t - (e.n_fit - 13) AS j, s1.d AS h FROM s1 JOIN est3 e"
+        " USING (target_type, target_key, fit) WHERE s1.t >= e.n_fit - 12),\n"
+        "steps AS (SELECT *, unnest(generate_series(1, CASE WHEN fit = 'full' THEN " + str(horizon) + " ELSE hold END)) AS i FROM est3),\n"
+        "dh AS (SELECT st.target_type, st.target_key, st.fit, st.i,"
+        " pow(st.phi3, st.i - 1) * (st.phi3 * coalesce(st.d_last, 0) + st.theta3 * coalesce(st.e_last, 0))"
+        " + st.sphi * coalesce((SELECT sum(pow(st.phi3, st.i - h.j) * h.h) FROM hist h WHERE h.target_type = st.target_type"
+        " AND h.target_key = st.target_key AND h.fit = st.fit AND h.j <= st.i), 0) AS dh FROM steps st),\n"
+        "fc_old AS")
+    base = base.replace("FROM (SELECT *, unnest(generate_series(1, CASE WHEN fit = 'full' THEN " + str(horizon) + " ELSE hold END)) AS k FROM est))",
+                        "FROM (SELECT *, unnest(generate_series(1, CASE WHEN fit = 'full' THEN " + str(horizon) + " ELSE hold END)) AS k FROM est)),\n"
+                        "fc AS (SELECT e.target_type, e.target_key, e.fit, e.last_month, e.n_fit, k.i AS k,"
+                        " e.y_last + (SELECT sum(x.dh) FROM dh x WHERE x.target_type = e.target_type AND x.target_key = e.target_key"
+                        " AND x.fit = e.fit AND x.i <= k.i) AS yhat FROM est3 e JOIN dh k USING (target_type, target_key, fit))")
+    base = base.replace("\nSELECT 1", "\n" + _ARIMA_POINTS.replace("'arima' AS model_name", "'sarima' AS model_name"))
+    return base
+
+
 _ARIMA_POINTS = f"""SELECT 'arima' AS model_name, target_type, target_key, CAST(k AS INTEGER) AS horizon_months,
   CAST(last_month + to_months(CAST(k AS INTEGER)) AS DATE) AS period_start,
   CASE WHEN target_type = 'salary_role' THEN round_even({S.rnd('greatest(0.0, yhat)', 4)}, 0) + 0.0 ELSE {S.rnd('greatest(0.0, yhat)', 4)} END AS predicted_value
@@ -133,7 +180,7 @@ for _m in ("sarima", "prophet", "rf", "hgb"):
     def _points(spark, d, _m=_m):
         return forecast.forecaster(_m)(targets(spark, d), HORIZON).points
 
-    query(f"forecast_{_m}")(_points)
+    query(f"forecast_{_m}", _sarima_sql(HORIZON) if _m == "sarima" else None)(_points)
 
 
 def _run(spark, d):
