@@ -159,6 +159,22 @@ def last_periods(df: DataFrame, n: int, period_col: str = "period_start") -> Dat
     return df.join(F.broadcast(keep), period_col, "left_semi")
 
 
+def last_periods_by(df: DataFrame, n_by_group: dict, group_col: str = "granularity",
+                    period_col: str = "period_start") -> DataFrame:
+    """E1 for a frame holding several granularities: per group, the rows of
+    its last ``n`` distinct periods (n <= 0 keeps the group whole). The
+    ranking runs over the distinct-period calendar, which is bounded by the
+    time span (not by the data); the kept list is bounded by sum(n) and is
+    broadcast into one semi-join."""
+    from pyspark.sql import Window
+
+    cal = df.select(group_col, period_col).distinct()
+    rank = F.row_number().over(Window.partitionBy(group_col).orderBy(F.desc(period_col)))
+    limit = F.coalesce(*[F.when(F.col(group_col) == g, F.lit(int(n) if n > 0 else 2**31 - 1)) for g, n in n_by_group.items()])
+    keep = cal.where(F.col(group_col).isin(*n_by_group)).withColumn("_r", rank).where(F.col("_r") <= limit)
+    return df.join(F.broadcast(keep.select(group_col, period_col)), [group_col, period_col], "left_semi")
+
+
 def weekly_window(months: int) -> int:
     """Weekly training window in periods, 5 x months capped at 200."""
     return min(int(months) * 5, 200)
