@@ -8,7 +8,7 @@ rejects the row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.numeric import SALARY_SOFT_MAX, salary_reason
@@ -265,35 +265,43 @@ def first_usable_attempt(attempts: DataFrame, *, key_col: str = "posting_id", or
     Primary attempts run in order until one succeeds; a failure whose category
     is rate_limit / parse_error / timeout stops the remaining primary
     attempts (validation failures do not). Fallback attempts stay eligible.
-    Output: key, payload (NULL when exhausted), used_attempt, tried (primary
-    attempts made), detail ('model: message' entries plus 'model: skipped
-    after <category>')."""
-    w = Window.partitionBy(key_col).orderBy(order_col)
-    primary = F.col(tier_col) == "primary"
-    barrier = primary & ~F.col(ok_col) & F.col(category_col).isin(*BARRIER_CATEGORIES)
-    prior = w.rowsBetween(Window.unboundedPreceding, -1)
+
+    Built from grouped minima (partial aggregation before the shuffle, so a
+    posting with a huge number of attempts is reduced map-side) joined back
+    by key; no per-posting window. Output: key, payload (NULL when
+    exhausted), used_attempt, tried (primary attempts made), skipped, detail
+    ('model: message' entries plus 'model: skipped after <category>', only
+    for exhausted chains)."""
     a = attempts.select(
-        key_col, order_col, tier_col, ok_col, category_col, payload_col, model_col, message_col,
-        F.max(F.when(barrier, F.col(order_col))).over(prior).alias("_barrier_at"),
-        F.first(F.when(barrier, F.col(category_col)), ignorenulls=True).over(prior).alias("_barrier_cat"),
-    )
-    eligible = ~primary | F.col("_barrier_at").isNull()
-    # a success ends the chain only if that attempt was eligible
-    a = a.withColumn("_done_before", F.coalesce(F.max((eligible & F.col(ok_col)).cast("int")).over(prior), F.lit(0)))
-    tried = eligible & (F.col("_done_before") == 0)
-    skipped = primary & F.col("_barrier_at").isNotNull() & (F.col("_done_before") == 0)
+        F.col(key_col).alias("_k"), F.col(order_col).alias("_o"), (F.col(tier_col) == "primary").alias("_primary"),
+        F.col(ok_col).alias("_ok"), F.col(category_col).alias("_cat"), F.col(payload_col).alias("_payload"),
+        F.col(model_col).alias("_model"), F.col(message_col).alias("_msg"))
+    barrier = F.col("_primary") & ~F.col("_ok") & F.col("_cat").isin(*BARRIER_CATEGORIES)
+    first_barrier = a.groupBy("_k").agg(
+        F.min_by(F.struct(F.col("_o").alias("at"), F.col("_cat").alias("cat")), F.when(barrier, F.col("_o"))).alias("_b"))
+    a = a.join(first_barrier, "_k")
+    eligible = ~F.col("_primary") | F.col("_b.at").isNull() | (F.col("_o") <= F.col("_b.at"))
+    a = a.withColumn("_eligible", eligible)
+    first_ok = a.groupBy("_k").agg(F.min(F.when(F.col("_eligible") & F.col("_ok"), F.col("_o"))).alias("_used"))
+    a = a.join(first_ok, "_k")
+    before_end = F.col("_used").isNull() | (F.col("_o") <= F.col("_used"))
+    tried = F.col("_eligible") & before_end
+    skipped = ~F.col("_eligible") & before_end
+    exhausted = F.col("_used").isNull()
     entry = (
-        F.when(tried & ~F.col(ok_col), F.concat_ws(": ", F.col(model_col), F.coalesce(F.col(message_col), F.lit(""))))
-        .when(skipped, F.concat(F.col(model_col), F.lit(": skipped after "), F.col("_barrier_cat")))
+        F.when(exhausted & tried & ~F.col("_ok"), F.concat_ws(": ", F.col("_model"), F.coalesce(F.col("_msg"), F.lit(""))))
+        .when(exhausted & skipped, F.concat(F.col("_model"), F.lit(": skipped after "), F.col("_b.cat")))
     )
-    g = a.groupBy(key_col).agg(
-        F.min_by(F.col(payload_col), F.when(tried & F.col(ok_col), F.col(order_col))).alias("payload"),
-        F.min(F.when(tried & F.col(ok_col), F.col(order_col))).alias("used_attempt"),
-        F.count(F.when(tried & primary, F.lit(1))).alias("tried"),
-        F.array_sort(F.collect_list(F.when(entry.isNotNull(), F.struct(F.col(order_col).alias("o"), entry.alias("e"))))).alias("_entries"),
+    g = a.groupBy("_k").agg(
+        F.max("_used").alias("used_attempt"),
+        F.min_by(F.col("_payload"), F.when(F.col("_o") == F.col("_used"), F.col("_o"))).alias("payload"),
+        F.count(F.when(tried & F.col("_primary"), F.lit(1))).alias("tried"),
+        F.count(F.when(skipped, F.lit(1))).alias("skipped"),
+        # the chain's entries (a chain is one posting's configured model list)
+        F.array_sort(F.collect_list(F.when(entry.isNotNull(), F.struct(F.col("_o").alias("o"), entry.alias("e"))))).alias("_entries"),
     )
     return g.select(
-        key_col, "payload", "used_attempt", "tried",
+        F.col("_k").alias(key_col), "payload", "used_attempt", "tried", "skipped",
         F.when(F.col("used_attempt").isNull(), F.concat_ws("; ", F.transform("_entries", lambda r: r["e"]))).alias("detail"),
     )
 

@@ -74,16 +74,24 @@ def merge(existing: DataFrame, pairs: DataFrame, seq_col: str = "seq") -> tuple[
     old = existing.where(~is_identity_pair("original", "english")).select(
         "key", "original", "english", F.lit(-1).cast("long").alias(seq_col), F.lit(True).alias("_old"))
     stream = old.unionByName(p.select("key", "original", "english", F.col(seq_col).cast("long"), F.lit(False).alias("_old")))
+    stream = stream.withColumn("_n", normalize_key("english"))
+    # Merged table from grouped aggregates (partial aggregation, no per-key
+    # ordering): the final English is the first row of the key's last run of
+    # equal normalised English values; a run that starts with the stored row
+    # is no change.
+    last = stream.groupBy("key").agg(F.max_by("_n", seq_col).alias("_last_n"),
+                                     F.min_by("original", seq_col).alias("original"),
+                                     F.max(seq_col).alias(seq_col))
+    s2 = stream.join(last.select("key", "_last_n"), "key")
+    cut = s2.groupBy("key").agg(F.max(F.when(F.col("_n") != F.col("_last_n"), F.col(seq_col))).alias("_cut"))
+    s3 = s2.join(cut, "key").where(F.col("_cut").isNull() | (F.col(seq_col) > F.col("_cut")))
+    run_first = s3.groupBy("key").agg(F.min_by("english", seq_col).alias("english"))
+    merged = last.join(run_first, "key").select("key", "original", "english", seq_col)
+    # Audit rows: one per changing pair, in sequence order within the key.
     w = Window.partitionBy("key").orderBy(seq_col)
-    prev = F.lag(normalize_key("english")).over(w)
-    stream = stream.withColumn("_change", ~F.col("_old") & (prev.isNull() | (prev != normalize_key("english"))))
+    prev = F.lag("_n").over(w)
+    stream = stream.withColumn("_change", ~F.col("_old") & (prev.isNull() | (prev != F.col("_n"))))
     stream = stream.withColumn("_is_new_key", ~F.col("_old") & prev.isNull())
-    merged = stream.groupBy("key").agg(
-        F.min_by("original", seq_col).alias("original"),
-        F.coalesce(F.max_by("english", F.when(F.col("_change"), F.col(seq_col))),
-                   F.max_by("english", F.when(F.col("_old"), F.col(seq_col)))).alias("english"),
-        F.max(seq_col).alias(seq_col),
-    )
     actions = stream.where("_change").select(
         "key", seq_col, "original", "english",
         F.when(F.col("_is_new_key"), F.lit("insert")).otherwise(F.lit("update")).alias("action"),

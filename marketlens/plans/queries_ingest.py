@@ -200,6 +200,7 @@ c AS (
 SELECT posting_id, arg_min(CASE WHEN tried AND ok THEN payload END, CASE WHEN tried AND ok THEN attempt END) AS payload,
   min(CASE WHEN tried AND ok THEN attempt END) AS used_attempt,
   count(CASE WHEN tried AND tier = 'primary' THEN 1 END) AS tried,
+  count(CASE WHEN skipped THEN 1 END) AS skipped,
   CASE WHEN min(CASE WHEN tried AND ok THEN attempt END) IS NULL THEN
     string_agg(CASE WHEN tried AND NOT ok THEN model || ': ' || message WHEN skipped THEN model || ': skipped after ' || barrier_cat END, '; ' ORDER BY attempt) END AS detail
 FROM c GROUP BY posting_id""")
