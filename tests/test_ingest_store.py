@@ -154,3 +154,36 @@ def test_file_sources(spark, tmpdir_path):
     files.write_attempt_log(rec, log)
     back = files.read_attempt_log(spark, log).collect()[0]
     assert back.provider == "openrouter" and back.response_time_ms == 12 and back.token_usage is None
+
+
+def _replay(existing, pairs):
+    """Sequential replay of the merge rules (the brute-force reference)."""
+    rows = {k: [o, e] for k, o, e in existing}
+    for _, o, e in sorted(pairs):
+        k = o.strip().lower()
+        if o.strip().lower() == e.strip().lower():
+            continue
+        if k in rows:
+            if rows[k][1].strip().lower() != e.strip().lower():
+                rows[k][1] = e
+        else:
+            rows[k] = [o, e]
+    return {k: tuple(v) for k, v in rows.items()}
+
+
+def test_merge_matches_sequential_replay(spark):
+    import random
+
+    rnd = random.Random(7)
+    words = ["Alpha", "alpha", "ALPHA", "Beta", "beta", "Gamma", "gamma", "Delta"]
+    keys = ["Eins", "eins", "Zwei", "Drei"]
+    for trial in range(4):
+        existing = [("eins", "Eins", "One")] if trial % 2 else []
+        pairs = [(i, rnd.choice(keys), rnd.choice(words)) for i in range(rnd.randint(3, 12))]
+        ex = spark.createDataFrame(existing, "key string, original string, english string") if existing else \
+            spark.createDataFrame([], "key string, original string, english string")
+        ex = ex.withColumn("seq", F.lit(-1).cast("long"))
+        pr = spark.createDataFrame(pairs, "seq long, original string, english string")
+        merged, _ = glossary.merge(ex, pr)
+        got = {r.key: (r.original, r.english) for r in merged.collect()}
+        assert got == _replay(existing, pairs), (existing, pairs)
