@@ -1,5 +1,6 @@
 import os
 import tempfile
+import uuid
 
 import pytest
 
@@ -12,7 +13,7 @@ def test_stream_ingest_keeps_each_hash_once(spark):
     src = tempfile.mkdtemp(prefix="ml-src-")
     spark.createDataFrame([(1, "a text"), (2, " a text "), (3, "b text")], "doc_id long, text string").write.parquet(os.path.join(src, "b1"))
     store_path = tempfile.mkdtemp(prefix="ml-store-")
-    ck = os.path.join(spark.conf.get("spark.checkpoint.dir"), "k1-test")
+    ck = os.path.join(spark.conf.get("spark.checkpoint.dir"), "k1-test-" + uuid.uuid4().hex[:8])
     q = st.start_ingest(spark, os.path.join(src, "b1"), store_path, ck)
     q.awaitTermination()
     rows = spark.read.parquet(os.path.join(store_path, "data")).collect()
