@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.numeric import SALARY_SOFT_MAX, salary_reason
-from marketlens.functions.text import currency_code, currency_reason, normalize_key, optional_stripped, py_strip
+from marketlens.functions.text import (currency_code, currency_reason, normalize_key, optional_stripped, py_strip,
+                                       strip_markdown_fences)
 
 # Payload bounds and the work-type domain.
 MAX_SHORT_TEXT = 200
@@ -177,11 +178,6 @@ def resolve_labels(valid: DataFrame, glossary: DataFrame, id_col: str = "payload
 
 
 # ------------------------------------------------------------------ envelopes
-def strip_fences(col) -> Column:
-    from marketlens.functions.text import strip_markdown_fences
-    return strip_markdown_fences(col)
-
-
 def parse_envelope(df: DataFrame, body_col: str = "body") -> DataFrame:
     """B24 (+B23): ``choices[0].message.content`` must be a non-blank string
     that (after fence stripping) holds a JSON object. Adds ``content``,
@@ -189,7 +185,7 @@ def parse_envelope(df: DataFrame, body_col: str = "body") -> DataFrame:
     v = F.try_parse_json(F.col(body_col))
     content = F.try_variant_get(v, "$.choices[0].message.content", "string")
     ck = F.schema_of_variant(F.try_variant_get(v, "$.choices[0].message.content", "variant"))
-    text = strip_fences(py_strip(content))
+    text = strip_markdown_fences(py_strip(content))
     parsed = F.try_parse_json(text)
     reason = (
         F.when(v.isNull(), F.lit("response is not JSON"))

@@ -51,13 +51,12 @@ def apply_corrections(postings: DataFrame, feed: DataFrame, id_col: str = "id")
 
     Returns (postings after the update, accepted corrections with their skill
     lists for the link rebuild, rejects (posting_id, reason))."""
-    known = feed.join(postings.select(F.col(id_col).alias("posting_id"), "salary_currency"), "posting_id", "left")
+    stored = postings.select(F.col(id_col).alias("posting_id"), "salary_currency", F.lit(True).alias("_known"))
+    known = feed.join(stored, "posting_id", "left")
+    # the stored currency is kept: it goes through the same checks unchanged
     payload = F.to_json(F.struct(*[F.col(c) for c in EDITABLE], "skills", "skills_en", "salary_currency"))
     checked = validate_payloads(known.select("posting_id", payload.alias("payload")), "payload", "posting_id")
-    checked = checked.join(known.select("posting_id", "feed_reason", F.col("salary_currency").isNull().alias("_unknown_ccy"),
-                                        known["posting_id"].isNotNull().alias("_x")), "posting_id")
-    exists = feed.join(postings.select(F.col(id_col).alias("posting_id")), "posting_id", "left_semi").select("posting_id", F.lit(True).alias("_known"))
-    checked = checked.join(exists, "posting_id", "left")
+    checked = checked.join(known.select("posting_id", "feed_reason", "_known"), "posting_id")
     reason = F.coalesce(F.when(F.col("_known").isNull(), F.lit("unknown posting id")), F.col("feed_reason"), F.col("reason"))
     checked = checked.withColumn("reason", reason)
     rejects = checked.where(F.col("reason").isNotNull()).select("posting_id", "reason")

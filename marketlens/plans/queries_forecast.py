@@ -185,7 +185,7 @@ for _m in ("sarima", "prophet", "rf", "hgb"):
 
 def _run(spark, d):
     w = windowed(spark, d)
-    return run.run_forecast(monthly_roles=w["monthly_roles"].unionByName(w["monthly_roles"].limit(0)),
+    return run.run_forecast(monthly_roles=w["monthly_roles"],
                             weekly_roles=w["weekly_roles"], monthly_skills=w["monthly_skills"],
                             weekly_skills=w["weekly_skills"], training_window_months=WINDOW,
                             horizons=[3, 6, 12], models=["baseline", "arima", "sarima", "prophet"], top_k=TOP_K)

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from marketlens.functions.numeric import round_half_even
-from marketlens.operators import extraction, glossary, ingest, skills, store
+from marketlens.operators import extraction, forecast, glossary, ingest, skills, store
 from marketlens.plans import bindings as b
 from marketlens.plans import sqlparts as S
 from marketlens.plans.queries_forecast import HORIZON, _arima_sql, targets
@@ -273,7 +273,7 @@ def q_error_categories(spark, d):
 
 # ------------------------------------------------------------------ run store / report over ARIMA points
 def _run_results(spark, d, run_id=1):
-    pts = __import__("marketlens.operators.forecast", fromlist=["forecaster"]).forecaster("arima")(targets(spark, d), HORIZON).points
+    pts = forecast.forecaster("arima")(targets(spark, d), HORIZON).points
     return store.normalize_results(pts.withColumn("metrics", F.lit(None).cast("struct<mae:double,rmse:double>")), run_id)
 
 
