@@ -83,3 +83,26 @@ def test_rollup_matches_single_granularity(spark):
     roll = periods.role_rollup(f).where(F.col("granularity") == "W-MON").drop("granularity")
     single = periods.role_series(f, "W-MON")
     assert sorted(map(tuple, roll.collect())) == sorted(map(tuple, single.select(*roll.columns).collect()))
+
+
+def test_run_analysis_subset(spark):
+    postings = spark.createDataFrame([("Acme", "A", 1.0, 2.0), ("Beta", "A", None, 4.0)],
+                                     "company_name string, role_title_en string, salary_min double, salary_max double")
+    skills = spark.createDataFrame([(1, "python", "Python", "Python")], "id long, name string, display_name string, display_name_en string")
+    links = spark.createDataFrame([(1, 1)], "posting_id long, skill_id long")
+    out = analysis.run_analysis(postings, links, skills, ["top_roles", "salary_summary", "nope"], 5)
+    assert set(out) == {"top_roles", "salary_summary"}
+    assert [tuple(r) for r in out["top_roles"].collect()] == [("A", 2)]
+
+
+def test_skill_rollup_matches_single_granularity(spark):
+    f = periods.posting_frame(_postings(spark))
+    skills = spark.createDataFrame([(1, "python", "Python", "Python"), (2, "sql", None, " ")],
+                                   "id long, name string, display_name string, display_name_en string")
+    links = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (3, 1)], "posting_id long, skill_id long")
+    for g in ("D", "W-MON", "M"):
+        roll = periods.skill_rollup(links, f, skills).where(F.col("granularity") == g).drop("granularity")
+        single = periods.skill_series(links, f, skills, g)
+        assert sorted(map(tuple, roll.collect())) == sorted(map(tuple, single.select(*roll.columns).collect()))
+    labels = {r.display_name_en for r in periods.skill_series(links, f, skills, "M").collect()}
+    assert labels == {"Python", "unknown"}  # B10: blank English label -> 'unknown' (no fallback past a non-NULL blank)
