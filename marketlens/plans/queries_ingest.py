@@ -333,3 +333,15 @@ def q_stream_days(spark, d):
     # back the last windows until later events move the watermark)
     out = drain_to_memory(s, name, os.path.join(checkpoint_dir(spark), name), mode="complete")
     return out.select("period_start", "event_type", "n", round_half_even("value_sum", 6).alias("value_sum"))
+
+
+@query("stream_event_week_counts", """
+SELECT """ + S.period("ts", "W-MON") + """ AS period_start, event_type, count(*) AS n, """ + S.rnd("sum(value)", 6) + """ AS value_sum
+FROM events GROUP BY 1, 2""")
+def q_stream_weeks(spark, d):
+    from marketlens.streaming.ingest import drain_to_memory, period_counts_stream
+
+    s = period_counts_stream(_stream_source(spark, d, "events"), freq="W-MON")
+    name = "k2w_" + uuid.uuid4().hex[:8]
+    out = drain_to_memory(s, name, os.path.join(checkpoint_dir(spark), name), mode="complete")
+    return out.select("period_start", "event_type", "n", round_half_even("value_sum", 6).alias("value_sum"))

@@ -70,14 +70,16 @@ def start_ingest(spark: SparkSession, source_dir: str, store_path: str, checkpoi
 def period_counts_stream(stream: DataFrame, *, ts_col: str = "ts", key_col: str = "event_type",
                          watermark: str = "2 days", freq: str = "D") -> DataFrame:
     """K2: counts per (period, key) with late data accepted up to the
-    watermark. Day periods use a tumbling ``window``; week (W-MON) and month
-    use the period start (B11) as the group key."""
+    watermark. Day periods are a tumbling ``window`` (append mode emits a day
+    once the watermark passes it). Week (W-MON, Tuesday start) and month
+    periods group on the period start (B11) of the watermarked event time;
+    they run in update or complete mode, with state bounded by periods x keys."""
     s = stream.withWatermark(ts_col, watermark)
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum")]
     if freq == "D":
-        g = s.groupBy(F.window(ts_col, "1 day").alias("w"), key_col).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum"))
+        g = s.groupBy(F.window(ts_col, "1 day").alias("w"), key_col).agg(*aggs)
         return g.select(F.to_date(F.col("w.start")).alias("period_start"), key_col, "n", "value_sum")
-    g = s.groupBy(F.window(ts_col, "1 day").alias("w"), key_col).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum"))
-    return g.select(period_start(F.col("w.start"), freq).alias("period_start"), key_col, "n", "value_sum")
+    return s.groupBy(period_start(F.col(ts_col), freq).alias("period_start"), key_col).agg(*aggs)
 
 
 def drain_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append"):

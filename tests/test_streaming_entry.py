@@ -32,3 +32,20 @@ def test_entry_and_all_queries_run(spark):
         out = fn(spark, SF)
         assert out.columns, name
         out.limit(1).collect()
+
+
+def test_stream_period_counts_week_and_month(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    src = tempfile.mkdtemp(prefix="ml-ev-")
+    rows = [(dt.datetime(2024, 1, d, 12), "view", 1.0) for d in (1, 2, 8, 9, 31)] + [(dt.datetime(2024, 2, 1, 1), "view", 2.0)]
+    spark.createDataFrame(rows, "ts timestamp, event_type string, value double").write.parquet(os.path.join(src, "e"))
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(os.path.join(src, "e"))
+    for freq, want in (("W-MON", {dt.date(2023, 12, 26): 1, dt.date(2024, 1, 2): 2, dt.date(2024, 1, 9): 1, dt.date(2024, 1, 30): 2}),
+                       ("M", {dt.date(2024, 1, 1): 5, dt.date(2024, 2, 1): 1})):
+        name = "k2" + freq.replace("-", "") + uuid.uuid4().hex[:6]
+        ck = os.path.join(spark.conf.get("spark.checkpoint.dir"), name)
+        out = st.drain_to_memory(st.period_counts_stream(stream, freq=freq), name, ck, mode="complete")
+        assert {r.period_start: r.n for r in out.collect()} == want
