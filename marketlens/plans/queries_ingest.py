@@ -327,7 +327,7 @@ FROM events GROUP BY 1, 2""")
 def q_stream_days(spark, d):
     from marketlens.streaming.ingest import drain_to_memory, period_counts_stream
 
-    s = period_counts_stream(_stream_source(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    s = period_counts_stream(_stream_source(spark, d, "events"))
     name = "k2_" + uuid.uuid4().hex[:8]
     # complete mode: a finite input is drained whole (append mode would hold
     # back the last windows until later events move the watermark)

@@ -74,7 +74,8 @@ def period_counts_stream(stream: DataFrame, *, ts_col: str = "ts", key_col: str
     once the watermark passes it). Week (W-MON, Tuesday start) and month
     periods group on the period start (B11) of the watermarked event time;
     they run in update or complete mode, with state bounded by periods x keys."""
-    s = stream.withWatermark(ts_col, watermark)
+    # watermarks need TIMESTAMP (a TIMESTAMP_NTZ column is read in the session zone)
+    s = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark)
     aggs = [F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum")]
     if freq == "D":
         g = s.groupBy(F.window(ts_col, "1 day").alias("w"), key_col).agg(*aggs)
