@@ -122,42 +122,34 @@ def per_series_model(name: str, fn: Callable[[pd.DataFrame, int], pd.DataFrame])
 
 
 class TableStore:
-    """L4: named tables as versioned Parquet folders under a shared base
-    path: a write goes to a new version folder and then the pointer file
-    moves, so a reader never sees a half-written table and a table is never
-    overwritten while it is being read."""
+    """L4: named tables as versioned Parquet folders ``<base>/<name>/v=<n>``
+    under a shared base path. A save writes the next version (the folder's
+    files appear at job commit); a load reads the highest version. A table
+    is never overwritten while it is read, and an upsert is "read the
+    current version, merge, save the next one"."""
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base
 
-    def _fs(self, path: str):
-        jp = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return jp, jp.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _all(self, name: str):
+        try:
+            return self.spark.read.parquet(os.path.join(self.base, name))
+        except Exception:  # noqa: BLE001 - table not written yet
+            return None
 
     def current_version(self, name: str) -> int | None:
-        jp, fs = self._fs(os.path.join(self.base, name, "_CURRENT"))
-        if not fs.exists(jp):
+        df = self._all(name)
+        if df is None:
             return None
-        stream = fs.open(jp)
-        try:
-            return int(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip())
-        finally:
-            stream.close()
+        return df.select(F.max("v")).first()[0]
 
     def load(self, name: str) -> DataFrame:
         v = self.current_version(name)
         if v is None:
             raise FileNotFoundError(name)
-        return self.spark.read.parquet(os.path.join(self.base, name, f"v={v}"))
+        return self._all(name).where(F.col("v") == v).drop("v")
 
     def save(self, name: str, df: DataFrame) -> int:
         v = (self.current_version(name) or 0) + 1
         df.write.mode("overwrite").parquet(os.path.join(self.base, name, f"v={v}"))
-        jp, fs = self._fs(os.path.join(self.base, name, "_CURRENT.tmp"))
-        out = fs.create(jp, True)
-        out.write(str(v).encode())
-        out.close()
-        target, _ = self._fs(os.path.join(self.base, name, "_CURRENT"))
-        fs.delete(target, False)
-        fs.rename(jp, target)
         return v

@@ -34,24 +34,26 @@ def dedup_stream(stream: DataFrame, *, event_time: str | None = None, watermark:
     return s.dropDuplicates(["content_hash"])
 
 
+def _read_or_none(spark: SparkSession, path: str):
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - no store yet
+        return None
+
+
 def append_new(store_path: str, id_col: str = "doc_id"):
     """foreachBatch sink: anti-join the micro-batch with the store by hash,
-    then append. A batch already written (same batch id) is skipped."""
+    then write it as the store's ``batch=<id>`` folder. A retried batch
+    overwrites its own folder (idempotent) and is anti-joined only against
+    the other batches."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        marker = os.path.join(store_path, "_batches", str(batch_id))
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(marker)
-        fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(jvm_path):
-            return
         rows = batch.select(id_col, "content_hash")
-        data_path = os.path.join(store_path, "data")
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(data_path)):
-            stored = spark.read.parquet(data_path).select("content_hash")
-            rows = rows.join(stored, "content_hash", "left_anti")
-        rows.write.mode("append").parquet(data_path)
-        fs.mkdirs(jvm_path)
+        stored = _read_or_none(spark, store_path)
+        if stored is not None:
+            rows = rows.join(stored.where(F.col("batch") != batch_id).select("content_hash"), "content_hash", "left_anti")
+        rows.write.mode("overwrite").parquet(os.path.join(store_path, f"batch={batch_id}"))
 
     return write
 

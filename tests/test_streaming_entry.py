@@ -16,7 +16,7 @@ def test_stream_ingest_keeps_each_hash_once(spark):
     ck = os.path.join(spark.conf.get("spark.checkpoint.dir"), "k1-test-" + uuid.uuid4().hex[:8])
     q = st.start_ingest(spark, os.path.join(src, "b1"), store_path, ck)
     q.awaitTermination()
-    rows = spark.read.parquet(os.path.join(store_path, "data")).collect()
+    rows = spark.read.parquet(store_path).collect()
     assert len(rows) == 2 and len({r.content_hash for r in rows}) == 2
 
 
