@@ -142,3 +142,14 @@ def test_baseline_rows_and_run(spark):
     assert skill.metrics.ma_6 is None and skill.metrics.trend.direction in ("up", "down", "flat")
     s = out.summary.collect()[0]
     assert s.status == "completed" and s.n_results == len(res) and s.error_count == 0
+
+
+def test_non_finite_forecast_is_an_error_row(spark):
+    from marketlens.operators.forecast import _outputs
+
+    est = spark.createDataFrame(
+        [("role", "a", dt.date(2024, 1, 1), False, [], [1.0, 2.0], None), ("role", "b", dt.date(2024, 1, 1), False, [], [1.0, float("nan")], None)],
+        "target_type string, target_key string, last_month date, has_ho boolean, tail array<double>, path_f array<double>, path_h array<double>")
+    pts, _, errs = _outputs("arima", est, 2)
+    assert {r.target_key for r in pts.collect()} == {"a"}
+    assert [(r.target_key, r.error) for r in errs.collect()] == [("b", "forecast is not finite")]
