@@ -200,3 +200,51 @@ def q_run_results(spark, d):
 @query("forecast_run_summary")
 def q_run_summary(spark, d):
     return _run(spark, d).summary
+
+
+# ------------------------------------------------------------------ I11 with the oracle-checked models
+CLASSICAL = ["baseline", "arima", "sarima"]
+RUN_HORIZONS = [3, 6, 12]
+_METRIC_COLS = ["metric_ma_3", "metric_ma_6", "metric_ma_12", "metric_growth_rate_pct", "metric_slope",
+                "metric_intercept", "metric_direction", "metric_r2"]
+
+
+def _classical_run_sql() -> str:
+    from marketlens.plans.registry import ORACLE
+
+    head = "model_name, target_type, target_key, horizon_months, period_start, predicted_value"
+    nulls = ", ".join(f"CAST(NULL AS {'VARCHAR' if c == 'metric_direction' else 'DOUBLE'}) AS {c}" for c in _METRIC_COLS)
+    hz = ", ".join(str(h) for h in RUN_HORIZONS)
+    return (f"SELECT {head}, {', '.join(_METRIC_COLS)} FROM ({ORACLE['baseline_rows']})\n"
+            f"UNION ALL SELECT {head}, {nulls} FROM ({ORACLE['forecast_arima']}) WHERE horizon_months IN ({hz})\n"
+            f"UNION ALL SELECT {head}, {nulls} FROM ({ORACLE['forecast_sarima']}) WHERE horizon_months IN ({hz})")
+
+
+def _classical_run(spark, d):
+    w = windowed(spark, d)
+    return run.run_forecast(monthly_roles=w["monthly_roles"], weekly_roles=w["weekly_roles"],
+                            monthly_skills=w["monthly_skills"], weekly_skills=w["weekly_skills"],
+                            training_window_months=WINDOW, horizons=RUN_HORIZONS, models=CLASSICAL, top_k=TOP_K)
+
+
+@query("forecast_run_classical", _classical_run_sql())
+def q_run_classical(spark, d):
+    from marketlens.functions.numeric import round_half_even
+
+    r = _classical_run(spark, d).results
+    m = F.col("metrics")
+    ma = lambda c: round_half_even(m[c], 6)  # noqa: E731 - same presentation rounding as the baseline report query
+    return r.select("model_name", "target_type", "target_key", "horizon_months", "period_start", "predicted_value",
+                    ma("ma_3").alias("metric_ma_3"), ma("ma_6").alias("metric_ma_6"), ma("ma_12").alias("metric_ma_12"),
+                    m["growth_rate_pct"].alias("metric_growth_rate_pct"), m["trend"]["slope"].alias("metric_slope"),
+                    m["trend"]["intercept"].alias("metric_intercept"), m["trend"]["direction"].alias("metric_direction"),
+                    m["trend"]["r2"].alias("metric_r2"))
+
+
+@query("forecast_run_classical_summary", f"""
+SELECT CASE WHEN e.n = 0 THEN 'completed' WHEN r.n > 0 THEN 'completed_with_errors' ELSE 'failed' END AS status,
+       r.n AS n_results, e.n AS error_count
+FROM (SELECT count(*) AS n FROM ({_classical_run_sql()})) r,
+     (SELECT 2 * count(*) AS n FROM ({S.with_(*TARGET_CTES)} SELECT DISTINCT target_type, target_key FROM ser WHERE n < 8 OR known < n)) e""")
+def q_run_classical_summary(spark, d):
+    return _classical_run(spark, d).summary.select("status", "n_results", "error_count")
