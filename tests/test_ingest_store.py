@@ -187,3 +187,21 @@ def test_merge_matches_sequential_replay(spark):
         merged, _ = glossary.merge(ex, pr)
         got = {r.key: (r.original, r.english) for r in merged.collect()}
         assert got == _replay(existing, pairs), (existing, pairs)
+
+
+def test_series_sink_roundtrip_and_dimension_ops(spark, tmpdir_path):
+    roles = spark.createDataFrame([(dt.date(2024, 1, 1), "A", 3, 1.0, 2.0, 1.5)],
+                                  "period_start date, role_title_en string, posting_count long, avg_salary_min double, avg_salary_max double, avg_salary double")
+    out = os.path.join(tmpdir_path, "fake")
+    files.write_period_series({"monthly_roles": roles}, out)
+    back = files.read_series_csv(spark, out, "monthly_roles")
+    assert [tuple(r) for r in back.collect()] == [tuple(r) for r in roles.collect()]
+    sk = spark.createDataFrame([(1, "python", "Python", "Python"), (2, "sql", "SQL", "SQL")], "id long, name string, display_name string, display_name_en string")
+    names = spark.createDataFrame([(" Python ",), ("rust",), ("",)], "name string")
+    assert [r.id for r in skills.existing_for_names(sk, names).collect()] == [1]
+    postings = spark.createDataFrame([(1,), (2,)], "id long")
+    links = spark.createDataFrame([(1, 1), (2, 2), (2, 1)], "posting_id long, skill_id long")
+    p2, l2 = skills.delete_postings(postings, links, spark.createDataFrame([(2,)], "id long"))
+    assert [r.id for r in p2.collect()] == [1] and [tuple(r) for r in l2.collect()] == [(1, 1)]
+    s2, l3 = skills.delete_skills(sk, links, spark.createDataFrame([(1,)], "id long"))
+    assert [r.id for r in s2.collect()] == [2] and [tuple(r) for r in l3.collect()] == [(2, 2)]
