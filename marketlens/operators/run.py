@@ -62,7 +62,7 @@ def run_forecast(*, monthly_roles: DataFrame, weekly_roles: DataFrame, monthly_s
         b = baseline.baseline_rows(report)
         rows.append(b.withColumn("metrics", F.col("metrics").cast(METRICS_TYPE)))
 
-    fmodels = [m for m in model_list if m in forecast.MODEL_KEYS]
+    fmodels = [m for m in model_list if m in forecast.MODEL_KEYS or m in forecast.USER_MODELS]
     if fmodels:
         series = forecast.forecast_targets(mr, ms, role_keys, skill_keys).persist()
         for m in fmodels:

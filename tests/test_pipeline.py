@@ -75,3 +75,20 @@ def test_schema_contract(spark):
     c = schema.conform(df.drop("posting_count"), schema.CONTRACTS["skills"]).collect()[0]
     assert c.posting_count is None
     assert schema.empty(spark, "roles").count() == 0
+
+
+def test_registered_user_model_runs_in_a_run(spark):
+    from marketlens.operators import run
+
+    def last_value(pdf, h):
+        return pd.DataFrame({"horizon_months": list(range(1, h + 1)), "predicted_value": [float(pdf["value"].iloc[-1])] * h})
+
+    forecast.register_forecaster("naive_last", pipeline.per_series_model("naive_last", last_value))
+    months = [(pd.Timestamp("2023-01-01") + pd.DateOffset(months=i)).date() for i in range(12)]
+    mr = spark.createDataFrame([(m, "A", float(i), 100.0 + i) for i, m in enumerate(months)],
+                               "period_start date, role_title_en string, posting_count double, avg_salary double")
+    ms = spark.createDataFrame([(m, "py", 2.0) for m in months], "period_start date, display_name_en string, posting_count double")
+    out = run.run_forecast(monthly_roles=mr, weekly_roles=mr, monthly_skills=ms, weekly_skills=ms,
+                           training_window_months=12, horizons=[3], models=["naive_last"], top_k=5)
+    got = {(r.target_type, r.target_key): r.predicted_value for r in out.results.collect()}
+    assert got == {("role", "A"): 11.0, ("salary_role", "A"): 111.0, ("skill", "py"): 2.0}
