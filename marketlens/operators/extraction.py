@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.numeric import SALARY_SOFT_MAX, salary_reason
+from marketlens.functions.numeric import SALARY_SOFT_MAX, round_half_even, salary_reason
 from marketlens.functions.text import (currency_code, currency_reason, normalize_key, optional_stripped, py_strip,
                                        strip_markdown_fences)
 
@@ -333,9 +333,9 @@ def log_health(records: DataFrame, exact: bool = True) -> DataFrame:
     return records.groupBy("provider", "model").agg(
         n.alias("attempts"),
         F.count_if(F.col("status") == "success").alias("successes"),
-        F.bround(F.count_if(F.col("status") == "success") / n, 4).alias("success_rate"),
+        round_half_even(F.count_if(F.col("status") == "success") / n, 4).alias("success_rate"),
         *[F.count_if(F.col("error_category") == c).alias(f"n_{c}") for c in
           ("rate_limit", "parse_error", "timeout", "validation_failure", "api_error", "connection", "other")],
-        F.bround(F.count_if(F.col("fallback_used")) / n, 4).alias("fallback_share"),
+        round_half_even(F.count_if(F.col("fallback_used")) / n, 4).alias("fallback_share"),
         p50.alias("latency_p50"), p95.alias("latency_p95"),
     )

@@ -210,11 +210,11 @@ def q_first_usable(spark, d):
 
 @query("attempt_log_health", _ATT_SQL + """
 SELECT CASE WHEN tier = 'fallback' THEN 'ollama' ELSE 'openrouter' END AS provider, model,
-  count(*) AS attempts, count_if(ok) AS successes, round_even(count_if(ok) / count(*), 4) AS success_rate,
+  count(*) AS attempts, count_if(ok) AS successes, """ + S.rnd("count_if(ok) / count(*)", 4) + """ AS success_rate,
   count_if(NOT ok AND cat = 'rate_limit') AS n_rate_limit, count_if(NOT ok AND cat = 'parse_error') AS n_parse_error,
   count_if(NOT ok AND cat = 'timeout') AS n_timeout, count_if(NOT ok AND cat = 'validation_failure') AS n_validation_failure,
   count_if(NOT ok AND cat = 'api_error') AS n_api_error, count_if(NOT ok AND cat = 'connection') AS n_connection,
-  count_if(NOT ok AND cat = 'other') AS n_other, round_even(count_if(tier <> 'primary') / count(*), 4) AS fallback_share,
+  count_if(NOT ok AND cat = 'other') AS n_other, """ + S.rnd("count_if(tier <> 'primary') / count(*)", 4) + """ AS fallback_share,
   quantile_cont(CAST(CAST(latency_ms AS INTEGER) AS DOUBLE), 0.5) AS latency_p50,
   quantile_cont(CAST(CAST(latency_ms AS INTEGER) AS DOUBLE), 0.95) AS latency_p95
 FROM a GROUP BY 1, 2""")

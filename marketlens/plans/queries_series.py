@@ -168,11 +168,11 @@ def q_dense_salary(spark, d):
 def _event_daily(spark, d):
     ev = read_table(spark, d, "events")
     return ev.groupBy(period_start("ts", "D").alias("period_start"), "event_type").agg(
-        F.count(F.lit(1)).alias("n_events"), F.avg("value").alias("mean_value")
+        F.count(F.lit(1)).alias("n_events"), round_half_even(F.avg("value"), 6).alias("mean_value")
     )
 
 
-_EV_SQL = """WITH ev AS (SELECT CAST(ts AS DATE) AS period_start, event_type, count(*) AS n_events, avg(value) AS mean_value
+_EV_SQL = f"""WITH ev AS (SELECT CAST(ts AS DATE) AS period_start, event_type, count(*) AS n_events, {S.rnd("avg(value)", 6)} AS mean_value
 FROM events GROUP BY 1, 2)
 """
 
