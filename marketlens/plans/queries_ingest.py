@@ -215,8 +215,8 @@ SELECT CASE WHEN tier = 'fallback' THEN 'ollama' ELSE 'openrouter' END AS provid
   count_if(NOT ok AND cat = 'timeout') AS n_timeout, count_if(NOT ok AND cat = 'validation_failure') AS n_validation_failure,
   count_if(NOT ok AND cat = 'api_error') AS n_api_error, count_if(NOT ok AND cat = 'connection') AS n_connection,
   count_if(NOT ok AND cat = 'other') AS n_other, """ + S.rnd("count_if(tier <> 'primary') / count(*)", 4) + """ AS fallback_share,
-  quantile_cont(CAST(CAST(latency_ms AS INTEGER) AS DOUBLE), 0.5) AS latency_p50,
-  quantile_cont(CAST(CAST(latency_ms AS INTEGER) AS DOUBLE), 0.95) AS latency_p95
+  quantile_cont(CAST(CAST(trunc(latency_ms) AS INTEGER) AS DOUBLE), 0.5) AS latency_p50,
+  quantile_cont(CAST(CAST(trunc(latency_ms) AS INTEGER) AS DOUBLE), 0.95) AS latency_p95
 FROM a GROUP BY 1, 2""")
 def q_log_health(spark, d):
     rec = extraction.attempt_records(b.attempts(spark, d))
