@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import sentencepiece_codec
+from marketlens.llm import quality_cnn, sentencepiece_codec
+from marketlens.llm.common import in_training_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,3 +36,16 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
     same = F.col("decoded") == F.coalesce(F.regexp_replace("text", sentencepiece_codec.MARKER, " "), F.lit(""))
     return back.select("doc_id", "n_tokens", "tokens", same.alias("round_trip"))
+
+
+def training_labels(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """Labels that may be learnt from (never those of the held-out fold)."""
+    return table(spark, sf_dir, "labels").filter(in_training_fold("doc_id")).select("doc_id", F.col(which).alias("label"))
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality_cnn.fit(docs, training_labels(spark, sf_dir, "quality"))
+    scored = quality_cnn.score(docs, net)
+    return scored.select("doc_id", (~in_training_fold("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
