@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task (one longer text is one chunk).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 # --- shared folder ---------------------------------------------------------
@@ -108,7 +108,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     key = "inverse" if inverse else "direct"
     have = _powers.get(key)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
+        size = max(n + n // 4, 1 << 16)
         p = np.full(size, _INV if inverse else _BASE, np.uint64)
         p[0] = 1
         have = _powers[key] = np.multiply.accumulate(p)
@@ -163,3 +163,25 @@ def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * powers(len(values)), out=sums[1:])
     return mix((sums[width:] - sums[:-width]) * powers(n, inverse=True))
+
+
+class ValueCache:
+    """Numbers by hash that a task has computed; starts anew beyond ``most``."""
+
+    def __init__(self, most: int = 1 << 21):
+        self.most = most
+        self.hashes, self.values = np.zeros(0, np.uint64), np.zeros(0)
+
+    def find(self, hashes: np.ndarray, compute) -> np.ndarray:
+        """Values of sorted distinct hashes; ``compute(i)`` gives the new ones'."""
+        if len(self.hashes) + len(hashes) > self.most:
+            self.hashes, self.values = np.zeros(0, np.uint64), np.zeros(0)
+        i = np.searchsorted(self.hashes, hashes)
+        known = i < len(self.hashes)
+        known[known] = self.hashes[i[known]] == hashes[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            self.values = np.insert(self.values, i[new], compute(new))
+            self.hashes = np.insert(self.hashes, i[new], hashes[new])
+            i = np.searchsorted(self.hashes, hashes)
+        return self.values[i]

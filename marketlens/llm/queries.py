@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import quality_cnn, sentencepiece_codec
+from marketlens.llm import quality_cnn, sentencepiece_codec, toxicity
 from marketlens.llm.common import in_training_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,9 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and whether they decode to it again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
-    same = F.col("decoded") == F.coalesce(F.regexp_replace("text", sentencepiece_codec.MARKER, " "), F.lit(""))
-    return back.select("doc_id", "n_tokens", "tokens", same.alias("round_trip"))
+    return sentencepiece_codec.encode(docs).select("doc_id", "n_tokens", "tokens", "round_trip")
 
 
 def training_labels(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
@@ -49,3 +47,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = quality_cnn.fit(docs, training_labels(spark, sf_dir, "quality"))
     scored = quality_cnn.score(docs, net)
     return scored.select("doc_id", (~in_training_fold("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit(docs, training_labels(spark, sf_dir, "toxic"))
+    scored = toxicity.score(docs, machine)
+    return scored.select("doc_id", (~in_training_fold("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -305,19 +305,23 @@ def _shared(df: DataFrame, model_path: str | None):
 
 
 def encode(df: DataFrame, *, text_col: str = "text", tokens_col: str = "tokens", model_path: str | None = None) -> DataFrame:
-    """``df`` with the ids of each text (array<int>) and ``n_tokens``. The
-    vocabulary is broadcast: its size is that of the model file, whatever the data."""
+    """``df`` with the ids of each text (array<int>), ``n_tokens``, and
+    ``round_trip``: whether the ids decode to the text again (markers in it as
+    spaces, null as empty). The vocabulary is broadcast: its size is that of
+    the model file, whatever the data."""
     shared = _shared(df, model_path)
-    names = [c for c in df.columns if c not in (tokens_col, "n_tokens")]
+    names = [c for c in df.columns if c not in (tokens_col, "n_tokens", "round_trip")]
     at = names.index(text_col)
-    schema = df.select(*names).withColumn(tokens_col, F.array(F.lit(0))).withColumn("n_tokens", F.lit(0)).schema
+    schema = df.select(*names).withColumn(tokens_col, F.array(F.lit(0))).withColumn("n_tokens", F.lit(0)).withColumn("round_trip", F.lit(True)).schema
 
     def run(batches: Iterator[pa.RecordBatch]):
         v, cache = shared.value, WordCache()
         for batch in chunks(batches, text_col):
             ids, off = encode_texts(v, batch.column(at), cache)
             lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(np.diff(off), pa.int32())], names=[*names, tokens_col, "n_tokens"])
+            meant = pc.replace_substring(pc.fill_null(batch.column(at).cast(pa.string()), ""), MARKER, " ")
+            same = pc.equal(decode_ids(v, ids, off), meant)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(np.diff(off), pa.int32()), same], names=[*names, tokens_col, "n_tokens", "round_trip"])
 
     return df.select(*names).mapInArrow(run, schema)
 
@@ -332,8 +336,8 @@ def decode(df: DataFrame, *, tokens_col: str = "tokens", text_col: str = "decode
     def run(batches: Iterator[pa.RecordBatch]):
         v = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
                 lists = pc.fill_null(part.column(at), pa.scalar([], part.column(at).type))
                 off = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
                 ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
