@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import quality_cnn, sentencepiece_codec, toxicity
-from marketlens.llm.common import in_training_fold
+from marketlens.llm import quality_cnn, sentencepiece_codec, toxicity, warc
+from marketlens.llm.common import in_training_fold, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,3 +55,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = toxicity.fit(docs, training_labels(spark, sf_dir, "toxic"))
     scored = toxicity.score(docs, machine)
     return scored.select("doc_id", (~in_training_fold("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), k AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS keep FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND keep IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND keep IS DISTINCT FROM page_id THEN keep END AS refers_to
+FROM k
+"""
+
+
+@query("op6_warc", WARC_SQL)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, read back by the salvage reader."""
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    records = warc.read(spark, path, with_payload=False).filter("kind = 'record'")
+    number = lambda c: F.substring(c, len(warc.URN) + 1, 20).try_cast("bigint")
+    return records.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
