@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import quality_cnn, sentencepiece_codec, toxicity, warc
+from marketlens.llm import fingerprint, quality_cnn, sentencepiece_codec, toxicity, warc
 from marketlens.llm.common import in_training_fold, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read(spark, path, with_payload=False).filter("kind = 'record'")
     number = lambda c: F.substring(c, len(warc.URN) + 1, 20).try_cast("bigint")
     return records.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
+
+
+@query("op4_fingerprint")
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
