@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import fingerprint, quality_cnn, sentencepiece_codec, toxicity, warc
+from marketlens.llm import decontaminate, fingerprint, quality_cnn, sentencepiece_codec, toxicity, warc
 from marketlens.llm.common import in_training_fold, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_fingerprint")
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op7_decontaminate", decontaminate.oracle())
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items they leak."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
