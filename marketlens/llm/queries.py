@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontaminate, fingerprint, line_dedup, quality_cnn, sentencepiece_codec, toxicity, warc
+from marketlens.llm import decontaminate, fingerprint, line_dedup, ngram_join, quality_cnn, sentencepiece_codec, toxicity, warc
 from marketlens.llm.common import in_training_fold, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines removed from each document."""
     return line_dedup.removed_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_ngram_join", ngram_join.oracle())
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
