@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontaminate, fingerprint, line_dedup, ngram_join, quality_cnn, sentencepiece_codec, toxicity, warc
+from marketlens.llm import decontaminate, fingerprint, line_dedup, ngram_join, quality_cnn, recompression, sentencepiece_codec, toxicity, warc
 from marketlens.llm.common import in_training_fold, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_ngram_join", ngram_join.oracle())
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op3_recompression", recompression.oracle())
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
