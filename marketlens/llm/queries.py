@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontaminate, fingerprint, line_dedup, ngram_join, quality_cnn, recompression, sentencepiece_codec, toxicity, warc
+from marketlens.llm import decontaminate, fingerprint, line_dedup, ngram_join, quality_cnn, recompression, sentencepiece_codec, suffix_dedup, toxicity, warc
 from marketlens.llm.common import in_training_fold, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,9 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = recompression.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op5_suffix_array")
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
