@@ -96,6 +96,25 @@ def features(strings: list[str]) -> np.ndarray:
     return out / np.sqrt(np.maximum(norm, 1e-9))[:, None].astype(np.float32)
 
 
+def kernels(strings: list[str], marks: np.ndarray) -> np.ndarray:
+    """Kernel of each string with each landmark (given by its features)."""
+    table, out = np.ascontiguousarray(marks.T), np.zeros((len(strings), len(marks)), np.float32)
+    for start in range(0, len(strings), 1000):
+        some = strings[start:start + 1000]
+        data = np.frombuffer("".join(some).encode(), np.uint8)
+        off = np.concatenate([[0], np.cumsum([len(s.encode()) for s in some])])
+        code, at = letters(data, off[:-1], off[1:])
+        word = np.repeat(np.arange(len(some)), np.diff(at))
+        norm = np.zeros(len(some))
+        for i, u, weight in occurrences(code, at):
+            if len(i):
+                first = np.flatnonzero(np.append(True, word[i][1:] != word[i][:-1]))
+                out[start + word[i[first]]] += weight * np.add.reduceat(table[u], first, axis=0)
+                norm += np.bincount(word[i], minlength=len(some)) * weight * weight
+        out[start:start + len(some)] /= np.sqrt(np.maximum(norm, 1e-9))[:, None].astype(np.float32)
+    return out
+
+
 @dataclass
 class Machine:
     table: np.ndarray
@@ -152,7 +171,7 @@ def train(toxic: list[str], clean: list[str], *, landmarks: int = 240, steps: in
     lam, vec = np.linalg.eigh(k.astype(float))
     keep = lam > 1e-4
     root = vec[:, keep] / np.sqrt(lam[keep])  # K(L, L)^-1/2 up to a rotation
-    z = np.concatenate([features(strings[i:i + 500]) @ marks.T for i in range(0, len(strings), 500)]) @ root
+    z = kernels(strings, marks) @ root.astype(np.float32)
     y = np.where(np.arange(len(z)) < n_toxic, 1.0, -1.0)
     cost = np.where(y > 0, 0.5 / n_toxic, 0.5 / max(1, len(z) - n_toxic))
     w, c = np.zeros(z.shape[1]), -0.5
