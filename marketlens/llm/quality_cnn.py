@@ -99,7 +99,8 @@ class Network:
 
 
 def train(docs: list[np.ndarray], labels: np.ndarray, *, epochs: int = 8, batch: int = 48, rate: float = 0.004, seed: int = 7) -> Network:
-    """Adam on the log loss of documents, each given by a matrix of chunks."""
+    """Adam on the log loss of documents, each given by a matrix of chunks.
+    Small samples get more epochs, so that there are 300 steps at least."""
     net, r = Network(seed), np.random.default_rng(seed)
     if not len(labels):
         net.p["out"][:], net.p["obias"][:] = 0, 0
@@ -107,7 +108,9 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, epochs: int = 8, batch:
     mean = np.clip(labels.mean(), 0.01, 0.99)
     net.p["obias"][:] = np.log(mean / (1 - mean))
     m1, m2, step = {k: 0.0 for k in net.p}, {k: 0.0 for k in net.p}, 0
-    total = epochs * -(-len(labels) // batch)
+    per_epoch = -(-len(labels) // batch)
+    epochs = max(epochs, -(-300 // per_epoch))
+    total = epochs * per_epoch
     for _ in range(epochs):
         order = r.permutation(len(labels))
         for lo in range(0, len(order), batch):

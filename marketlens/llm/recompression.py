@@ -54,7 +54,7 @@ def recompress(name: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarr
     name, start, edge = run, start[a], first
     lo, hi = np.minimum(lo[a], before), np.maximum(hi[last], after)
     # pairs of a left and a right symbol
-    side = (mix(name + np.uint64(level + 1) * _LEFT) & np.uint64(1)).astype(bool)
+    side = (mix(name + np.array([level + 1], np.uint64) * _LEFT) & np.uint64(1)).astype(bool)
     joins = np.zeros(len(name), bool)  # with the next one
     joins[:-1] = ~side[:-1] & side[1:] & ~edge[1:]
     joined = np.zeros(len(name), bool)

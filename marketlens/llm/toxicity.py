@@ -190,11 +190,14 @@ def train(toxic: list[str], clean: list[str], *, landmarks: int = 240, steps: in
 def blamed(docs: list[set[str]], rest: Counter, n_rest: int) -> list[str]:
     """Units that toxic documents have and hardly any clean one: by greedy
     cover of the toxic documents (each explains three more), and those in one
-    toxic document of 20 and at least eight. Near copies, told by the least hash of their units, count
-    as one document, else all their rare words would seem to blame."""
-    family = [min((zlib.crc32(u.encode()) for u in d), default=0) for d in docs]
+    toxic document of 20 and at least eight. Near copies, told by the least hash of their rarer units
+    (in one document of 20 at most), count as one document, else all their rare
+    words would seem to blame."""
+    common = Counter(u for d in docs for u in d)
+    rarer = max(2, len(docs) // 20)
+    family = [min(((zlib.crc32(u.encode()), u) for u in d if common[u] <= rarer), default=(i, "")) for i, d in enumerate(docs)]
     n = len(set(family))
-    where: dict[str, set[int]] = {}
+    where: dict[str, set] = {}
     for f, d in zip(family, docs, strict=True):
         for u in d:
             where.setdefault(u, set()).add(f)
