@@ -43,11 +43,11 @@ def salary_reason(lo, hi, soft_max: float = SALARY_SOFT_MAX) -> Column:
     """Each >= 0 and <= soft_max, and lo <= hi; NULL when valid."""
     lo_c, hi_c = _c(lo), _c(hi)
     return (
-        F.when(lo_c < 0, F.lit("salary_min cannot be negative"))
-        .when(lo_c > soft_max, F.lit(f"salary_min exceeds the allowed maximum ({soft_max:g})"))
-        .when(hi_c < 0, F.lit("salary_max cannot be negative"))
-        .when(hi_c > soft_max, F.lit(f"salary_max exceeds the allowed maximum ({soft_max:g})"))
-        .when(lo_c > hi_c, F.lit("salary_min cannot be greater than salary_max"))
+        F.when(lo_c < 0, F.lit("salary_min:negative"))
+        .when(lo_c > soft_max, F.lit(f"salary_min:above_{soft_max:g}"))
+        .when(hi_c < 0, F.lit("salary_max:negative"))
+        .when(hi_c > soft_max, F.lit(f"salary_max:above_{soft_max:g}"))
+        .when(lo_c > hi_c, F.lit("salary_min:above_salary_max"))
     )
 
 

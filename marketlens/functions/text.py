@@ -20,9 +20,8 @@ _PY_WS_RANGES = [
 ]
 PY_WS = "".join(chr(c) for lo, hi in _PY_WS_RANGES for c in range(lo, hi + 1))
 
-# Glossary field limit and per-text default cap.
+# Fixed value: glossary field limit.
 MAX_GLOSSARY_FIELD_LEN = 200
-DEFAULT_MAX_POSTING_CHARS = 100_000
 
 
 def _c(col) -> Column:
@@ -64,20 +63,18 @@ def sanitize_field_reason(col, field_name: str = "value", max_len: int = MAX_GLO
     """Reject reason of a glossary field (NULL when the field is usable)."""
     s = py_strip(F.coalesce(_c(col), F.lit("")))
     return (
-        F.when(s == "", F.lit(f"Glossary {field_name} cannot be empty"))
-        .when(s.rlike("[\\t\\n\\r]"), F.lit(f"Glossary {field_name} cannot contain tab or newline characters"))
-        .when(F.length(s) > max_len, F.lit(f"Glossary {field_name} exceeds max length ({max_len})"))
+        F.when(s == "", F.lit(f"{field_name}:empty"))
+        .when(s.rlike("[\\t\\n\\r]"), F.lit(f"{field_name}:control_character"))
+        .when(F.length(s) > max_len, F.lit(f"{field_name}:length>{max_len}"))
     )
 
 
-def text_size_reason(col, max_chars: int = DEFAULT_MAX_POSTING_CHARS) -> Column:
-    """Reject reason for a posting text (empty after strip, or over the cap)."""
-    s = py_strip(F.coalesce(_c(col), F.lit("")))
-    n = F.length(s)
-    return (
-        F.when(n == 0, F.lit("empty posting text"))
-        .when(n > max_chars, F.format_string(f"posting text exceeds {max_chars} characters (%d)", n))
-    )
+def text_size_reason(col, max_chars: int | None = None) -> Column:
+    """Reject reason for a posting text: empty after strip, or longer than
+    the cap of a caller who sets one."""
+    n = F.length(py_strip(F.coalesce(_c(col), F.lit(""))))
+    reason = F.when(n == 0, F.lit("text:empty"))
+    return reason if max_chars is None else reason.when(n > max_chars, F.concat(F.lit(f"text:length>{max_chars}:"), n))
 
 
 def strip_markdown_fences(col) -> Column:
@@ -99,5 +96,5 @@ def currency_reason(col) -> Column:
     code = currency_code(col)
     return F.when(
         code.isNotNull() & ~code.rlike("^[A-Z]{3}$"),
-        F.concat(F.lit("salary_currency must be a 3-letter code (e.g. EUR), got '"), _c(col).cast("string"), F.lit("'")),
+        F.concat(F.lit("salary_currency:not_a_code:"), _c(col).cast("string")),
     )

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.labels import clamp_top_n, skill_label_analysis
+from marketlens.functions.numeric import finite_or_null
+from marketlens.functions.labels import row_limit, skill_label_analysis
 from marketlens.functions.text import non_blank
 
 
@@ -17,7 +18,7 @@ def top_labels(df: DataFrame, label_col: str, n=None, *, weight_col: str | None
     ``weight_col`` lets a caller pass rows that are already partial counts
     (pre-aggregated before a join), so the count is their sum.
     Output: (label STRING, count BIGINT)."""
-    limit = clamp_top_n(n)
+    limit = row_limit(n)
     measure = F.count(F.lit(1)) if weight_col is None else F.sum(weight_col)
     return (
         df.where(non_blank(label_col))
@@ -36,7 +37,7 @@ def top_skills(links: DataFrame, skills: DataFrame, n=None, *, skill_id_col: str
 
     Links are counted per skill id first, so the join to the skill dimension
     carries one row per skill, not one per link."""
-    limit = clamp_top_n(n)
+    limit = row_limit(n)
     measure = F.count(F.lit(1)) if weight_col is None else F.sum(weight_col)
     per_skill = links.groupBy(F.col(skill_id_col).alias("_sid")).agg(measure.alias("_n"))
     labelled = per_skill.join(
@@ -52,9 +53,10 @@ def top_skills(links: DataFrame, skills: DataFrame, n=None, *, skill_id_col: str
 
 
 def salary_summary(df: DataFrame, min_col: str = "salary_min", max_col: str = "salary_max") -> DataFrame:
-    """D4 (+B22): one-pass global aggregate; each metric ignores its own NULLs;
-    values rounded half-even to whole units; one row."""
-    lo, hi = F.col(min_col), F.col(max_col)
+    """D4 (+B20, B22): one-pass global aggregate; each metric ignores its own
+    NULLs, and NaN and infinities count as NULL; values rounded half-even to
+    whole units; one row."""
+    lo, hi = finite_or_null(min_col), finite_or_null(max_col)
     return df.agg(
         F.bround(F.min(lo), 0).alias("min_salary_min"),
         F.count(lo).alias("min_salary_min_count"),
@@ -72,7 +74,7 @@ ANALYSES = ("top_companies", "top_roles", "salary_summary", "top_skills")
 
 def run_analysis(postings: DataFrame, links: DataFrame, skills: DataFrame, selected, n=None, *,
                  company_col: str = "company_name", role_col: str = "role_title_en") -> dict[str, DataFrame]:
-    """Any subset of D1-D4 over one (cached) posting projection."""
+    """Any subset of D1-D4 over one posting projection."""
     chosen = [s for s in ANALYSES if s in set(selected or ())]
     out: dict[str, DataFrame] = {}
     for name in chosen:

@@ -8,6 +8,8 @@ rejects the row."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ SHORT_FIELDS = ("company_name", "role_title_en", "location", "country", "city")
 LONG_FIELDS = ("responsibilities", "requirements")
 # Truthy / falsy strings accepted for a boolean field.
 TRUE_STRINGS = ("true", "t", "yes", "y", "on", "1")
+# Fixed value: numbers within strings (a Java double would also take "12d").
+NUMBER_TEXT = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity|nan)$"
 FALSE_STRINGS = ("false", "f", "no", "n", "off", "0")
 # Error categories that stop the remaining primary attempts.
 BARRIER_CATEGORIES = ("rate_limit", "parse_error", "timeout")
@@ -78,15 +82,17 @@ def validate_payloads(df: DataFrame, payload_col: str = "payload", id_col: str =
         vals.append(F.when(k(f) == "STRING", F.col(f"s_{f}")).alias(f))
     for f in NUMBER_FIELDS:
         vals.append(F.when(_is_number(k(f)) | (k(f) == "BOOLEAN"), F.col(f"d_{f}"))
-                    .when(k(f) == "STRING", F.col(f"s_{f}").try_cast("double")).alias(f))
-    vals.append(F.try_to_date(F.col("s_application_deadline"), "yyyy-MM-dd").alias("application_deadline"))
+                    .when((k(f) == "STRING") & F.trim(f"s_{f}").rlike(NUMBER_TEXT), F.trim(f"s_{f}").try_cast("double")).alias(f))
+    # a date, or a timestamp at midnight
+    day = F.regexp_replace("s_application_deadline", r"^(\d{4}-\d{2}-\d{2})[T ]00:00(:00(\.0+)?)?(Z|[+-]00:?00)?$", "$1")
+    vals.append(F.try_to_date(day, "yyyy-MM-dd").alias("application_deadline"))
     vals.append(F.col("s_work_type").alias("work_type"))
     vals.append(F.when(k("has_nondiscrimination_disclaimer").isNull(), F.lit(False))
                 .when(k("has_nondiscrimination_disclaimer") == "BOOLEAN", F.col("b_flag"))
                 .when(F.col("s_flag").isin(*TRUE_STRINGS), F.lit(True))
                 .when(F.col("s_flag").isin(*FALSE_STRINGS), F.lit(False)).alias("has_nondiscrimination_disclaimer"))
     for f in LIST_FIELDS:
-        vals.append(F.when(k(f).isNull() | (k(f) == "ARRAY<VOID>"), F.array().cast("array<string>")).otherwise(F.col(f"a_{f}")).alias(f))
+        vals.append(F.when(k(f).isNull(), F.array().cast("array<string>")).otherwise(F.col(f"a_{f}")).alias(f))
     kinds = [k(f) for f in ALL_FIELDS]
     t = x.select(*vals, *kinds)
     c = F.col
@@ -111,6 +117,7 @@ def validate_payloads(df: DataFrame, payload_col: str = "payload", id_col: str =
                           F.lit("schema: work_type must be one of " + ", ".join(WORK_TYPES))))
     reasons.append(F.when(c("has_nondiscrimination_disclaimer").isNull(), F.lit("schema: has_nondiscrimination_disclaimer must be a boolean")))
     for f in LIST_FIELDS:
+        # [] and [null] are both ARRAY<VOID>
         ok_kind = k(f).isNull() | (k(f) == "ARRAY<VOID>") | (k(f) == "ARRAY<STRING>")
         reasons.append(F.when(~ok_kind, F.lit(f"schema: {f} must be a list of strings"))
                        .when(F.exists(c(f), lambda v: v.isNull()), F.lit(f"schema: {f} must not hold nulls"))
@@ -124,16 +131,16 @@ def validate_payloads(df: DataFrame, payload_col: str = "payload", id_col: str =
     )
     u = t.select("*", py_strip("role_title").alias("_title"), pairs.alias("_pairs"), has_en.alias("_has_en"))
     reasons += [
-        F.when(c("_title") == "", F.lit("domain: role_title is required and cannot be empty")),
-        F.concat(F.lit("domain: "), salary_reason(c("salary_min"), c("salary_max"))),
-        F.when(c("_has_en") & (F.size("skills_en") != F.size("skills")), F.lit("domain: skills and skills_en must have the same length")),
-        F.when(F.exists("_pairs", lambda p: F.length(p["s"]) > MAX_SKILL_LEN), F.lit(f"domain: skill exceeds max length ({MAX_SKILL_LEN})")),
+        F.when(c("_title") == "", F.lit("domain:role_title:empty")),
+        F.concat(F.lit("domain:"), salary_reason(c("salary_min"), c("salary_max"))),
+        F.when(c("_has_en") & (F.size("skills_en") != F.size("skills")), F.lit("domain:skills_en:length_differs")),
+        F.when(F.exists("_pairs", lambda p: F.length(p["s"]) > MAX_SKILL_LEN), F.lit(f"domain:skill:length>{MAX_SKILL_LEN}")),
         F.when(c("_has_en") & F.exists("_pairs", lambda p: F.coalesce(p["e"], F.lit("")) == ""),
-               F.lit("domain: skills_en entries cannot be blank when skills_en is provided")),
+               F.lit("domain:skills_en:blank_entry")),
         F.when(c("_has_en") & F.exists("_pairs", lambda p: F.length(p["e"]) > MAX_SKILL_LEN),
-               F.lit(f"domain: skills_en entry exceeds max length ({MAX_SKILL_LEN})")),
-        F.when(F.size("_pairs") > MAX_SKILLS, F.lit(f"domain: at most {MAX_SKILLS} skills are allowed")),
-        F.concat(F.lit("domain: "), currency_reason(c("salary_currency"))),
+               F.lit(f"domain:skills_en:length>{MAX_SKILL_LEN}")),
+        F.when(F.size("_pairs") > MAX_SKILLS, F.lit(f"domain:skills:more_than_{MAX_SKILLS}")),
+        F.concat(F.lit("domain:"), currency_reason(c("salary_currency"))),
     ]
     reason = F.coalesce(*reasons)
     return u.select(
@@ -220,7 +227,7 @@ def error_category(message, kind=None) -> Column:
     message; ``kind`` (timeout / connection / value / runtime) is tested first."""
     t = F.lower(F.coalesce(F.col(message) if isinstance(message, str) else message, F.lit("")))
     k = F.lower(F.coalesce(F.col(kind) if isinstance(kind, str) else kind, F.lit(""))) if kind is not None else F.lit("")
-    has = lambda *ws: F.exists(F.array(*[F.lit(w) for w in ws]), lambda w: F.contains(t, w))
+    has = lambda *ws: reduce(lambda a, b: a | b, [t.contains(w) for w in ws])
     return (
         F.when(k == "timeout", F.lit("timeout"))
         .when(k == "connection", F.lit("connection"))
@@ -253,89 +260,101 @@ def http_status_class(code) -> Column:
 # ------------------------------------------------------------------ attempts
 def first_usable_attempt(attempts: DataFrame, *, key_col: str = "posting_id", order_col: str = "attempt",
                          tier_col: str = "tier", ok_col: str = "succeeded", category_col: str = "error_category",
-                         payload_col: str = "payload", model_col: str = "model",
-                         message_col: str = "message") -> DataFrame:
-    """J2 + J3: per posting, the first usable payload of an ordered attempt
-    chain, or the exhausted detail.
-
-    Primary attempts run in order until one succeeds; a failure whose category
-    is rate_limit / parse_error / timeout stops the remaining primary
-    attempts (validation failures do not). Fallback attempts stay eligible.
-
-    Built from grouped minima (partial aggregation before the shuffle, so a
-    posting with a huge number of attempts is reduced map-side) joined back
-    by key; no per-posting window. Output: key, payload (NULL when
-    exhausted), used_attempt, tried (primary attempts made), skipped, detail
-    ('model: message' entries plus 'model: skipped after <category>', only
-    for exhausted chains)."""
+                         payload_col: str = "payload", model_col: str = "model", message_col: str = "message",
+                         stop_on=BARRIER_CATEGORIES, fallback_enabled: bool = True, fatal=(), salts: int = 8) -> DataFrame:
+    """J2 + J3: per posting, the payload that its chain of attempts ends with,
+    or why there is none.
+
+    Primary attempts run in order until one succeeds; a failure of a ``stop_on``
+    category ends the primary chain (validation failures do not). Only when the
+    primary chain has brought nothing do the fallback attempts count, wherever
+    they stand in the order. A failure of a ``fatal`` category ends everything.
+
+    What decides (first primary success, first stop, first fallback success)
+    are grouped minima, combined before the shuffle. The counts need a second
+    pass over keys, orders and tiers, spread over ``salts``; entries are made
+    for exhausted chains only. Output: key, payload (NULL when exhausted),
+    used_attempt, tried and skipped (primary attempts), detail (for exhausted
+    chains: 'model: message' and 'model: skipped after <category>', joined)."""
     a = attempts.select(
-        F.col(key_col).alias("_k"), F.col(order_col).alias("_o"), (F.col(tier_col) == "primary").alias("_primary"),
-        F.col(ok_col).alias("_ok"), F.col(category_col).alias("_cat"), F.col(payload_col).alias("_payload"),
-        F.col(model_col).alias("_model"), F.col(message_col).alias("_msg"))
-    barrier = F.col("_primary") & ~F.col("_ok") & F.col("_cat").isin(*BARRIER_CATEGORIES)
-    first_barrier = a.groupBy("_k").agg(
-        F.min_by(F.struct(F.col("_o").alias("at"), F.col("_cat").alias("cat")), F.when(barrier, F.col("_o"))).alias("_b"))
-    a = a.join(first_barrier, "_k")
-    eligible = ~F.col("_primary") | F.col("_b.at").isNull() | (F.col("_o") <= F.col("_b.at"))
-    a = a.withColumn("_eligible", eligible)
-    first_ok = a.groupBy("_k").agg(F.min(F.when(F.col("_eligible") & F.col("_ok"), F.col("_o"))).alias("_used"))
-    a = a.join(first_ok, "_k")
-    before_end = F.col("_used").isNull() | (F.col("_o") <= F.col("_used"))
-    tried = F.col("_eligible") & before_end
-    skipped = ~F.col("_eligible") & before_end
-    exhausted = F.col("_used").isNull()
+        F.col(key_col).alias("_k"), F.col(order_col).alias("_o"), (F.col(tier_col) == "primary").alias("_p"), F.col(ok_col).alias("_ok"),
+        F.col(category_col).alias("_cat"), F.col(payload_col).alias("_payload"), F.col(model_col).alias("_model"), F.col(message_col).alias("_msg"))
+    p, ok, o = F.col("_p"), F.col("_ok"), F.col("_o")
+    at = lambda cond: F.when(cond, o)
+    dead = ~ok & F.col("_cat").isin(*fatal) if fatal else F.lit(False)
+    stop = p & ~ok & (F.col("_cat").isin(*stop_on) if stop_on else F.lit(False)) | p & dead
+    ends = a.groupBy("_k").agg(
+        F.min(at(p & ok)).alias("_win"), F.min_by("_payload", at(p & ok)).alias("_win_payload"),
+        F.min(at(stop)).alias("_stop"), F.min_by("_cat", at(stop)).alias("_stop_cat"), F.min(at(p & dead)).alias("_dead"),
+        F.min(at(~p & ok)).alias("_back"), F.min_by("_payload", at(~p & ok)).alias("_back_payload"))
+    won = F.col("_win").isNotNull() & (F.col("_stop").isNull() | (F.col("_win") < F.col("_stop")))
+    died = ~won & F.col("_dead").isNotNull() & (F.col("_dead") <= F.col("_stop"))
+    saved = ~won & ~died & F.lit(fallback_enabled) & F.col("_back").isNotNull()
+    ends = ends.select(
+        "_k", F.when(won, F.col("_win")).when(saved, F.col("_back")).alias("used_attempt"),
+        F.when(won, F.col("_win_payload")).when(saved, F.col("_back_payload")).alias("payload"),
+        F.when(won, F.col("_win")).otherwise(F.col("_stop")).alias("_last"), F.when(~won, F.col("_stop_cat")).alias("_stop_cat"), won.alias("_won"), died.alias("_died"))
+    spread = ends.select("_k", "_last", "_won", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    narrow = a.where(p).select("_k", "_o", F.pmod(F.xxhash64("_o"), F.lit(salts)).cast("int").alias("_salt")).join(spread, ["_k", "_salt"])
+    over = F.col("_last").isNotNull() & (o > F.col("_last"))
+    counts = narrow.groupBy("_k", "_salt").agg(F.count_if(~over).alias("tried"), F.count_if(over & ~F.col("_won")).alias("skipped")).groupBy("_k").agg(F.sum("tried").alias("tried"), F.sum("skipped").alias("skipped"))
+    lost = a.where(~ok).join(ends.where("used_attempt is null").select("_k", "_last", "_stop_cat", "_died"), "_k")
     entry = (
-        F.when(exhausted & tried & ~F.col("_ok"), F.concat_ws(": ", F.col("_model"), F.coalesce(F.col("_msg"), F.lit(""))))
-        .when(exhausted & skipped, F.concat(F.col("_model"), F.lit(": skipped after "), F.col("_b.cat")))
-    )
-    g = a.groupBy("_k").agg(
-        F.max("_used").alias("used_attempt"),
-        F.min_by(F.col("_payload"), F.when(F.col("_o") == F.col("_used"), F.col("_o"))).alias("payload"),
-        F.count(F.when(tried & F.col("_primary"), F.lit(1))).alias("tried"),
-        F.count(F.when(skipped, F.lit(1))).alias("skipped"),
-        # the chain's entries (a chain is one posting's configured model list)
-        F.array_sort(F.collect_list(F.when(entry.isNotNull(), F.struct(F.col("_o").alias("o"), entry.alias("e"))))).alias("_entries"),
-    )
-    return g.select(
-        F.col("_k").alias(key_col), "payload", "used_attempt", "tried", "skipped",
-        F.when(F.col("used_attempt").isNull(), F.concat_ws("; ", F.transform("_entries", lambda r: r["e"]))).alias("detail"),
+        F.when(p & over, F.concat(F.col("_model"), F.lit(": skipped after "), F.col("_stop_cat")))
+        .when(p | F.lit(fallback_enabled) & ~F.col("_died"), F.concat_ws(": ", "_model", F.coalesce("_msg", F.lit(""))))
     )
+    skipped_ok = a.where(p & ok).join(ends.where("used_attempt is null").select("_k", "_last", "_stop_cat", "_died"), "_k").where(over)
+    entries = lost.unionByName(skipped_ok).select("_k", (~p).alias("_f"), "_o", entry.alias("_e")).where("_e is not null")
+    # one chain's entries: the models configured for one posting
+    detail = entries.groupBy("_k").agg(F.concat_ws("; ", F.transform(F.array_sort(F.collect_list(F.struct("_f", "_o", "_e"))), lambda r: r["_e"])).alias("detail"))
+    out = ends.join(counts, "_k", "left").join(detail, "_k", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select(F.col("_k").alias(key_col), "payload", "used_attempt", zero("tried"), zero("skipped"),
+                      F.when(F.col("used_attempt").isNull(), F.coalesce("detail", F.lit(""))).alias("detail"))
 
 
 def attempt_records(attempts: DataFrame, *, ts_col="ts", key_col="posting_id", provider_col="provider",
                     model_col="model", ok_col="succeeded", latency_col="latency_ms", category_col="error_category",
-                    order_col="attempt", tier_col="tier", hash_col="content_hash", chars_col="posting_chars") -> DataFrame:
-    """The attempt-log record (never the text itself)."""
+                    order_col="attempt", tier_col="tier", hash_col="content_hash", chars_col="posting_chars",
+                    index_col="chain_index", usage_cols=()) -> DataFrame:
+    """The attempt-log record (never the text itself). ``index_col``
+    is the attempt's place in its chain, from 0; ``usage_cols`` (token counts)
+    are passed on."""
     return attempts.select(
         F.col(ts_col).alias("timestamp"), F.col(key_col).cast("string").alias("extract_id"),
         F.col(provider_col).alias("provider"), F.col(model_col).alias("model"),
         F.when(F.col(ok_col), F.lit("success")).otherwise(F.lit("failure")).alias("status"),
         F.col(latency_col).cast("int").alias("response_time_ms"),
-        (F.col(tier_col) != "primary").alias("fallback_used"),
-        F.lit("n/a").alias("validation_result"),
+        # every attempt after the chain's first one
+        ((F.col(tier_col) != "primary") | (F.col(index_col) > 0)).alias("fallback_used"),
+        F.when(F.col(ok_col), F.lit("accepted")).when(F.col(category_col) == "validation_failure", F.lit("rejected")).otherwise(F.lit("n/a")).alias("validation_result"),
         F.when(~F.col(ok_col), F.col(category_col)).alias("error_category"),
         F.col(order_col).cast("int").alias("attempt_index"),
         F.col(chars_col).cast("int").alias("posting_chars"),
         F.substring(F.col(hash_col), 1, 12).alias("content_hash_prefix"),
+        *usage_cols,
     )
 
 
-def log_health(records: DataFrame, exact: bool = True) -> DataFrame:
+def log_health(records: DataFrame) -> DataFrame:
     """Per provider and model: attempts, success rate, category counts,
-    fallback share, median and p95 latency. ``exact=False`` uses
-    ``percentile_approx`` (bounded memory per group at scale)."""
-    lat = F.col("response_time_ms").cast("double")
-    if exact:
-        p50, p95 = F.percentile(lat, 0.5), F.percentile(lat, 0.95)
-    else:
-        p50, p95 = F.percentile_approx(lat, 0.5, 10000), F.percentile_approx(lat, 0.95, 10000)
+    fallback share, exact median and p95 latency, token sums where the records
+    have them.
+
+    Records are counted per latency first, so what a group keeps for its
+    percentiles is bounded by its distinct latencies (whole milliseconds)."""
+    group = ["provider", "model"]
     n = F.count(F.lit(1))
-    return records.groupBy("provider", "model").agg(
+    tokens = [c for c in ("prompt_tokens", "completion_tokens", "total_tokens") if c in records.columns]
+    totals = records.groupBy(*group).agg(
         n.alias("attempts"),
         F.count_if(F.col("status") == "success").alias("successes"),
         round_half_even(F.count_if(F.col("status") == "success") / n, 4).alias("success_rate"),
         *[F.count_if(F.col("error_category") == c).alias(f"n_{c}") for c in
           ("rate_limit", "parse_error", "timeout", "validation_failure", "api_error", "connection", "other")],
         round_half_even(F.count_if(F.col("fallback_used")) / n, 4).alias("fallback_share"),
-        p50.alias("latency_p50"), p95.alias("latency_p95"),
-    )
+        *[F.sum(c).alias(c) for c in tokens])
+    lat = F.col("response_time_ms").cast("double")
+    seen = records.where(lat.isNotNull()).groupBy(*group, lat.alias("_l")).agg(n.alias("_n"))
+    share = seen.groupBy(*group).agg(F.percentile("_l", 0.5, F.col("_n")).alias("latency_p50"), F.percentile("_l", 0.95, F.col("_n")).alias("latency_p95"))
+    return totals.join(share, group, "left")

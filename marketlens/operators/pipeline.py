@@ -4,7 +4,6 @@ versioned table store for upserts without a table format (L4)."""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -95,14 +94,15 @@ def posting_by_id(view: DataFrame, posting_id: int) -> DataFrame:
     return view.where(F.col("id") == int(posting_id))
 
 
-def per_series_model(name: str, fn: Callable[[pd.DataFrame, int], pd.DataFrame]):
+def per_series_model(name: str, fn: Callable[[pd.DataFrame, int], pd.DataFrame], min_history: int = 0):
     """L2: wrap a user's per-series Python model ``fn(series_pdf, horizon) ->
     pdf[horizon_months, predicted_value]`` as a forecaster. Each series is one
-    ``applyInPandas`` group; a series holds at most the window's months."""
+    ``applyInPandas`` group; a series holds at most the window's months.
+    Series of fewer than ``min_history`` months give an error row."""
     from marketlens.operators.forecast import ModelOutput, _gate  # local import: avoid a cycle
 
     def model(series: DataFrame, horizon: int) -> ModelOutput:
-        ok, errs = _gate(series, "arima")
+        ok, errs = _gate(series, name, min_history)
 
         def apply(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("t")
@@ -119,37 +119,3 @@ def per_series_model(name: str, fn: Callable[[pd.DataFrame, int], pd.DataFrame])
         return ModelOutput(pts, metrics, errs.withColumn("model_name", F.lit(name)))
 
     return model
-
-
-class TableStore:
-    """L4: named tables as versioned Parquet folders ``<base>/<name>/v=<n>``
-    under a shared base path. A save writes the next version (the folder's
-    files appear at job commit); a load reads the highest version. A table
-    is never overwritten while it is read, and an upsert is "read the
-    current version, merge, save the next one"."""
-
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base
-
-    def _all(self, name: str):
-        try:
-            return self.spark.read.parquet(os.path.join(self.base, name))
-        except Exception:  # noqa: BLE001 - table not written yet
-            return None
-
-    def current_version(self, name: str) -> int | None:
-        df = self._all(name)
-        if df is None:
-            return None
-        return df.select(F.max("v")).first()[0]
-
-    def load(self, name: str) -> DataFrame:
-        v = self.current_version(name)
-        if v is None:
-            raise FileNotFoundError(name)
-        return self._all(name).where(F.col("v") == v).drop("v")
-
-    def save(self, name: str, df: DataFrame) -> int:
-        v = (self.current_version(name) or 0) + 1
-        df.write.mode("overwrite").parquet(os.path.join(self.base, name, f"v={v}"))
-        return v

@@ -13,11 +13,11 @@ EDITABLE = ("company_name", "role_title", "role_title_en", "salary_min", "salary
             "has_nondiscrimination_disclaimer", "location", "country", "city")
 
 
-def parse_feed(feed: DataFrame, id_col: str = "posting_id") -> DataFrame:
+def parse_feed(feed: DataFrame, id_col: str = "posting_id", extra=()) -> DataFrame:
     """A10: text fields -> typed. Blank -> NULL; salaries must parse as
     numbers (else a reject reason); the English skill list is split on line
     breaks with blank entries dropped (B16 makes it both lists); work type
-    must be a known value."""
+    must be a known value. ``extra`` columns (a sequence number) are kept."""
     def num(c):
         s = optional_stripped(c)
         v = s.try_cast("double")
@@ -30,7 +30,7 @@ def parse_feed(feed: DataFrame, id_col: str = "posting_id") -> DataFrame:
     skills = F.filter(F.transform(F.split(F.coalesce(F.col("skills_en"), F.lit("")), "\\R"), lambda x: py_strip(x)),
                       lambda x: x != "")
     return feed.select(
-        F.col(id_col),
+        F.col(id_col), *extra,
         optional_stripped("company_name").alias("company_name"),
         F.coalesce(py_strip("role_title"), F.lit("")).alias("role_title"),
         optional_stripped("role_title_en").alias("role_title_en"),
@@ -44,13 +44,17 @@ def parse_feed(feed: DataFrame, id_col: str = "posting_id") -> DataFrame:
     )
 
 
-def apply_corrections(postings: DataFrame, feed: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_corrections(postings: DataFrame, feed: DataFrame, id_col: str = "id", seq_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """H4: validate parsed corrections with the extraction rules (the stored
     currency is kept), reject unknown ids, replace the editable columns of
-    accepted rows outright (a NULL correction clears the value).
+    accepted rows outright (a NULL correction clears the value). Of several
+    corrections of one posting the last by ``seq_col`` counts (without it, the
+    greatest row), so a posting stays one row.
 
     Returns (postings after the update, accepted corrections with their skill
     lists for the link rebuild, rejects (posting_id, reason))."""
+    last = F.struct(*([F.col(seq_col)] if seq_col else []), F.to_json(F.struct(*feed.columns)))
+    feed = feed.groupBy("posting_id").agg(F.max_by(F.struct(*feed.columns), last).alias("_f")).select("_f.*")
     stored = postings.select(F.col(id_col).alias("posting_id"), "salary_currency", F.lit(True).alias("_known"))
     known = feed.join(stored, "posting_id", "left")
     # the stored currency is kept: it goes through the same checks unchanged

@@ -39,9 +39,7 @@ class RunOutcome:
 def run_forecast(*, monthly_roles: DataFrame, weekly_roles: DataFrame, monthly_skills: DataFrame,
                  weekly_skills: DataFrame, training_window_months: int = 24, horizons=None, models=None,
                  top_k: int = forecast.DEFAULT_TOP_K, data_source: str = "database") -> RunOutcome:
-    window = forecast.normalize_window(training_window_months)
-    horizon_list = forecast.normalize_horizons(horizons)
-    model_list = forecast.normalize_models(models)
+    model_list, horizon_list, window = forecast.run_parameters(models, horizons, training_window_months)
     max_h = max(horizon_list)
     spark = monthly_roles.sparkSession
 

@@ -136,6 +136,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return e.select(
         F.col("user_id").alias("posting_id"), F.col("event_id").alias("attempt"), F.col("ts"),
+        F.length("props").alias("prompt_tokens"),
         F.when(et == "purchase", F.lit("fallback")).otherwise(F.lit("primary")).alias("tier"),
         et.isin("view", "purchase").alias("succeeded"),
         cat.alias("error_category"),
@@ -149,6 +150,15 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def indexed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempts with ``chain_index``: 0 for a chain's first primary attempt,
+    1 for all others (enough to tell which ones are fallbacks)."""
+    a = attempts(spark, sf_dir)
+    first = a.where("tier = 'primary'").groupBy("posting_id").agg(F.min("attempt").alias("_first"))
+    index = F.when(F.col("attempt").eqNullSafe(F.col("_first")), 0).otherwise(1)
+    return a.join(first, "posting_id", "left").withColumn("chain_index", index).drop("_first")
+
+
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat responses from ``conversations``: assistant turns return a fenced
     JSON object, system turns a JSON array, user turns plain prose; usage
@@ -156,7 +166,7 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cv = read_table(spark, sf_dir, "conversations")
     role = F.col("role")
     content = (
-        F.when(role == "assistant", F.concat(F.lit("```json\n"), F.to_json(F.struct(F.substring("text", 1, 40).alias("role_title"))), F.lit("\n```")))
+        F.when(role == "assistant", F.concat(F.lit("```json\n"), F.to_json(F.struct(F.col("text").alias("role_title"))), F.lit("\n```")))
         .when(role == "system", F.to_json(F.array("text")))
         .otherwise(F.col("text"))
     )

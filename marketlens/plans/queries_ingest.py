@@ -23,7 +23,7 @@ FP = f"sha256(trim(text, {WS}))"
 # ------------------------------------------------------------------ G4, H1, C7, B18, B19
 @query("dedup_documents", f"""
 SELECT {FP} AS content_hash, min(doc_id) AS first_doc_id, count(*) AS copies
-FROM documents WHERE length(trim(text, {WS})) BETWEEN 1 AND 100000 GROUP BY 1""")
+FROM documents WHERE length(trim(text, {WS})) >= 1 GROUP BY 1""")
 def q_dedup(spark, d):
     a = ingest.admit_texts(b.documents(spark, d)).select("doc_id", "content_hash")
     return ingest.first_per_hash(a, "doc_id")
@@ -31,8 +31,7 @@ def q_dedup(spark, d):
 
 @query("ingest_documents", f"""
 WITH a AS (
-  SELECT doc_id, CASE WHEN length(trim(coalesce(text, ''), {WS})) = 0 THEN 'empty posting text'
-                      WHEN length(trim(text, {WS})) > 100000 THEN printf('posting text exceeds 100000 characters (%d)', length(trim(text, {WS}))) END AS reject_reason,
+  SELECT doc_id, CASE WHEN length(trim(coalesce(text, ''), {WS})) = 0 THEN 'text:empty' END AS reject_reason,
          {FP} AS h FROM documents),
 a2 AS (SELECT doc_id, reject_reason, CASE WHEN reject_reason IS NULL THEN h END AS content_hash FROM a),
 f AS (SELECT content_hash, min(doc_id) AS first_id FROM a2 WHERE content_hash IS NOT NULL GROUP BY 1),
@@ -69,10 +68,10 @@ f AS (
 v AS (
   SELECT *, CASE
     WHEN salary_min < 0 THEN 'schema: salary_min must be >= 0'
-    WHEN salary_min > salary_max THEN 'domain: salary_min cannot be greater than salary_max'
-    WHEN blank_en THEN 'domain: skills_en entries cannot be blank when skills_en is provided'
+    WHEN salary_min > salary_max THEN 'domain:salary_min:above_salary_max'
+    WHEN blank_en THEN 'domain:skills_en:blank_entry'
     WHEN cur IS NOT NULL AND NOT regexp_full_match(upper(trim(cur, {WS})), '[A-Z]{{3}}')
-      THEN 'domain: salary_currency must be a 3-letter code (e.g. EUR), got ''' || cur || '''' END AS reason
+      THEN 'domain:salary_currency:not_a_code:' || cur END AS reason
   FROM f)"""
 
 
@@ -90,10 +89,12 @@ def q_validate(spark, d):
 
 
 def accepted_payloads(spark, d):
-    """Accepted payloads, persisted: the table is read by several branches
-    (labels, skills, pairs), and the cache keeps the optimizer from pushing
-    the acceptance filter (the whole validation) into each of them."""
-    return extraction.validate_payloads(b.payloads(spark, d)).persist().where("accepted")
+    """Accepted payloads, written to the shared folder: the table is read by
+    several branches (labels, skills, pairs), and none of them validates again."""
+    path = os.path.join(checkpoint_dir(spark), "accepted-" + uuid.uuid4().hex)
+    v = extraction.validate_payloads(b.payloads(spark, d))
+    v.where("accepted").write.parquet(path)
+    return spark.read.schema(v.schema).parquet(path)
 
 
 # Glossary from the part table: p_name -> p_name with dashes (one line per
@@ -143,7 +144,7 @@ _GLOSSARY_SQL = _PAYLOAD_SQL + f"""
                 arg_max(trim(replace(p_name, ' ', '-'), {WS}), p_partkey) AS english, max(p_partkey) AS seq
          FROM part GROUP BY 1),
 acc AS (SELECT payload_id FROM v WHERE reason IS NULL),
-pr AS (SELECT l.l_orderkey * 100 + row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey) AS seq,
+pr AS (SELECT l.l_orderkey * 1000000 + row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey) AS seq,
               trim(p.p_name, {WS}) AS original, trim(p.p_brand, {WS}) AS english
        FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey WHERE l.l_orderkey IN (SELECT payload_id FROM acc)),
 st AS (SELECT key, original, english, -1 AS seq, true AS is_old FROM g0 WHERE lower(original) <> lower(english)
@@ -161,7 +162,7 @@ FROM ch GROUP BY key"""
 def q_glossary_merge(spark, d):
     v = accepted_payloads(spark, d)
     pairs = glossary.candidate_pairs(v.withColumnRenamed("payload_id", "id"))
-    pairs = pairs.select((F.col("id") * 100 + F.col("pos")).alias("seq"), "original", "english")
+    pairs = pairs.select((F.col("id") * 1_000_000 + F.col("pos")).alias("seq"), "original", "english")
     merged, actions = glossary.merge(part_glossary(spark, d), pairs)
     return merged
 
@@ -179,31 +180,25 @@ WITH a AS (
          WHEN event_type = 'signup' THEN 'validation_failure' WHEN event_type = 'click' THEN 'api_error' END, 'ok') || ' after ' || format('{:,.2f}', value) || ' ms' AS message,
     value * 100 AS latency_ms
   FROM events),
-b AS (
-  SELECT *,
-    max(CASE WHEN tier = 'primary' AND NOT ok AND cat IN ('rate_limit', 'parse_error', 'timeout') THEN attempt END)
-      OVER (PARTITION BY posting_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS barrier_at,
-    first(CASE WHEN tier = 'primary' AND NOT ok AND cat IN ('rate_limit', 'parse_error', 'timeout') THEN cat END IGNORE NULLS)
-      OVER (PARTITION BY posting_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS barrier_cat
-    FROM a),
-b2 AS (
-  SELECT *, coalesce(max(CAST((tier <> 'primary' OR barrier_at IS NULL) AND ok AS INTEGER))
-      OVER (PARTITION BY posting_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done_before
-  FROM b),
-c AS (
-  SELECT *, (tier <> 'primary' OR barrier_at IS NULL) AND done_before = 0 AS tried,
-    tier = 'primary' AND barrier_at IS NOT NULL AND done_before = 0 AS skipped FROM b2)
+e AS (
+  SELECT posting_id, min(attempt) FILTER (tier = 'primary') AS first_primary, min(attempt) FILTER (tier = 'primary' AND ok) AS win,
+    min(attempt) FILTER (tier = 'primary' AND NOT ok AND cat IN ('rate_limit', 'parse_error', 'timeout')) AS stop,
+    min(attempt) FILTER (tier <> 'primary' AND ok) AS back
+  FROM a GROUP BY posting_id),
+d AS (
+  SELECT e.*, win IS NOT NULL AND (stop IS NULL OR win < stop) AS won FROM e)
 """
 
 
 @query("first_usable_attempt", _ATT_SQL + """
-SELECT posting_id, arg_min(CASE WHEN tried AND ok THEN payload END, CASE WHEN tried AND ok THEN attempt END) AS payload,
-  min(CASE WHEN tried AND ok THEN attempt END) AS used_attempt,
-  count(CASE WHEN tried AND tier = 'primary' THEN 1 END) AS tried,
-  count(CASE WHEN skipped THEN 1 END) AS skipped,
-  CASE WHEN min(CASE WHEN tried AND ok THEN attempt END) IS NULL THEN
-    string_agg(CASE WHEN tried AND NOT ok THEN model || ': ' || message WHEN skipped THEN model || ': skipped after ' || barrier_cat END, '; ' ORDER BY attempt) END AS detail
-FROM c GROUP BY posting_id""")
+SELECT a.posting_id, max(a.payload) FILTER (a.attempt = CASE WHEN won THEN win ELSE back END) AS payload,
+  any_value(CASE WHEN won THEN win ELSE back END) AS used_attempt,
+  count(*) FILTER (tier = 'primary' AND (CASE WHEN won THEN attempt <= win ELSE stop IS NULL OR attempt <= stop END)) AS tried,
+  count(*) FILTER (tier = 'primary' AND NOT won AND attempt > stop) AS skipped,
+  CASE WHEN bool_and(NOT won AND back IS NULL) THEN string_agg(
+    CASE WHEN tier = 'primary' AND attempt > stop THEN model || ': skipped after ' || (SELECT s.cat FROM a s WHERE s.attempt = d.stop AND s.posting_id = d.posting_id)
+         ELSE model || ': ' || message END, '; ' ORDER BY tier <> 'primary', attempt) END AS detail
+FROM a JOIN d ON d.posting_id = a.posting_id GROUP BY a.posting_id""")
 def q_first_usable(spark, d):
     return extraction.first_usable_attempt(b.attempts(spark, d))
 
@@ -214,12 +209,12 @@ SELECT CASE WHEN tier = 'fallback' THEN 'ollama' ELSE 'openrouter' END AS provid
   count_if(NOT ok AND cat = 'rate_limit') AS n_rate_limit, count_if(NOT ok AND cat = 'parse_error') AS n_parse_error,
   count_if(NOT ok AND cat = 'timeout') AS n_timeout, count_if(NOT ok AND cat = 'validation_failure') AS n_validation_failure,
   count_if(NOT ok AND cat = 'api_error') AS n_api_error, count_if(NOT ok AND cat = 'connection') AS n_connection,
-  count_if(NOT ok AND cat = 'other') AS n_other, """ + S.rnd("count_if(tier <> 'primary') / count(*)", 4) + """ AS fallback_share,
+  count_if(NOT ok AND cat = 'other') AS n_other, """ + S.rnd("count_if(tier <> 'primary' OR attempt <> first_primary) / count(*)", 4) + """ AS fallback_share, sum(length(payload)) AS prompt_tokens,
   quantile_cont(CAST(CAST(trunc(latency_ms) AS INTEGER) AS DOUBLE), 0.5) AS latency_p50,
   quantile_cont(CAST(CAST(trunc(latency_ms) AS INTEGER) AS DOUBLE), 0.95) AS latency_p95
-FROM a GROUP BY 1, 2""")
+FROM a JOIN d USING (posting_id) GROUP BY 1, 2""")
 def q_log_health(spark, d):
-    rec = extraction.attempt_records(b.attempts(spark, d))
+    rec = extraction.attempt_records(b.indexed_attempts(spark, d), usage_cols=("prompt_tokens",))
     return extraction.log_health(rec)
 
 
@@ -231,7 +226,7 @@ SELECT conv_id, turn,
        WHEN try(json(text)) IS NOT NULL AND json_type(text) = 'OBJECT' THEN NULL
        WHEN try(json(text)) IS NOT NULL THEN 'JSON content is not an object'
        ELSE 'non-JSON message content' END AS reason,
-  CASE WHEN role = 'assistant' THEN substring(text, 1, 40) END AS role_title,
+  CASE WHEN role = 'assistant' THEN text END AS role_title,
   CAST(length(text) AS INTEGER) AS prompt_tokens, CAST(turn AS INTEGER) AS completion_tokens,
   CAST(length(text) + turn AS INTEGER) AS total_tokens
 FROM conversations""")
@@ -312,26 +307,26 @@ def _stream_source(spark, d, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-@query("stream_ingest_hashes", f"SELECT DISTINCT {FP} AS content_hash FROM documents WHERE length(trim(text, {WS})) BETWEEN 1 AND 100000")
+@query("stream_ingest_hashes", f"SELECT DISTINCT {FP} AS content_hash FROM documents WHERE length(trim(text, {WS})) >= 1")
 def q_stream_ingest(spark, d):
-    from marketlens.streaming.ingest import dedup_stream, drain_to_memory
+    from marketlens.streaming.ingest import dedup_stream, drain
 
-    s = dedup_stream(_stream_source(spark, d, "documents").select("doc_id", "text")).select("content_hash")
-    name = "k1_" + uuid.uuid4().hex[:8]
-    return drain_to_memory(s, name, os.path.join(checkpoint_dir(spark), name))
+    s = dedup_stream(_stream_source(spark, d, "documents").select("doc_id", "text"))
+    at = os.path.join(checkpoint_dir(spark), "k1_" + uuid.uuid4().hex[:8])
+    return drain(s, at + "_store", at, hash_col="content_hash").select("content_hash")
 
 
 @query("stream_event_day_counts", """
 SELECT CAST(ts AS DATE) AS period_start, event_type, count(*) AS n, """ + S.rnd("sum(value)", 6) + """ AS value_sum
 FROM events GROUP BY 1, 2""")
 def q_stream_days(spark, d):
-    from marketlens.streaming.ingest import drain_to_memory, period_counts_stream
+    from marketlens.streaming.ingest import drain, period_counts_stream
 
     s = period_counts_stream(_stream_source(spark, d, "events"))
-    name = "k2_" + uuid.uuid4().hex[:8]
+    at = os.path.join(checkpoint_dir(spark), "k2_" + uuid.uuid4().hex[:8])
     # complete mode: a finite input is drained whole (append mode would hold
     # back the last windows until later events move the watermark)
-    out = drain_to_memory(s, name, os.path.join(checkpoint_dir(spark), name), mode="complete")
+    out = drain(s, at + "_out", at, mode="complete")
     return out.select("period_start", "event_type", "n", round_half_even("value_sum", 6).alias("value_sum"))
 
 
@@ -339,9 +334,51 @@ def q_stream_days(spark, d):
 SELECT """ + S.period("ts", "W-MON") + """ AS period_start, event_type, count(*) AS n, """ + S.rnd("sum(value)", 6) + """ AS value_sum
 FROM events GROUP BY 1, 2""")
 def q_stream_weeks(spark, d):
-    from marketlens.streaming.ingest import drain_to_memory, period_counts_stream
+    from marketlens.streaming.ingest import drain, period_counts_stream
 
     s = period_counts_stream(_stream_source(spark, d, "events"), freq="W-MON")
-    name = "k2w_" + uuid.uuid4().hex[:8]
-    out = drain_to_memory(s, name, os.path.join(checkpoint_dir(spark), name), mode="complete")
+    at = os.path.join(checkpoint_dir(spark), "k2w_" + uuid.uuid4().hex[:8])
+    out = drain(s, at + "_out", at, mode="complete")
     return out.select("period_start", "event_type", "n", round_half_even("value_sum", 6).alias("value_sum"))
+
+
+# ------------------------------------------------------------------ H4, A10: corrections of every tenth order, two for every twentieth
+@query("review_corrections", """
+WITH f AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 20 = 0 THEN 2 ELSE 1 END AS seq FROM orders WHERE o_orderkey % 10 = 0),
+p AS (SELECT o_orderkey AS id, o_orderpriority AS role_title, CAST(o_totalprice / 10.0 AS DOUBLE) AS salary_min FROM orders)
+SELECT p.id, CASE WHEN f.seq IS NULL THEN p.role_title ELSE 'Corrected ' || f.seq END AS role_title,
+  CASE WHEN f.seq IS NULL THEN p.salary_min ELSE 1000.0 * f.seq END AS salary_min,
+  count(*) OVER (PARTITION BY p.id) AS rows_of_id
+FROM p LEFT JOIN f USING (id)""")
+def q_review(spark, d):
+    from marketlens.operators import review
+
+    o = read_table(spark, d, "orders")
+    text = lambda c: F.lit(None).cast("string").alias(c)
+    postings = o.select(F.col("o_orderkey").alias("id"), text("company_name"), F.col("o_orderpriority").alias("role_title"), text("role_title_en"),
+                        (F.col("o_totalprice") / 10.0).alias("salary_min"), F.lit(None).cast("double").alias("salary_max"), F.lit("unknown").alias("work_type"),
+                        F.lit(False).alias("has_nondiscrimination_disclaimer"), text("location"), text("country"), text("city"), text("salary_currency"))
+    seqs = F.when(F.col("o_orderkey") % 20 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    raw = o.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("posting_id"), F.explode(seqs).alias("seq"))
+    raw = raw.select("posting_id", "seq", text("company_name"), F.concat(F.lit(" Corrected "), "seq").alias("role_title"), text("role_title_en"),
+                     (F.col("seq") * 1000).cast("string").alias("salary_min"), text("salary_max"), text("work_type"), F.lit(False).alias("has_nondiscrimination_disclaimer"),
+                     text("location"), text("country"), text("city"), F.lit("sql\nspark").alias("skills_en"))
+    feed = review.parse_feed(raw, extra=("seq",))
+    out, _, _ = review.apply_corrections(postings, feed, seq_col="seq")
+    n = out.groupBy("id").agg(F.count(F.lit(1)).alias("rows_of_id"))
+    return out.join(n, "id").select("id", "role_title", "salary_min", "rows_of_id")
+
+
+# ------------------------------------------------------------------ H2 against a store that has skills already
+@query("skill_upsert_existing", """
+WITH st AS (SELECT lower(trim(p_name)) AS name, min(p_brand) AS dn, min(p_name) AS en FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
+m AS (SELECT lower(trim(p_name)) AS name, arg_min(trim(p_brand), p_partkey) AS o, arg_min(trim(p_name), p_partkey) AS e FROM part GROUP BY 1)
+SELECT m.name, coalesce(st.dn, m.o) AS display_name, coalesce(st.en, m.e) AS display_name_en, st.name IS NOT NULL AS was_stored
+FROM m LEFT JOIN st USING (name)""")
+def q_skill_upsert_existing(spark, d):
+    p = read_table(spark, d, "part").select(F.lower(F.trim("p_name")).alias("name"), "p_partkey", "p_name", "p_brand")
+    stored = p.where("p_partkey % 2 = 0").groupBy("name").agg(F.min("p_partkey").alias("id"), F.min("p_brand").alias("display_name"), F.min("p_name").alias("display_name_en")).select("id", "name", "display_name", "display_name_en")
+    v = p.select(F.col("p_partkey").alias("payload_id"), F.array("p_brand").alias("skills"), F.array("p_name").alias("skills_en"))
+    up = skills.upsert_skills(stored, skills.skill_mentions(v, id_col="payload_id"))
+    old = stored.select("name", F.lit(True).alias("_old"))
+    return up.join(old, "name", "left").select("name", "display_name", "display_name_en", F.coalesce("_old", F.lit(False)).alias("was_stored"))

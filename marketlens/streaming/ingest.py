@@ -1,9 +1,9 @@
 """Structured Streaming forms of ingest (K1) and period counts (K2).
 
-K1: new texts arrive as files; each content hash is kept once. The stream
-deduplicates within a watermark (bounded state), and every micro-batch is
-anti-joined with the stored postings before it is appended, so a hash seen
-long ago (outside the watermark) is still not stored twice. The append is
+K1: new texts arrive as files; each content hash is kept once. Given an
+event time, the stream drops copies within a watermark (state that expires);
+every micro-batch is reduced to one row per hash and anti-joined with the
+stored postings before it is appended with its text. The append is
 idempotent per batch id, so a retried micro-batch after an executor loss
 does not duplicate rows.
 
@@ -16,6 +16,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlens.functions.dates import period_start
 from marketlens.functions.text import fingerprint, text_size_reason
@@ -26,33 +27,39 @@ def text_stream(spark: SparkSession, directory: str, fmt: str = "parquet", schem
 
 
 def dedup_stream(stream: DataFrame, *, event_time: str | None = None, watermark: str = "1 day") -> DataFrame:
-    """K1 state: admitted texts with their fingerprint, one row per hash.
-    With an event-time column the state is bounded by the watermark."""
+    """K1: admitted texts with their fingerprint. With an event-time column,
+    copies within the watermark are dropped by state that expires with it;
+    without one the stream keeps no state, and the sink (``append_new``) drops
+    copies within a batch and those that are stored."""
     s = stream.where(text_size_reason("text").isNull()).withColumn("content_hash", fingerprint("text"))
     if event_time is not None:
         return s.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["content_hash"])
-    return s.dropDuplicates(["content_hash"])
+    return s
 
 
-def _read_or_none(spark: SparkSession, path: str):
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no store yet
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The store (its columns and ``batch``), or None where there is none yet;
+    other failures are raised."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return None
+    fields = [f for f in schema.fields if f.name != "batch"]
+    return spark.read.schema(T.StructType([*fields, T.StructField("batch", T.LongType())])).parquet(path)
 
 
-def append_new(store_path: str, id_col: str = "doc_id"):
+def append_new(store_path: str, hash_col: str | None = "content_hash"):
     """foreachBatch sink: anti-join the micro-batch with the store by hash,
-    then write it as the store's ``batch=<id>`` folder. A retried batch
-    overwrites its own folder (idempotent) and is anti-joined only against
-    the other batches."""
+    then write all its columns as the store's ``batch=<id>`` folder. A retried
+    batch overwrites its own folder (idempotent) and is anti-joined only
+    against the other batches. Without ``hash_col`` every row is written."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(id_col, "content_hash")
-        stored = _read_or_none(spark, store_path)
-        if stored is not None:
-            rows = rows.join(stored.where(F.col("batch") != batch_id).select("content_hash"), "content_hash", "left_anti")
+        rows = batch
+        if hash_col is not None:
+            rows = rows.groupBy(hash_col).agg(F.min(F.struct(*[c for c in batch.columns if c != hash_col])).alias("_r")).select(hash_col, "_r.*").select(*batch.columns)
+            stored = _stored(batch.sparkSession, store_path, batch.schema)
+            if stored is not None:
+                rows = rows.join(stored.where(F.col("batch") != batch_id).select(hash_col), hash_col, "left_anti")
         rows.write.mode("overwrite").parquet(os.path.join(store_path, f"batch={batch_id}"))
 
     return write
@@ -85,9 +92,15 @@ def period_counts_stream(stream: DataFrame, *, ts_col: str = "ts", key_col: str
     return s.groupBy(period_start(F.col(ts_col), freq).alias("period_start"), key_col).agg(*aggs)
 
 
-def drain_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append"):
-    """Run a streaming frame to completion into a memory table (tests)."""
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append", hash_col: str | None = None) -> DataFrame:
+    """Run a streaming frame to the end of its input and return what it wrote
+    to Parquet folders under ``path`` (shared storage). In complete mode the
+    last batch has the whole result."""
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(path, "batch=0"))
+
+    write = append_new(path, hash_col) if mode == "append" else replace
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    out = _stored(df.sparkSession, path, df.schema)
+    return df.sparkSession.createDataFrame([], df.schema) if out is None else out.select(*df.columns)

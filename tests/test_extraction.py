@@ -33,12 +33,12 @@ def test_schema_cases(spark):
     assert r[0].accepted and r[0].work_type == "unknown" and r[0].has_nondiscrimination_disclaimer is False
     assert not r[1].accepted and r[1].reason.startswith("schema")
     assert not r[2].accepted and r[2].reason.startswith("schema")
-    assert r[3].reason == "domain: role_title is required and cannot be empty"
-    assert r[4].reason.startswith("domain: salary_min") and "greater" in r[4].reason
+    assert r[3].reason == "domain:role_title:empty"
+    assert r[4].reason == "domain:salary_min:above_salary_max"
     assert r[5].reason.startswith("schema: salary_min")
     assert r[6].accepted and r[6].skills == ["Python", "SQL"] and r[6].skills_en == ["Python", "SQL"]
-    assert "same length" in r[7].reason
-    assert not r[8].accepted and "3-letter" in r[8].reason
+    assert r[7].reason == "domain:skills_en:length_differs"
+    assert not r[8].accepted and "not_a_code" in r[8].reason
     assert r[9].accepted and r[9].salary_currency == "EUR"
     assert r[10].accepted and r[10].salary_min == 10.0 and r[10].salary_max is None
     assert not r[11].accepted  # a number is not a string
@@ -69,6 +69,9 @@ def test_attempt_chain(spark):
         (4, 0, "primary", False, "validation_failure", None, "m1", "schema"), (4, 1, "primary", True, None, "p4", "m2", None),
         (5, 0, "primary", False, "api_error", None, "m1", "e1"), (5, 1, "primary", False, "timeout", None, "m2", "t"),
         (5, 2, "primary", True, None, "x", "m3", None),
+        # a fallback that stands before a primary success is not used
+        (6, 0, "primary", False, "api_error", None, "m1", "e"), (6, 1, "fallback", True, None, "f", "local", None), (6, 2, "primary", True, None, "p6", "m2", None),
+        (7, 0, "primary", False, "timeout", None, "m1", "t"), (7, 1, "fallback", False, "connection", None, "local", "down"),
     ]
     got = {r.posting_id: r for r in extraction.first_usable_attempt(_attempts(spark, rows)).collect()}
     assert got[1].payload == "p1" and got[1].tried == 1
@@ -77,6 +80,31 @@ def test_attempt_chain(spark):
     assert got[4].payload == "p4"
     assert got[5].payload is None and got[5].tried == 2
     assert got[5].detail == "m1: e1; m2: t; m3: skipped after timeout"
+    assert (got[6].payload, got[6].used_attempt, got[6].tried) == ("p6", 2, 2)
+    assert got[7].payload is None and got[7].detail == "m1: t; local: down"
+    # the chain's controls
+    run = lambda **k: {r.posting_id: r for r in extraction.first_usable_attempt(_attempts(spark, rows), **k).collect()}
+    assert run(fallback_enabled=False)[3].payload is None and run(fallback_enabled=False)[7].detail == "m1: t"
+    assert run(stop_on=())[3].payload == "x" and run(stop_on=("timeout",))[5].payload is None
+    assert run(fatal=("rate_limit",))[3].payload is None
+
+
+def test_payload_field_verdicts(spark):
+    base = {"role_title": "E"}
+    cases = [({"skills": [None]}, False), ({"skills": []}, True), ({"salary_min": "12d"}, False), ({"salary_min": " 12.5 "}, True),
+             ({"application_deadline": "2024-01-01T00:00:00"}, True), ({"application_deadline": "2024-01-01T10:00:00"}, False)]
+    df = spark.createDataFrame([(i, json.dumps(base | c)) for i, (c, _) in enumerate(cases)], "payload_id long, payload string")
+    got = {r.payload_id: r.accepted for r in extraction.validate_payloads(df).collect()}
+    assert got == {i: ok for i, (_, ok) in enumerate(cases)}
+
+
+def test_fallback_flag_and_exact_latencies(spark):
+    df = spark.createDataFrame([(None, 1, "p", "m", i > 0, i * 10.0, None if i else "timeout", i, "primary", "h", 3, i) for i in range(4)],
+                               "ts timestamp, posting_id long, provider string, model string, succeeded boolean, latency_ms double, error_category string, attempt int, tier string, content_hash string, posting_chars int, chain_index int")
+    rec = extraction.attempt_records(df)
+    assert sorted(r.fallback_used for r in rec.collect()) == [False, True, True, True]
+    h = extraction.log_health(rec).first()
+    assert (h.attempts, h.successes, h.fallback_share, h.latency_p50) == (4, 3, 0.75, 15.0)
 
 
 def test_envelope_and_tokens(spark):

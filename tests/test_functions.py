@@ -65,6 +65,7 @@ def test_salary_midpoint_and_scrub(spark):
 
 def test_clamp_top_n():
     assert [labels.clamp_top_n(v) for v in (None, 0, 3, 100, "x")] == [10, 1, 3, 50, 10]
+    assert [labels.row_limit(v) for v in (None, 3, 1000)] == [10, 3, 1000]
 
 
 def test_report_value_format(spark):

@@ -16,8 +16,8 @@ def test_ingest_statuses(spark):
     assert (got[1].status, got[1].posting_ref) == ("created", 1)
     assert (got[2].status, got[2].posting_ref) == ("duplicate_in_batch", 1)
     assert (got[3].status, got[3].posting_ref) == ("existing", 100)
-    assert got[4].status == "rejected" and got[4].reject_reason == "empty posting text"
-    assert got[5].status == "rejected" and "exceeds 50" in got[5].reject_reason
+    assert got[4].status == "rejected" and got[4].reject_reason == "text:empty"
+    assert got[5].status == "rejected" and got[5].reject_reason.startswith("text:length>50")
     ok = ingest.ingest_batch(spark.createDataFrame([(1, "x" * 40)], "doc_id long, text string"), None, id_col="doc_id", max_chars=40)
     assert ok.collect()[0].status == "created"
 

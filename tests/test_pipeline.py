@@ -56,14 +56,6 @@ def test_user_per_series_model(spark):
         (1, 11.0, dt.date(2024, 1, 1)), (2, 11.0, dt.date(2024, 2, 1)), (3, 11.0, dt.date(2024, 3, 1))]
 
 
-def test_table_store_versions(spark, tmpdir_path):
-    st = pipeline.TableStore(spark, os.path.join(tmpdir_path, "store"))
-    assert st.current_version("skills") is None
-    st.save("skills", spark.createDataFrame([(1, "a")], "id long, name string"))
-    st.save("skills", st.load("skills").union(spark.createDataFrame([(2, "b")], "id long, name string")))
-    assert st.current_version("skills") == 2 and st.load("skills").count() == 2
-
-
 def test_schema_contract(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, 1), "x", 3)], "period_start date, display_name_en string, posting_count long")
     schema.assert_schema(df, schema.CONTRACTS["skills"])

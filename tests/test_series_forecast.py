@@ -118,11 +118,11 @@ def test_horizon_filter_and_params(spark):
     rows = spark.createDataFrame([("baseline", 0), ("rf", 3), ("rf", 6), ("rf", 12)], "model_name string, horizon_months int")
     got = [r.horizon_months for r in forecast.filter_by_horizons(rows, [3, 12]).collect()]
     assert got == [0, 3, 12]
-    assert forecast.normalize_horizons([12, 3, 3, 5]) == [3, 12]
-    assert forecast.normalize_models(None) == ["baseline", "prophet", "arima"]
-    assert forecast.normalize_models(["ARIMA", "arima", "x", "rf"]) == ["arima", "rf"]
+    assert forecast.run_parameters(horizons=[12, 3, 3, 5])[1] == [3, 12]
+    assert forecast.run_parameters()[0] == ["baseline", "prophet", "arima"]
+    assert forecast.run_parameters(["ARIMA", "arima", "x", "rf"])[0] == ["arima", "rf"]
     try:
-        forecast.normalize_window(18)
+        forecast.run_parameters(window=18)
         raise AssertionError
     except ValueError:
         pass

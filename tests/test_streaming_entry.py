@@ -18,6 +18,12 @@ def test_stream_ingest_keeps_each_hash_once(spark):
     q.awaitTermination()
     rows = spark.read.parquet(store_path).collect()
     assert len(rows) == 2 and len({r.content_hash for r in rows}) == 2
+    assert {r.text.strip() for r in rows} == {"a text", "b text"}
+    # later files: only what is not stored yet
+    spark.createDataFrame([(9, "b text"), (10, "c text")], "doc_id long, text string").write.mode("append").parquet(os.path.join(src, "b1"))
+    q = st.start_ingest(spark, os.path.join(src, "b1"), store_path, ck)
+    q.awaitTermination()
+    assert sorted(r.text.strip() for r in spark.read.parquet(store_path).collect()) == ["a text", "b text", "c text"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -45,7 +51,6 @@ def test_stream_period_counts_week_and_month(spark):
     stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(os.path.join(src, "e"))
     for freq, want in (("W-MON", {dt.date(2023, 12, 26): 1, dt.date(2024, 1, 2): 2, dt.date(2024, 1, 9): 1, dt.date(2024, 1, 30): 2}),
                        ("M", {dt.date(2024, 1, 1): 5, dt.date(2024, 2, 1): 1})):
-        name = "k2" + freq.replace("-", "") + uuid.uuid4().hex[:6]
-        ck = os.path.join(spark.conf.get("spark.checkpoint.dir"), name)
-        out = st.drain_to_memory(st.period_counts_stream(stream, freq=freq), name, ck, mode="complete")
+        ck = os.path.join(spark.conf.get("spark.checkpoint.dir"), "k2" + freq.replace("-", "") + uuid.uuid4().hex[:6])
+        out = st.drain(st.period_counts_stream(stream, freq=freq), ck + "_out", ck, mode="complete")
         assert {r.period_start: r.n for r in out.collect()} == want
