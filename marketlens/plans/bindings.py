@@ -56,9 +56,11 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posting-skill links; the pair is the key, so duplicates are removed."""
-    li = read_table(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_orderkey").alias("posting_id"), F.col("l_partkey").alias("skill_id")).distinct()
+    """Posting-skill links; the pair is the key, so duplicates are removed.
+    Dealt by posting once: the removal of duplicates and the join to the
+    postings both use that shuffle."""
+    li = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("posting_id"), F.col("l_partkey").alias("skill_id"))
+    return li.repartition("posting_id").dropDuplicates(["posting_id", "skill_id"])
 
 
 def company_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
