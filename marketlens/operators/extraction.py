@@ -185,18 +185,19 @@ def resolve_labels(valid: DataFrame, glossary: DataFrame, id_col: str = "payload
 
 
 # ------------------------------------------------------------------ envelopes
-def parse_envelope(df: DataFrame, body_col: str = "body") -> DataFrame:
-    """B24 (+B23): ``choices[0].message.content`` must be a non-blank string
-    that (after fence stripping) holds a JSON object. Adds ``content``,
+def parse_envelope(df: DataFrame, body_col: str = "body", shape: str = "openai") -> DataFrame:
+    """B24 (+B23): ``choices[0].message.content`` (``message.content`` in the
+    "local" shape) must be a non-blank string that (after fence stripping) holds a JSON object. Adds ``content``,
     ``payload`` (the JSON object text) and ``reason``."""
+    holder, path = ("$.choices[0]", "$.choices[0].message.content") if shape == "openai" else ("$.message", "$.message.content")
     v = F.try_parse_json(F.col(body_col))
-    content = F.try_variant_get(v, "$.choices[0].message.content", "string")
-    ck = F.schema_of_variant(F.try_variant_get(v, "$.choices[0].message.content", "variant"))
+    content = F.try_variant_get(v, path, "string")
+    ck = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
     text = strip_markdown_fences(py_strip(content))
     parsed = F.try_parse_json(text)
     reason = (
         F.when(v.isNull(), F.lit("response is not JSON"))
-        .when(F.try_variant_get(v, "$.choices[0]", "variant").isNull(), F.lit("unexpected response shape"))
+        .when(F.try_variant_get(v, holder, "variant").isNull(), F.lit("unexpected response shape"))
         .when(ck.isNull() | (ck != "STRING") | (py_strip(content) == ""), F.lit("empty or non-string message content"))
         .when(parsed.isNull(), F.lit("non-JSON message content"))
         .when(~F.schema_of_variant(parsed).startswith("OBJECT"), F.lit("JSON content is not an object"))

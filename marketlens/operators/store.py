@@ -47,14 +47,18 @@ def save_run(results: DataFrame, runs_path: str, results_path: str, *, run_id: i
     normalize_results(results, run_id).write.mode("append").partitionBy("run_id").parquet(results_path)
 
 
+def _first(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
+
+
 def get_run(runs: DataFrame, run_id: int) -> DataFrame:
     """A7."""
     return runs.where(F.col("id") == int(run_id))
 
 
-def recent_runs(runs: DataFrame, limit: int = RECENT_RUNS_LIMIT) -> DataFrame:
-    """newest runs first (top-k, no total sort)."""
-    return runs.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+def recent_runs(runs: DataFrame, limit: int | None = None) -> DataFrame:
+    """newest runs first; the first ``limit`` of them if given."""
+    return _first(runs.orderBy(F.desc("created_at"), F.desc("id")), limit)
 
 
 def result_order() -> list[Column]:
@@ -62,16 +66,17 @@ def result_order() -> list[Column]:
             F.asc("horizon_months"), F.asc("target_key")]
 
 
-def list_results(results: DataFrame, run_id: int, limit: int = RESULTS_LIMIT) -> DataFrame:
+def list_results(results: DataFrame, run_id: int, limit: int | None = None) -> DataFrame:
     """a run's rows by model, type, value desc (NULLs last, Q18),
-    horizon, key; first ``limit`` rows."""
-    return results.where(F.col("run_id") == int(run_id)).orderBy(*result_order()).limit(limit)
+    horizon, key; the first ``limit`` rows if given."""
+    return _first(results.where(F.col("run_id") == int(run_id)).orderBy(*result_order()), limit)
 
 
-def latest_run_results(runs: DataFrame, results: DataFrame, limit: int = RESULTS_LIMIT) -> DataFrame:
+def latest_run_results(runs: DataFrame, results: DataFrame, limit: int | None = None) -> DataFrame:
     """preview of the newest run (semi-join to a one-row frame)."""
     newest = runs.orderBy(F.desc("created_at"), F.desc("id")).limit(1).select(F.col("id").alias("run_id"))
-    return results.join(F.broadcast(newest), "run_id", "left_semi").orderBy(*result_order()).limit(limit)
+    rows = results.join(F.broadcast(newest), "run_id", "left_semi").orderBy(*result_order())
+    return _first(rows, limit)
 
 
 def delete_run(runs: DataFrame, results: DataFrame, run_id: int) -> tuple[DataFrame, DataFrame]:
@@ -100,12 +105,12 @@ def period_text(col) -> Column:
 
 
 def report_table(results: DataFrame, data_source: str | None = None) -> DataFrame:
-    """A9 + F3: report rows grouped by model, ordered inside the model by
+    """A9 + F3: report rows grouped by run and model, ordered inside the model by
     value desc (NULL last), horizon, type, key; formatted cells; the report
     kind from the data source (database / db -> database, else fake)."""
     kind = (data_source or "fake").strip().lower()
     kind = "database" if kind in ("database", "db") else "fake"
-    w = Window.partitionBy("model_name").orderBy(F.desc_nulls_last("predicted_value"), F.asc("horizon_months"),
+    w = Window.partitionBy(*[c for c in ("run_id",) if c in results.columns], "model_name").orderBy(F.desc_nulls_last("predicted_value"), F.asc("horizon_months"),
                                                  F.asc("target_type"), F.asc("target_key"))
     return results.select(
         F.lit(kind).alias("report"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketlens.plans import queries, queries_forecast, queries_ingest, queries_series  # noqa: F401
+from marketlens.plans import queries, queries_forecast, queries_ingest, queries_series, queries_store  # noqa: F401
 from marketlens.plans.registry import ORACLE, QUERIES
 
 

@@ -281,7 +281,7 @@ FROM fc WHERE fit = 'full'"""
 @query("result_preview", _arima_sql(HORIZON, f""", stored AS ({_STORED})
 SELECT * FROM stored ORDER BY model_name, target_type, predicted_value DESC NULLS LAST, horizon_months, target_key LIMIT 500"""))
 def q_result_preview(spark, d):
-    return store.list_results(_run_results(spark, d), 1).drop("metrics")
+    return store.list_results(_run_results(spark, d), 1, store.RESULTS_LIMIT).drop("metrics")
 
 
 def _fmt(v: str, t: str) -> str:

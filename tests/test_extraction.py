@@ -121,6 +121,9 @@ def test_envelope_and_tokens(spark):
     assert rows[0].u.prompt_tokens == 10 and rows[0].u.total_tokens is None
     assert rows[1].reason.startswith("empty") and rows[2].reason == "unexpected response shape"
     assert rows[3].reason == "JSON content is not an object"
+    local = spark.createDataFrame([('{"message": {"content": "{\\"role_title\\": \\"E\\"}"}}',), ('{"choices": []}',)], "body string")
+    got = extraction.parse_envelope(local, shape="local").collect()
+    assert json.loads(got[0].payload) == {"role_title": "E"} and got[1].reason == "unexpected response shape"
     o = spark.createDataFrame([('{"prompt_eval_count": 7, "eval_count": 8}',)], "body string")
     u = o.select(extraction.token_usage("body", shape="local").alias("u")).collect()[0].u
     assert (u.prompt_tokens, u.completion_tokens, u.total_tokens) == (7, 8, 15)
