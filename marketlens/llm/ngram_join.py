@@ -10,9 +10,10 @@ by binary probes of the long part, here of the whole sorted set.
 
 Skew: equal sets are one class before any list is built. Shingles that many
 documents hold come last in the order, so they are in a short list only of
-documents that hold hardly anything else. In each list every class is first
-paired with the list's smallest class only; pairs that this leaves open (two
-members of a list in different groups by then) are made in a second round. So
+documents that hold hardly anything else. In each list every class is
+paired with the list's smallest class only; what this leaves open (members of
+a list in different groups by then) is paired with other heads of the list in
+further rounds, and in the last round with each other. Pairs that parity bitmaps rule out are never verified. So
 a large group of near copies costs pairs in proportion to its size, and no
 link between different groups is lost. A class's partners are verified as a
 stream, split among tasks when there are many.
@@ -39,14 +40,16 @@ from marketlens.llm.common import chunks, lowered, mix, slice_hashes, stored, te
 from marketlens.llm.graph import components
 
 WIDTH = 5
-#: A shingle found so often within one batch is reported as frequent ...
-LOCAL_FREQUENT = 3
+#: A shingle found so often among about BATCH_SHINGLES is reported as frequent ...
+LOCAL_FREQUENT, BATCH_SHINGLES = 3, 800_000
 #: ... and ranked behind the others if all reports together reach this. At most
 #: FREQUENT_ROWS of them (the most frequent) are broadcast; the order decides
 #: only the work, never the result.
 FREQUENT, FREQUENT_ROWS = 32, 1 << 19
 #: Rows up to which a side of a join is broadcast.
 BROADCAST_ROWS = 1 << 20
+#: Rounds after the first; the last one leaves no pair open.
+ROUNDS = 3
 _HASH = np.uint64((1 << 60) - 1)
 
 
@@ -81,38 +84,80 @@ def digests(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64))
 
 
+def bitmaps(h: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Parity bitmap of each set: bit b counts, modulo 2, the hashes that are b
+    modulo the number of bits (a power of two, two to four per shingle). Bits
+    in which two sets differ are at most as many as shingles in which they do."""
+    n = np.diff(at)
+    bits = 1 << np.maximum(np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), 6)
+    off = np.concatenate([[0], np.cumsum(bits)])
+    place = (h & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(off[:-1], n)
+    packed = np.packbits((np.bincount(place, minlength=off[-1]) & 1).astype(np.uint8))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((off // 8).astype(np.int64)), pa.py_buffer(packed)]).cast(pa.binary())
+
+
+def _may_link(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the bitmaps of the classes do not rule out: a
+    linked pair differs in a seventh of all its shingles at most."""
+    side = lambda c: maps.select(F.col("cls").alias(c), F.col("n").alias("n" + c), F.col("bits").alias("m" + c))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            n = b.column(2).to_numpy(zero_copy_only=False) + b.column(3).to_numpy(zero_copy_only=False)
+            keep = np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                x, y = (np.frombuffer(b.column(k)[i].as_buffer(), np.uint64) for k in (4, 5))
+                if len(x) > len(y):
+                    x, y = y, x
+                y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)
+                keep[i] = 7 * int(np.bitwise_count(x ^ y).sum()) <= n[i]
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, pa.int64())
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """One row per document (kind 0: id, set size, class) and per frequent
+    """One row per document (kind 0: id, set size, class, bitmap) and per frequent
     shingle of a batch (kind 1: its hash and count)."""
 
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        u, c = np.unique(np.concatenate(held), return_counts=True)
+        u, c = u[c >= LOCAL_FREQUENT], c[c >= LOCAL_FREQUENT]
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32), pa.int32()), pa.nulls(len(u), pa.int64()), pa.array(c, pa.int64()), _long(u), pa.nulls(len(u), pa.binary())], names=["kind", "id", "n", "cls", "bits"])
+
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in chunks(batches, "t", 4 << 20):
+        held: list[np.ndarray] = []
+        for b in chunks(batches, "t"):
             h, at = shingles(*text_bytes(b.column(1)))
             n, cls = np.diff(at), digests(h, at)
             zero = np.zeros(len(n), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(zero, pa.int32()), b.column(0), pa.array(n, pa.int64()), _long(cls)], names=["kind", "id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(zero, pa.int32()), b.column(0), pa.array(n, pa.int64()), _long(cls), bitmaps(h, at)], names=["kind", "id", "n", "cls", "bits"])
             one = np.unique(cls, return_index=True)[1]  # equal sets of the batch count once
             mask = np.zeros(len(n), bool)
             mask[one] = True
-            u, c = np.unique(h[np.repeat(mask, n)], return_counts=True)
-            u, c = u[c >= LOCAL_FREQUENT], c[c >= LOCAL_FREQUENT]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32), pa.int32()), pa.nulls(len(u), pa.int64()), pa.array(c, pa.int64()), _long(u)], names=["kind", "id", "n", "cls"])
+            held.append(h[np.repeat(mask, n)])
+            if sum(map(len, held)) > BATCH_SHINGLES:
+                yield often(held)
+                held = []
+        if held:
+            yield often(held)
 
-    return docs.mapInArrow(run, "kind int, id long, n long, cls long")
+    return docs.mapInArrow(run, "kind int, id long, n long, cls long, bits binary")
 
 
 def _postings(docs: DataFrame, frequent: np.ndarray, ranks: np.ndarray) -> DataFrame:
-    """(shingle, class, set size, short): the short lists' entries. ``short``
-    marks entries within reach of larger sets too."""
+    """(shingle, class, set size, place): the short lists' entries; place is
+    the shingle's rank among those of the set, in the global order."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, ranks))
 
     def run(batches: Iterator[pa.RecordBatch]):
         often, rank = shared.value
-        for b in chunks(batches, "t", 4 << 20):
+        for b in chunks(batches, "t"):
             h, at = shingles(*text_bytes(b.column(0)))
             n, cls = np.diff(at), digests(h, at)
             mask = np.zeros(len(n), bool)
@@ -130,10 +175,18 @@ def _postings(docs: DataFrame, frequent: np.ndarray, ranks: np.ndarray) -> DataF
             place = np.arange(len(h)) - np.searchsorted(text, text)
             size = n[text]
             keep = place < size - (3 * size + 3) // 4 + 1    # size - ceil(3/4 size) + 1
-            short = place < size - (6 * size + 6) // 7 + 1   # size - ceil(6/7 size) + 1
-            yield pa.RecordBatch.from_arrays([_long(h[keep]), _long(cls[text[keep]]), pa.array(size[keep], pa.int32()), pa.array(short[keep])], names=["h", "cls", "n", "short"])
+            yield pa.RecordBatch.from_arrays([_long(h[keep]), _long(cls[text[keep]]), pa.array(size[keep], pa.int32()), pa.array(place[keep], pa.int32())], names=["h", "cls", "n", "place"])
+
+    return docs.select("t").mapInArrow(run, "h long, cls long, n int, place int")
+
 
-    return docs.select("t").mapInArrow(run, "h long, cls long, n int, short boolean")
+def _within(x: str, y: str) -> str:
+    """SQL: by sizes and the places of a shared shingle, x and y may link, and
+    the shingle may be the first that they share (that of a linked pair stands
+    among the first seventh of the smaller set)."""
+    bound = f"least({x}.place, {y}.place) + least({x}.n - {x}.place, {y}.n - {y}.place)"
+    smaller = f"if({x}.n <= {y}.n, 7 * ({x}.n - {x}.place) >= 6 * {x}.n, 7 * ({y}.n - {y}.place) >= 6 * {y}.n)"
+    return f"4 * least({x}.n, {y}.n) >= 3 * greatest({x}.n, {y}.n) and 7 * ({bound}) >= 3 * ({x}.n + {y}.n) and {smaller}"
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -190,20 +243,31 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     members = sets.filter("kind = 0").select("id", "n", "cls")
     reps = members.filter("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("id"))
     token = W.partitionBy("h")
-    lists = _postings(docs, hashes[order], level).withColumn("lead", F.min(F.struct("cls", "n")).over(token)).withColumn("last", F.max("cls").over(token))
-    lists = stored(lists.filter(F.col("lead.cls") < F.col("last")).select("h", "cls", "n", "short", "lead").distinct(), "ngram-lists")
-    alike = lambda x, y: (4 * F.least(x, y) >= 3 * F.greatest(x, y))
-    first = lists.filter((F.col("cls") != F.col("lead.cls")) & alike(F.col("n"), F.col("lead.n"))).select(F.col("lead.cls").alias("a"), F.col("cls").alias("b")).distinct()
-    links = stored(_verified(first, docs, reps), "ngram-links")
-    # second round: members of one list that are in different groups so far
-    groups = components(links)
-    open_ = lists.select("h", "cls", "n", "short").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = open_.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi and m > 2").select("h")
-    open_ = stored(open_.join(mixed, "h", "left_semi"), "ngram-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    more = x.join(y, F.col("x.h") == F.col("y.h")).filter("x.cls < y.cls and x.root <> y.root and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) and if(x.n <= y.n, x.short, y.short)")
-    more = more.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.union(stored(_verified(more, docs, reps), "ngram-links"))
+    lists = _postings(docs, hashes[order], level).withColumn("lead", F.min(F.struct("cls", "n", "place")).over(token)).withColumn("last", F.max("cls").over(token))
+    lists = stored(lists.filter(F.col("lead.cls") < F.col("last")).select("h", F.struct("cls", "n", "place").alias("m"), "lead").distinct(), "ngram-lists")
+    # first round: every class with the heads of its lists
+    first = stored(lists.filter("m.cls <> lead.cls and " + _within("m", "lead")).select(F.col("lead.cls").alias("a"), F.col("m.cls").alias("b")).distinct(), "ngram-first")
+    maps = sets.filter("kind = 0 and n > 0").select("cls", "n", "bits").dropDuplicates(["cls"])
+    links = stored(_verified(_may_link(first, maps), docs, reps), "ngram-links")
+    # further rounds: members of one list that are in different groups so far,
+    # each with another head of the list; last, all pairs that are still open
+    open_, tried, all_links = lists.select("h", "m", F.col("m.cls").alias("cls")), first, links
+    for turn in range(1, ROUNDS + 1):
+        groups = components(all_links).withColumnRenamed("node", "cls")
+        open_ = open_.select("h", "m", "cls").join(groups, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        mixed = open_.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
+        open_ = stored(open_.join(mixed, "h", "left_semi"), "ngram-open")
+        if turn < ROUNDS:
+            head = F.min(F.struct(F.xxhash64("cls", "h", F.lit(turn)).alias("o"), "m", "root")).over(token)
+            more = open_.withColumn("lead", head).select("m", "root", F.col("lead.m").alias("l"), F.col("lead.root").alias("lroot"))
+            more = more.filter("root <> lroot and " + _within("m", "l")).select(F.least("m.cls", "l.cls").alias("a"), F.greatest("m.cls", "l.cls").alias("b"))
+        else:
+            x, y = open_.select("h", F.col("m").alias("x"), F.col("root").alias("rx")), open_.select(F.col("h").alias("k"), F.col("m").alias("y"), F.col("root").alias("ry"))
+            more = x.join(y, F.expr("h = k and x.cls < y.cls and rx <> ry and " + _within("x", "y"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+        more = stored(more.distinct().join(tried, ["a", "b"], "left_anti"), "ngram-more")
+        tried = tried.union(more)
+        all_links = all_links.union(stored(_verified(_may_link(more, maps), docs, reps), "ngram-links"))
+    links = all_links
     groups = stored(components(links), "ngram-groups").withColumnRenamed("node", "cls")
     placed = members.join(groups, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = placed.filter("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
