@@ -94,7 +94,7 @@ def lines_by_force(rows, similarity=0.8):
     buckets = collections.defaultdict(list)
     for k in first:
         words = k.split(" ")
-        for seed in range(4):
+        for seed in range(line_dedup.HASHES):
             hs = [xxhash.xxh64_intdigest(w.encode(), xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)) for w in words]
             bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
             buckets[(seed, 0, bits & 0xFFFFFFFF)].append(k)
