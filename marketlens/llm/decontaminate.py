@@ -49,14 +49,25 @@ def _masked(mask: str, w: Column, i: Column) -> Column:
     return F.when(last.isNotNull(), F.xxhash64(F.lit(len(mask)), *[F.get(w, i + k) for k, bit in enumerate(mask) if bit == "1"]))
 
 
-def _triple(w: Column, i: Column) -> Column:
-    return F.pmod(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), F.lit(BITS))
+def _slot(x: Column, y: Column, z: Column) -> Column:
+    """Place of a word triple in the bitmap (words beyond the end are null)."""
+    return F.xxhash64(x, y, z).bitwiseAND(F.lit(BITS - 1))
 
 
-def _hits(df: DataFrame, starts: Column, keep: list[str]) -> DataFrame:
-    """One row per start and mask: kept columns, ``at`` and ``seed``."""
-    every = F.transform(starts, lambda i: F.array(*[F.struct(i.alias("at"), _masked(m, F.col("w"), i).alias("seed")) for m in MASKS]))
-    return df.select(*keep, F.inline(F.flatten(every))).filter("seed is not null")
+def _starts(df: DataFrame, keep: str) -> DataFrame:
+    """A row for each position ``at``, with the words ``w`` and its triple's
+    slot. Generator, filter and hashes run as one generated function, so the
+    words are not copied for positions that are filtered out."""
+    n = F.size("w")
+    triples = F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, n).alias("y"), F.slice("w", 3, n).alias("z"))
+    rows = df.select(keep, "w", F.posexplode(triples).alias("at", "t"))
+    return rows.select(keep, "w", "at", _slot(F.col("t.x"), F.col("t.y"), F.col("t.z")).alias("slot"))
+
+
+def _seeds(starts: DataFrame, keep: str) -> DataFrame:
+    """One row per start and mask: ``at`` and ``seed``."""
+    every = F.array(*[F.struct("at", _masked(m, F.col("w"), F.col("at")).alias("seed")) for m in MASKS])
+    return starts.select(keep, F.inline(every)).filter("seed is not null")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -68,19 +79,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     """Pairs (document, item) with ``n_equal``, the most equal words in line,
     and ``n_words`` of the item."""
     items = _split(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")).filter("item is not null"), "t", "item").distinct()
-    to = lambda w: F.sequence(F.lit(0), F.size(w) - 1)
-    # bit b of long b / 64: some item has a triple with hash b; at most BITS / 64 rows come to the driver
-    slots = items.select(F.explode(F.transform(to(F.col("w")), lambda i: _triple(F.col("w"), i))).alias("b")).select((F.col("b") / 64).cast("int").alias("slot"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("bit"))
+    at_items = _starts(items, "item")
+    # at most BITS / 64 rows come to the driver
+    bits = at_items.groupBy(F.shiftright("slot", 6).cast("int").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).collect()
     bitmap = [0] * (BITS // 64)
-    for r in slots.groupBy("slot").agg(F.expr("bit_or(bit)").alias("bits")).collect():
-        bitmap[r.slot] = r.bits
+    for r in bits:
+        bitmap[r.i] = r.bits
     table = F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>")  # folded into one literal
-    seeds = _hits(items, to(F.col("w")), ["item"]).withColumnRenamed("at", "item_at").distinct()
+    seeds = _seeds(at_items, "item").withColumnRenamed("at", "item_at").distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter("id is not null")
-    split = _split(texts, "t", "id")
-    set_bit = lambda h: F.get(table, (h / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (h % 64).cast("int"))) != 0
-    starts = F.filter(to(F.col("w")), lambda i: set_bit(_triple(F.col("w"), i)))
-    found = _hits(split, starts, ["id"]).join(_small(seeds), "seed")
+    word = F.get(table, F.shiftright("slot", 6).cast("int"))
+    known = F.call_function("shiftrightunsigned", word, F.col("slot").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) != 0
+    found = _seeds(_starts(_split(texts, "t", "id"), "id").filter(known), "id").join(_small(seeds), "seed")
     lines = found.select("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     # verify around the hits: only documents with a hit are split again
     hit = lines.groupBy("id").agg(F.collect_set(F.struct("item", "shift")).alias("lines"))  # at most items x words of one document
