@@ -1,4 +1,5 @@
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,6 +36,8 @@ def test_entry_and_all_queries_run(spark):
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
     for name, fn in qs.items():
+        if re.match(r"op\d+_|pipeline$", name):
+            continue  # training-data queries have tests of their own
         out = fn(spark, SF)
         assert out.columns, name
         out.limit(1).collect()
