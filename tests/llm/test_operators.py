@@ -157,6 +157,22 @@ def test_simhash_of_long_lines(spark):
     assert [one[c] for c in blocks] == [two[c] for c in blocks]
 
 
+def removed_by_all_pairs(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sum(x.n_removed for x in line_dedup.removed_lines(df).collect())
+
+
+def test_lines_with_a_changed_word(spark):
+    r = np.random.default_rng(17)
+    word = lambda: "".join("etaoinsrdlhc"[int(c)] for c in r.integers(0, 12, 5))
+    texts = []
+    for n in (8, 12, 20, 40):
+        for _ in range(25):
+            words = [word() for _ in range(n)]
+            texts += [" ".join(words), " ".join(words[:3] + [word()] + words[4:])]
+    assert removed_by_all_pairs(spark, texts) >= 98  # of 100 pairs
+
+
 # --- 2, 3, 5 ---------------------------------------------------------------
 
 def test_ngram_join(docs):
