@@ -173,6 +173,21 @@ def test_lines_with_a_changed_word(spark):
     assert removed_by_all_pairs(spark, texts) >= 98  # of 100 pairs
 
 
+def test_all_groups_of_a_bucket_meet(spark):
+    n = line_dedup.PART_ROWS + 50  # two salted parts; u tells 16 families apart, far from each other
+    far = [int(x) for x in np.random.default_rng(2).integers(-(1 << 63), (1 << 63) - 1, 32)]
+    rows = [(1, (i.to_bytes(2, "big"), 50, far[2 * (i % 16)], far[2 * (i % 16) + 1])) for i in range(n)]
+    df = spark.createDataFrame(rows, "bucket long, m struct<key: binary, size: int, u: bigint, v: bigint>")
+    number = lambda found: {(int.from_bytes(x.a, "big"), int.from_bytes(x.b, "big")) for x in found.collect()}
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if i % 16 == j % 16}
+    none = spark.createDataFrame([], "key binary, root binary")
+    heads = number(line_dedup.head_pairs(df, 0.8))
+    assert heads == {(i, j) for i, j in want if i == 0}
+    assert number(line_dedup.open_pairs(df, none, 0.8)) == want - heads
+    grouped = spark.createDataFrame([(i.to_bytes(2, "big"), (i % 16).to_bytes(2, "big")) for i in range(n)], "key binary, root binary")
+    assert line_dedup.open_pairs(df, grouped, 0.8).count() == 0
+
+
 # --- 2, 3, 5 ---------------------------------------------------------------
 
 def test_ngram_join(docs):
