@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marketlens.llm.common import chunks, lowered, mix, slice_hashes, stored, text_bytes, window_hashes, word_slices
+from marketlens.llm.common import chunks, lowered, mix, row_keys, slice_hashes, stored, text_bytes, window_hashes, word_slices
 from marketlens.llm.graph import components
 
 WIDTH = 5
@@ -230,10 +230,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_shingles`` and ``component_id`` of every document."""
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+def _placed(keyed: DataFrame, plain: bool, id_col: str, text_col: str) -> DataFrame:
+    """Row key (id), own id, set size, ``component_id`` and the row key of the
+    first document of the component, of every document."""
+    spark = keyed.sparkSession
+    docs = keyed.select(F.col("row_key").alias("id"), F.col(text_col).cast("string").alias("t"))
     sets = stored(_sets(docs), "ngram-sets")
     often = sets.filter("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     rows = often.orderBy(F.desc("n"), "cls").limit(FREQUENT_ROWS).toPandas()
@@ -241,7 +242,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     order = np.argsort(hashes)
     level = np.clip(np.log2(np.maximum(rows["n"].to_numpy(float), 1)).astype(int) - 4, 1, 15)[order].astype(np.uint64) if len(rows) else np.zeros(0, np.uint64)
     members = sets.filter("kind = 0").select("id", "n", "cls")
-    reps = members.filter("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("id"))
+    reps = members.filter("n > 0").groupBy("cls").agg(F.min("id").alias("id"))
     token = W.partitionBy("h")
     lists = _postings(docs, hashes[order], level).withColumn("lead", F.min(F.struct("cls", "n", "place")).over(token)).withColumn("last", F.max("cls").over(token))
     lists = stored(lists.filter(F.col("lead.cls") < F.col("last")).select("h", F.struct("cls", "n", "place").alias("m"), "lead").distinct(), "ngram-lists")
@@ -270,16 +271,25 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     links = all_links
     groups = stored(components(links), "ngram-groups").withColumnRenamed("node", "cls")
     placed = members.join(groups, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = placed.filter("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
-    out = placed.join(named, "root", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    own = keyed.select(F.col("row_key").alias("id"), F.col(id_col).cast("long").alias("own"))
+    placed = placed.withColumn("own", F.col("id")) if plain else placed.join(own, "id")
+    named = placed.filter("n > 0").groupBy("root").agg(F.min("own").alias("component_id"), F.min(F.struct(F.col("own").isNull().alias("none"), "id")).alias("first"))
+    out = placed.join(named, "root", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("own")))
+    return out.select("id", "own", "n", "component_id", F.when(F.col("n") > 0, F.col("first.id")).otherwise(F.col("id")).alias("first"))
+
+
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ``n_shingles`` and ``component_id`` of every document."""
+    found = _placed(*row_keys(df, id_col, text_col), id_col, text_col)
+    return found.select(F.col("own").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one document of each group: that of the smallest id."""
-    found = near_duplicates(df, id_col=id_col, text_col=text_col)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return df.join(gone, id_col, "left_anti")
+    """``df`` with one document of each group: that of the smallest id (null
+    last; of rows that repeat it, that of the smallest hash of its text)."""
+    keyed, plain = row_keys(df, id_col, text_col)
+    gone = _placed(keyed, plain, id_col, text_col).filter("id <> first").select(F.col("id").alias("row_key"))
+    return keyed.join(gone, "row_key", "left_anti").select(*df.columns)
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -18,8 +18,8 @@ passage that every document holds costs one row per batch and symbol.
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``, unchanged; null, empty and
 short texts keep all words; of equal windows the first stands in the document
 of the smallest id (null lowest), then at the earliest place; rows that repeat
-an id are told apart by nothing, so equal places of theirs do not remove each
-other.
+an id or have none are documents of their own, in the order of the SHA-256 of
+their texts.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import chunks, mix, powers, ragged, slice_hashes, text_bytes, window_hashes, word_slices
+from marketlens.llm.common import chunks, mix, powers, ragged, row_keys, slice_hashes, text_bytes, window_hashes, word_slices
 
 WINDOW, ROUNDS = 20, 2
 _FAR = 1 << 40
@@ -221,19 +221,19 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kept_col: str = "kept") -> DataFrame:
     """id, ``n_words``, ``n_removed``, ``kept_sha256`` and the kept text of
     every document."""
-    lowest = -(1 << 63)
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(id_col).isNull().alias("none"))
+    keyed, _ = row_keys(df, id_col, text_col)
+    docs = keyed.select(F.col("row_key").alias("id"), F.col(text_col).cast("string").alias("t"), F.col(id_col).cast("long").alias("own"))
     gone = repeated_runs(docs).groupBy("id").agg(F.collect_list(F.struct("p", "n")).alias("runs"))  # at most the windows of one document
-    both = docs.join(gone, "id", "left").select("id", "none", "t", F.col("runs.p").alias("p"), F.col("runs.n").alias("n"))
+    both = docs.join(gone, "id", "left").select("own", "t", F.col("runs.p").alias("p"), F.col("runs.n").alias("n"))
 
     def cut(batches: Iterator[pa.RecordBatch]):
         for b in chunks(batches, "t"):
-            data, offsets = text_bytes(b.column(2))
+            data, offsets = text_bytes(b.column(1))
             s, e, first = word_slices(data, offsets)
             change = np.zeros(len(s) + 1, np.int64)
-            for i in np.flatnonzero(b.column(3).is_valid().to_numpy(zero_copy_only=False)).tolist():
-                p, n = b.column(3)[i].values.to_numpy(), b.column(4)[i].values.to_numpy()
-                np.add.at(change, first[i] + p, 1)
+            for i in np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                p, n = b.column(2)[i].values.to_numpy(), b.column(3)[i].values.to_numpy()
+                np.add.at(change, np.minimum(first[i] + p, first[i + 1]), 1)
                 np.add.at(change, np.minimum(first[i] + p + n + WINDOW - 1, first[i + 1]), -1)
             stays = np.cumsum(change)[:-1] == 0
             raw, texts = data.tobytes(), []
@@ -243,7 +243,7 @@ def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             kept = np.add.reduceat(np.append(stays, False), np.append(first[:-1], len(s)))[:-1] if len(texts) else np.zeros(0)
             kept = np.where(np.diff(first) > 0, kept, 0)
             yield pa.RecordBatch.from_arrays([
-                pa.array([None if none else i for i, none in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.int64()), pa.array(np.diff(first), pa.int64()),
+                b.column(0), pa.array(np.diff(first), pa.int64()),
                 pa.array((np.diff(first) - kept).astype(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(texts, pa.binary()).cast(pa.string())],
                 names=["id", "n_words", "n_removed", "kept_sha256", "kept"])
 

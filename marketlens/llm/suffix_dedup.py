@@ -14,8 +14,7 @@ bytes are repeated windows.
 Defined results: null and empty texts have no bytes; matches never cross
 documents; every occurrence is removed, the first included; overlapping and
 adjoining windows make one removed run; strings are judged on the input; rows
-without an id keep their bytes (no run can be traced to them) and match nothing; of rows
-that repeat an id, each loses what was found in any of them.
+without an id or that repeat one are documents of their own.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import chunks, mix, powers, ragged, slice_hashes, text_bytes
+from marketlens.llm.common import chunks, mix, powers, ragged, row_keys, slice_hashes, text_bytes
 from marketlens.llm.induced_sort import repeated
 from marketlens.llm.recompression import _runs, _sorted_groups
 
@@ -218,10 +217,10 @@ def _repeats(table: pa.Table, length: int):
 def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and the
     kept bytes of every document."""
-    own = F.col(id_col).cast("long")
-    docs = df.select(own.alias("id"), F.col(text_col).cast("string").alias("t"))
-    gone = repeated_windows(docs.filter("id is not null"), length=length).groupBy("id").agg(F.collect_list(F.struct("p", "n")).alias("runs"))  # at most the windows of one document
-    both = docs.join(gone, "id", "left").select("id", "t", F.col("runs.p").alias("p"), F.col("runs.n").alias("n"))
+    keyed, _ = row_keys(df, id_col, text_col)
+    docs = keyed.select(F.col("row_key").alias("id"), F.col(text_col).cast("string").alias("t"), F.col(id_col).cast("long").alias("own"))
+    gone = repeated_windows(docs, length=length).groupBy("id").agg(F.collect_list(F.struct("p", "n")).alias("runs"))  # at most the windows of one document
+    both = docs.join(gone, "id", "left").select("own", "t", F.col("runs.p").alias("p"), F.col("runs.n").alias("n"))
 
     def cut(batches: Iterator[pa.RecordBatch]):
         for b in chunks(batches, "t"):
@@ -229,8 +228,8 @@ def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             change = np.zeros(len(data) + 1, np.int32)
             for i in np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False)).tolist():
                 p, n = b.column(2)[i].values.to_numpy(), b.column(3)[i].values.to_numpy()
-                np.add.at(change, offsets[i] + p, 1)
-                np.add.at(change, offsets[i] + p + n + length - 1, -1)
+                np.add.at(change, np.minimum(offsets[i] + p, offsets[i + 1]), 1)
+                np.add.at(change, np.minimum(offsets[i] + p + n + length - 1, offsets[i + 1]), -1)
             gone_ = np.cumsum(change[:-1]) > 0
             starts = gone_.copy()
             edge = np.zeros(len(data) + 1, bool)

@@ -240,6 +240,31 @@ def test_suffix_dedup(docs, length):
 
 # --- 4 ---------------------------------------------------------------------
 
+def test_rows_without_ids_of_their_own(spark):
+    words = [f"w{i}" for i in range(400)]
+    cut = lambda i, j: " ".join(words[i:j])
+    shared = cut(0, 40)
+    rows = [(None, cut(100, 160) + " " + shared), (None, "x y " + shared), (7, shared), (7, cut(200, 225)), (9, cut(300, 400))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((x.n_words, x.n_removed) for x in recompression.deduplicated(df).collect())
+    assert [w for w, _ in got] == [25, 40, 42, 100, 100] and sum(n for _, n in got) == 80
+    assert all(n == 0 for w, n in got if w == 25) and sum(n for w, n in got if w == 100) in (0, 40)
+    rows = [(5, "a" * 90 + "b" * 500), (5, "c" * 30), (None, "d" * 40), (None, "z" + "b" * 450), (8, "e" * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {x.n_bytes: x.n_removed for x in suffix_dedup.deduplicated(df, length=400).collect()}
+    assert got == {590: 500, 30: 0, 40: 0, 451: 450, 20: 0}
+
+
+def test_join_of_rows_that_repeat_an_id(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, one), (5, two), (1, one), (5, one), (None, two), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(((x.doc_id, x.text) for x in ngram_join.one_of_each(df).collect()), key=str)
+    assert left == sorted([(1, one), (5, two), (None, None)], key=str)
+    got = sorted(((x.doc_id, x.component_id) for x in ngram_join.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, 1), (5, 5), (1, 1), (5, 1), (None, 5), (None, None)], key=str)
+
+
 def test_fingerprints_of_edits(docs, spark):
     got = {x.doc_id: x for x in fingerprint.compare_edits(docs).collect()}
     order = sorted(((i, t or "") for i, t in corpus()), reverse=True)
