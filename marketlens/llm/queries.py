@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontaminate, fingerprint, line_dedup, ngram_join, quality_cnn, recompression, sentencepiece_codec, suffix_dedup, toxicity, warc
+from marketlens.llm import decontaminate, filter_audit, fingerprint, importance, language_id, line_dedup, ngram_join, quality_cnn, recompression, sentencepiece_codec, suffix_dedup, toxicity, warc
 from marketlens.llm.common import in_training_fold, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,26 @@ def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op11_filter_audit", filter_audit.oracle())
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters A to E in all 120 orders, per language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_importance", importance.oracle())
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn for their likeness to the benchmark texts."""
+    found = importance.resampled(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_language_id")
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learnt from two thirds of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = language_id.fit(docs.filter(fold != 1).select("doc_id", "text", "lang"))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
