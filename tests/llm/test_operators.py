@@ -366,7 +366,7 @@ def test_classifiers_on_held_out_rows(spark, module, label, cut):
 
 
 def test_queries_and_oracles_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries.QUERIES) == list(range(1, 14))
     assert set(llm_queries.ORACLE) <= set(llm_queries.QUERIES)
 
 
