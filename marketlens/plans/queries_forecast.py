@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from marketlens.operators import forecast, run
+from marketlens.operators import forecast, run, trees
+from marketlens.plans import modelsql
 from marketlens.plans import sqlparts as S
 from marketlens.plans.queries_series import TOP_K, WINDOW, WINDOW_CTES, windowed
 from marketlens.plans.registry import query
@@ -28,9 +31,6 @@ def _dense(src, key, keys, value_expr, agg):
   ON m.key = c.key AND m.month = c.month)"""
 
 
-W_ = "PARTITION BY target_type, target_key, fit ORDER BY t"
-GK = "target_type, target_key, fit"
-
 TARGET_CTES = (*WINDOW_CTES, f"""
 rd AS ({_dense('mr', 'role_title_en', 'rk', 'CAST(posting_count AS DOUBLE)', 'sum')}),
 sd0 AS ({_dense('mr', 'role_title_en', 'rk', S.finite('avg_salary'), 'avg')}),
@@ -52,98 +52,8 @@ ser AS (SELECT *, count(*) OVER (PARTITION BY target_type, target_key) AS n,
                count(value) OVER (PARTITION BY target_type, target_key) AS known FROM targets)""")
 
 
-def _arima_sql(horizon: int, select: str) -> str:
-    return S.with_(*TARGET_CTES, f"""
-ok AS (SELECT *, least(3, greatest(1, CAST(floor(n / 5) AS INTEGER))) AS hold FROM ser WHERE n >= 8 AND known = n),
-fits AS (
-  SELECT *, 'full' AS fit, n AS n_fit FROM ok
-  UNION ALL SELECT *, 'holdout', n - hold FROM ok WHERE n > hold + 6 AND t < n - hold),
-s1 AS (SELECT *, value - lag(value) OVER ({W_}) AS d FROM fits),
-s2 AS (SELECT *, lag(d, 1) OVER ({W_}) AS d1, lag(d, 2) OVER ({W_}) AS d2 FROM s1),
-st1 AS (SELECT {GK},
-   coalesce(sum(CASE WHEN d2 IS NOT NULL THEN d1 * d1 END), 0) AS a11, coalesce(sum(CASE WHEN d2 IS NOT NULL THEN d1 * d2 END), 0) AS a12,
-   coalesce(sum(CASE WHEN d2 IS NOT NULL THEN d2 * d2 END), 0) AS a22, coalesce(sum(CASE WHEN d2 IS NOT NULL THEN d1 * d END), 0) AS b1,
-   coalesce(sum(CASE WHEN d2 IS NOT NULL THEN d2 * d END), 0) AS b2
-   FROM s2 GROUP BY {GK}),
-c1 AS (SELECT {GK},
-   CASE WHEN abs(a11 * a22 - a12 * a12) > 1e-12 THEN (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) ELSE 0.0 END AS ar1,
-   CASE WHEN abs(a11 * a22 - a12 * a12) > 1e-12 THEN (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) ELSE 0.0 END AS ar2 FROM st1),
-s3 AS (SELECT s2.*, d - ar1 * d1 - ar2 * d2 AS e FROM s2 JOIN c1 USING (target_type, target_key, fit)),
-s4 AS (SELECT *, lag(e) OVER ({W_}) AS e1 FROM s3),
-st2 AS (SELECT {GK},
-   coalesce(sum(CASE WHEN e1 IS NOT NULL THEN d1 * d1 END), 0) AS p11, coalesce(sum(CASE WHEN e1 IS NOT NULL THEN d1 * e1 END), 0) AS p12,
-   coalesce(sum(CASE WHEN e1 IS NOT NULL THEN e1 * e1 END), 0) AS p22, coalesce(sum(CASE WHEN e1 IS NOT NULL THEN d1 * d END), 0) AS q1,
-   coalesce(sum(CASE WHEN e1 IS NOT NULL THEN e1 * d END), 0) AS q2,
-   arg_max(value, t) AS y_last, arg_max(d, t) AS d_last, arg_max(e, t) AS e_last, max(month) AS last_month,
-   max(n_fit) AS n_fit, max(hold) AS hold
-   FROM s4 GROUP BY {GK}),
-est AS (SELECT *,
-   greatest(-0.99, least(0.99, CASE WHEN abs(p11 * p22 - p12 * p12) > 1e-12 THEN (q1 * p22 - q2 * p12) / (p11 * p22 - p12 * p12) ELSE 0.0 END)) AS phi,
-   CASE WHEN abs(p11 * p22 - p12 * p12) > 1e-12 THEN (p11 * q2 - p12 * q1) / (p11 * p22 - p12 * p12) ELSE 0.0 END AS theta
-   FROM st2),
-fc AS (SELECT {GK}, last_month, n_fit, k,
-   y_last + (phi * coalesce(d_last, 0) + theta * coalesce(e_last, 0)) *
-     (CASE WHEN phi = 0 THEN CAST(k AS DOUBLE) ELSE (1 - pow(phi, k)) / (1 - phi) END) AS yhat
-   FROM (SELECT *, unnest(generate_series(1, CASE WHEN fit = 'full' THEN {horizon} ELSE hold END)) AS k FROM est))
-{select}""")
-
-
-def _det3(m):
-    (a, b, c), (d, e, f), (g, h, i) = m
-    return f"(({a}) * (({e}) * ({i}) - ({f}) * ({h})) - ({b}) * (({d}) * ({i}) - ({f}) * ({g})) + ({c}) * (({d}) * ({h}) - ({e}) * ({g})))"
-
-
-def _sarima_sql(horizon: int) -> str:
-    """SQL twin of the seasonal model: stage 2 with d(t-12) (3x3 Cramer),
-    ARIMA fallback under 24 months or a singular system, forecast in closed
-    form: d_i = phi^(i-1) (phi d_n + theta e_n) + Phi sum_j phi^(i-j) h_j."""
-    A = [["s11", "s12", "s13"], ["s12", "s22", "s23"], ["s13", "s23", "s33"]]
-    B = ["r1", "r2", "r3"]
-    det = _det3(A)
-
-    def col(j):
-        return [[B[r] if c == j else A[r][c] for c in range(3)] for r in range(3)]
-
-    x = [f"({_det3(col(j))}) / ({det})" for j in range(3)]
-    m3 = "e1 IS NOT NULL AND d12 IS NOT NULL"
-    sums3 = ", ".join(f"coalesce(sum(CASE WHEN {m3} THEN {a} * {b} END), 0) AS {nm}" for nm, a, b in (
-        ("s11", "d1", "d1"), ("s12", "d1", "e1"), ("s13", "d1", "d12"), ("s22", "e1", "e1"), ("s23", "e1", "d12"),
-        ("s33", "d12", "d12"), ("r1", "d1", "d"), ("r2", "e1", "d"), ("r3", "d12", "d")))
-    base = _arima_sql(horizon, "SELECT 1")
-    base = base.replace("s2 AS (SELECT *, lag(d, 1) OVER", f"s2 AS (SELECT *, lag(d, 12) OVER ({W_}) AS d12, lag(d, 1) OVER")
-    base = base.replace("   max(n_fit) AS n_fit, max(hold) AS hold\n   FROM s4 GROUP BY", f"   max(n_fit) AS n_fit, max(hold) AS hold, {sums3}\n   FROM s4 GROUP BY")
-    use3 = f"(n_fit >= 24 AND abs({det}) > 1e-12)"
-    base = base.replace(
-        "   FROM st2),\nfc AS",
-        f"   FROM st2),\nest3 AS (SELECT *, CASE WHEN {use3} THEN greatest(-0.99, least(0.99, {x[0]})) ELSE phi END AS phi3,"
-        f" CASE WHEN {use3} THEN {x[1]} ELSE theta END AS theta3,"
-        f" CASE WHEN {use3} THEN greatest(-0.99, least(0.99, {x[2]})) ELSE 0.0 END AS sphi FROM est),\n"
-        "hist AS (SELECT s1.target_type, s1.target_key, s1.fit, s1.t - (e.n_fit - 13) AS j, s1.d AS h FROM s1 JOIN est3 e"
-        " USING (target_type, target_key, fit) WHERE s1.t >= e.n_fit - 12),\n"
-        "steps AS (SELECT *, unnest(generate_series(1, CASE WHEN fit = 'full' THEN " + str(horizon) + " ELSE hold END)) AS i FROM est3),\n"
-        "dh AS (SELECT st.target_type, st.target_key, st.fit, st.i,"
-        " pow(st.phi3, st.i - 1) * (st.phi3 * coalesce(st.d_last, 0) + st.theta3 * coalesce(st.e_last, 0))"
-        " + st.sphi * coalesce((SELECT sum(pow(st.phi3, st.i - h.j) * h.h) FROM hist h WHERE h.target_type = st.target_type"
-        " AND h.target_key = st.target_key AND h.fit = st.fit AND h.j <= st.i), 0) AS dh FROM steps st),\n"
-        "fc_old AS")
-    base = base.replace("FROM (SELECT *, unnest(generate_series(1, CASE WHEN fit = 'full' THEN " + str(horizon) + " ELSE hold END)) AS k FROM est))",
-                        "FROM (SELECT *, unnest(generate_series(1, CASE WHEN fit = 'full' THEN " + str(horizon) + " ELSE hold END)) AS k FROM est)),\n"
-                        "fc AS (SELECT e.target_type, e.target_key, e.fit, e.last_month, e.n_fit, k.i AS k,"
-                        " e.y_last + (SELECT sum(x.dh) FROM dh x WHERE x.target_type = e.target_type AND x.target_key = e.target_key"
-                        " AND x.fit = e.fit AND x.i <= k.i) AS yhat FROM est3 e JOIN dh k USING (target_type, target_key, fit))")
-    base = base.replace("\nSELECT 1", "\n" + _ARIMA_POINTS.replace("'arima' AS model_name", "'sarima' AS model_name"))
-    return base
-
-
-_ARIMA_POINTS = f"""SELECT 'arima' AS model_name, target_type, target_key, CAST(k AS INTEGER) AS horizon_months,
-  CAST(last_month + to_months(CAST(k AS INTEGER)) AS DATE) AS period_start,
-  CASE WHEN target_type = 'salary_role' THEN round_even({S.rnd('greatest(0.0, yhat)', 4)}, 0) + 0.0 ELSE {S.rnd('greatest(0.0, yhat)', 4)} END AS predicted_value
-FROM fc WHERE fit = 'full'"""
-
-_ARIMA_METRICS = f"""SELECT 'arima' AS model_name, fc.target_type, fc.target_key,
-  {S.rnd('avg(abs(ok.value - fc.yhat))', 4)} AS mae, {S.rnd('sqrt(avg((ok.value - fc.yhat) * (ok.value - fc.yhat)))', 4)} AS rmse
-FROM fc JOIN ok ON ok.target_type = fc.target_type AND ok.target_key = fc.target_key AND ok.t = fc.n_fit + fc.k - 1
-WHERE fc.fit = 'holdout' GROUP BY 1, 2, 3"""
+def _model_sql(model: str, what=modelsql.points, how=None) -> str:
+    return modelsql.recursive(*TARGET_CTES, *modelsql.model_ctes(model, HORIZON, how)) + what(model)
 
 
 @query("forecast_targets", S.with_(*TARGET_CTES) + f"SELECT target_type, target_key, month, {S.rnd('value', 6)} AS value, t, n FROM ser")
@@ -152,14 +62,24 @@ def q_targets(spark, d):
     return targets(spark, d).select("target_type", "target_key", "month", round_half_even("value", 6).alias("value"), "t", "n")
 
 
-@query("forecast_arima", _arima_sql(HORIZON, _ARIMA_POINTS))
-def q_arima(spark, d):
-    return forecast.forecaster("arima")(targets(spark, d), HORIZON).points
+#: Boosting with leaves of three rows: at the default of 20 a window of up to 36
+#: months has no room for a cut, and the forecast is the mean of the targets.
+SMALL_LEAVES = replace(trees.HGB, trees=20, least=3)
+
+for _m in forecast.MODEL_KEYS:
+    def _points(spark, d, _m=_m):
+        return forecast.forecaster(_m)(targets(spark, d), HORIZON).points
+
+    def _metrics(spark, d, _m=_m):
+        return forecast.forecaster(_m)(targets(spark, d), HORIZON).metrics
+
+    query(f"forecast_{_m}", _model_sql(_m))(_points)
+    query(f"forecast_{_m}_metrics", _model_sql(_m, modelsql.metrics))(_metrics)
 
 
-@query("forecast_arima_metrics", _arima_sql(HORIZON, _ARIMA_METRICS))
-def q_arima_metrics(spark, d):
-    return forecast.forecaster("arima")(targets(spark, d), HORIZON).metrics
+@query("forecast_hgb_small_leaves", _model_sql("hgb", how=SMALL_LEAVES))
+def q_small_leaves(spark, d):
+    return forecast._trees(targets(spark, d), HORIZON, "hgb", SMALL_LEAVES).points
 
 
 @query("forecast_history_gate", S.with_(*TARGET_CTES) + """
@@ -176,13 +96,6 @@ def q_gate(spark, d):
     return reduce(lambda a, c: a.unionByName(c), [forecast._gate(s, m)[1] for m in ("prophet", "arima", "rf")])
 
 
-for _m in ("sarima", "prophet", "rf", "hgb"):
-    def _points(spark, d, _m=_m):
-        return forecast.forecaster(_m)(targets(spark, d), HORIZON).points
-
-    query(f"forecast_{_m}", _sarima_sql(HORIZON) if _m == "sarima" else None)(_points)
-
-
 def _run(spark, d):
     w = windowed(spark, d)
     return run.run_forecast(monthly_roles=w["monthly_roles"],

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from marketlens.functions.numeric import round_half_even
 from marketlens.operators import extraction, forecast, glossary, ingest, skills, store
 from marketlens.plans import bindings as b
+from marketlens.plans import modelsql
 from marketlens.plans import sqlparts as S
-from marketlens.plans.queries_forecast import HORIZON, _arima_sql, targets
+from marketlens.plans.queries_forecast import HORIZON, _model_sql, targets
 from marketlens.plans.registry import query
 from marketlens.session import checkpoint_dir, read_table
 
@@ -272,13 +273,10 @@ def _run_results(spark, d, run_id=1):
     return store.normalize_results(pts.withColumn("metrics", F.lit(None).cast("struct<mae:double,rmse:double>")), run_id)
 
 
-_STORED = f"""SELECT 1 AS run_id, 'arima' AS model_name, target_type, target_key, CAST(k AS INTEGER) AS horizon_months,
-  CAST(last_month + to_months(CAST(k AS INTEGER)) AS DATE) AS period_start,
-  CASE WHEN target_type = 'salary_role' THEN round_even({S.rnd('greatest(0.0, yhat)', 4)}, 0) + 0.0 ELSE {S.rnd('greatest(0.0, yhat)', 4)} END AS predicted_value
-FROM fc WHERE fit = 'full'"""
+_STORED = "SELECT 1 AS run_id, * FROM (" + modelsql.points("arima") + ")"
 
 
-@query("result_preview", _arima_sql(HORIZON, f""", stored AS ({_STORED})
+@query("result_preview", _model_sql("arima", lambda _: f""", stored AS ({_STORED})
 SELECT * FROM stored ORDER BY model_name, target_type, predicted_value DESC NULLS LAST, horizon_months, target_key LIMIT 500"""))
 def q_result_preview(spark, d):
     return store.list_results(_run_results(spark, d), 1, store.RESULTS_LIMIT).drop("metrics")
@@ -290,7 +288,7 @@ def _fmt(v: str, t: str) -> str:
             f"WHEN abs({v} - round_even({v}, 0)) < 1e-6 THEN {whole} ELSE printf('%.2f', {S.rnd(v, 2)}) END")
 
 
-@query("run_report", _arima_sql(HORIZON, f""", stored AS ({_STORED})
+@query("run_report", _model_sql("arima", lambda _: f""", stored AS ({_STORED})
 SELECT 'database' AS report, model_name,
   row_number() OVER (PARTITION BY model_name ORDER BY predicted_value DESC NULLS LAST, horizon_months, target_type, target_key) AS row_in_model,
   target_type AS type, target_key AS target, CAST(horizon_months AS VARCHAR) AS horizon,
