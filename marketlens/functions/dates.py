@@ -3,6 +3,8 @@ future month starts."""
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,17 @@ def period_start(col, freq: str) -> Column:
     raise ValueError(f"unknown period code {freq!r}; use one of {FREQS}")
 
 
+def first_day(day: date, freq: str) -> date:
+    """B11 for one date on the driver."""
+    if freq == FREQ_DAY:
+        return day
+    if freq == FREQ_MONTH:
+        return day.replace(day=1)
+    if freq == FREQ_WEEK_MON:
+        return day - timedelta((day.weekday() - 1) % 7)
+    raise ValueError(f"unknown period code {freq!r}; use one of {FREQS}")
+
+
 def future_month_starts(last_month, horizon: int) -> Column:
     """Array of the ``horizon`` month starts after ``last_month``."""
     m = F.trunc(_c(last_month), "MM")

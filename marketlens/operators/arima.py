@@ -15,8 +15,6 @@ same for every length."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,103 +31,93 @@ FACTORS = {"css": ("e", "e"), "a11": ("dp", "dp"), "a12": ("dp", "dq"), "a13": (
            "b1": ("dp", "e"), "b2": ("dq", "e"), "b3": ("ds", "e")}
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _at(a: Column, i) -> Column:
-    return F.coalesce(F.get(a, i), F.lit(0.0))
+# Expressions are SQL text: one parse instead of a call per node.
 
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def _struct(**fields) -> Column:
-    return F.struct(*[v.alias(k) for k, v in fields.items()])
 
+def _struct(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
-def differences(y: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(y) - 1), lambda i: F.get(y, i) - F.get(y, i - 1))
 
+def _at(a: str, i: str) -> str:
+    return f"coalesce(get({a}, {i}), 0D)"
 
-def residuals(w: Column, p: Column, q: Column, s: Column, seasonal: bool) -> Column:
-    """The last residual ``e``, the sum of squares and the normal equations of
-    one trial. A step first adds up what the step before it found."""
-    zero = F.lit(0.0)
-    names = ("e", "dp", "dq", "ds", *SUMS)
 
-    def add(acc):
-        return {k: acc[k] + acc[a] * acc[b] for k, (a, b) in FACTORS.items()}
+def _clip(x: str) -> str:
+    return f"greatest(-{BOUND}D, least({BOUND}D, {x}))"
 
-    def step(acc, t):
-        w12, w13 = (_at(w, t - SEASON), _at(w, t - SEASON - 1)) if seasonal else (zero, zero)
-        u1 = _at(w, t - 1) - s * w13
-        return _struct(
-            e=(_at(w, t) - s * w12) - p * u1 - q * acc["e"], dp=-u1 - q * acc["dp"], dq=-acc["e"] - q * acc["dq"],
-            ds=(p * w13 - w12 - q * acc["ds"]) if seasonal else zero, **add(acc))
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(w) - 1), _struct(**{n: zero for n in names}), step, lambda acc: _struct(e=acc["e"], **add(acc)))
+def differences(y: str) -> str:
+    return f"transform(sequence(1, size({y}) - 1), i -> get({y}, i) - get({y}, i - 1))"
 
 
-def _det(m) -> Column:
+def residuals(w: str, trial: str, seasonal: bool) -> str:
+    """The last residual ``e``, the sum of squares and the normal equations of
+    one trial (tp, tq, ts). A step first adds up what the step before it found."""
+    p, q, s = (f"{trial}.{n}" for n in ("tp", "tq", "ts"))
+    w12, w13 = (_at(w, f"t - {SEASON}"), _at(w, f"t - {SEASON + 1}")) if seasonal else ("0D", "0D")
+    u1 = f"({_at(w, 't - 1')} - {s} * {w13})"
+    added = {k: f"r.{k} + r.{a} * r.{b}" for k, (a, b) in FACTORS.items()}
+    step = _struct(
+        e=f"({_at(w, 't')} - {s} * {w12}) - {p} * {u1} - {q} * r.e", dp=f"-{u1} - {q} * r.dp", dq=f"-r.e - {q} * r.dq",
+        ds=f"{p} * {w13} - {w12} - {q} * r.ds" if seasonal else "0D", **added)
+    zero = _struct(**{n: "0D" for n in ("e", "dp", "dq", "ds", *SUMS)})
+    return f"aggregate(sequence(1, size({w}) - 1), {zero}, (r, t) -> {step}, r -> {_struct(e='r.e', **added)})"
+
+
+def _det(m: list[list[str]]) -> str:
     (a, b, c), (d, e, f), (g, h, i) = m
-    return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
-
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
 
-def _clip(x: Column) -> Column:
-    return F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), x))
 
+def _trial(x: str, seasonal: bool) -> str:
+    """The parameters one damped step from the best so far."""
+    best, lam = f"{x}.best", f"{x}.lam"
+    diagonal = lambda n: f"({best}.{n} + {best}.{n} * {lam} + floor_)"
+    a = lambda n: f"{best}.{n}"
+    m = [[diagonal("a11"), a("a12"), a("a13")], [a("a12"), diagonal("a22"), a("a23")], [a("a13"), a("a23"), diagonal("a33")]]
+    b = [a("b1"), a("b2"), a("b3")]
+    move = [f"if(det > 0, {_det([[b[r] if c == k else m[r][c] for c in range(3)] for r in range(3)])} / det, 0D)" for k in range(3)]
+    moved = [_clip(f"{best}.{n} - {move[k]}") for k, n in enumerate(("p", "q", "s"))]
+    out = _struct(best=best, lam=lam, tp=moved[0], tq=moved[1], ts=moved[2] if seasonal else "0D")
+    return _let(f"{FLOOR}D * ({a('a11')} + {a('a22')} + {a('a33')})", "floor_", _let(_det(m), "det", out))
 
-def _trial(best: Column, lam: Column) -> list[Column]:
-    """Parameters after one damped step from the best so far."""
-    floor = FLOOR * (best["a11"] + best["a22"] + best["a33"])
-    diagonal = lambda c: best[c] + best[c] * lam + floor
-    m = [[diagonal("a11"), best["a12"], best["a13"]], [best["a12"], diagonal("a22"), best["a23"]], [best["a13"], best["a23"], diagonal("a33")]]
-    b = [best["b1"], best["b2"], best["b3"]]
-    det = _det(m)
-    move = [F.when(det > 0, _det([[b[r] if c == k else m[r][c] for c in range(3)] for r in range(3)]) / det).otherwise(0.0) for k in range(3)]
-    return [_clip(best[n] - move[k]) for k, n in enumerate(("p", "q", "s"))]
 
-
-def estimated(w: Column, seasonal: bool) -> Column:
+def estimated(w: str, seasonal: bool) -> str:
     """Struct with p, q, s and the last residual e of the best trial."""
-    zero = F.lit(0.0)
     fields = ("p", "q", "s", "e", *SUMS)
-    own = F.aggregate(F.sequence(F.lit(1), F.size(w) - 1), zero, lambda a, t: a + F.get(w, t) * F.get(w, t - 1))
-    all_ = F.aggregate(w, zero, lambda a, x: a + x * x)
-    start = F.when(all_ > 0, _clip(own / all_)).otherwise(0.0)
-    init = _struct(best=_struct(p=zero, q=zero, s=zero, e=zero, **{n: F.lit(float("inf")) if n == "css" else zero for n in SUMS}),
-                   lam=F.lit(DAMPING), tp=start, tq=zero, ts=zero)
-
-    def round_(acc, _):
-        found = residuals(w, acc["tp"], acc["tq"], acc["ts"], seasonal)
-
-        def choose(g):
-            better = g["css"] < acc["best"]["css"]
-            mine = {"p": acc["tp"], "q": acc["tq"], "s": acc["ts"], **{n: g[n] for n in ("e", *SUMS)}}
-            best = _struct(**{n: F.when(better, mine[n]).otherwise(acc["best"][n]) for n in fields})
-            lam = F.when(better, acc["lam"] / 10.0).otherwise(acc["lam"] * 10.0)
-            return _let(F.struct(best.alias("best"), lam.alias("lam")), lambda x: _next(x))
+    own = f"aggregate(sequence(1, size({w}) - 1), 0D, (a, t) -> a + get({w}, t) * get({w}, t - 1))"
+    squares = f"aggregate({w}, 0D, (a, x) -> a + x * x)"
+    start = _let(own, "own", _let(squares, "squares", f"if(squares > 0, {_clip('own / squares')}, 0D)"))
+    init = _struct(best=_struct(p="0D", q="0D", s="0D", e="0D", **{n: "double('inf')" if n == "css" else "0D" for n in SUMS}), lam=f"{DAMPING}D", tp=start, tq="0D", ts="0D")
+    mine = {"p": "f.tp", "q": "f.tq", "s": "f.ts", **{n: f"g.{n}" for n in ("e", *SUMS)}}
+    chosen = _struct(best=_struct(**{n: f"if(g.css < f.best.css, {mine[n]}, f.best.{n})" for n in fields}), lam="if(g.css < f.best.css, f.lam / 10D, f.lam * 10D)")
+    round_ = _let(residuals(w, "f", seasonal), "g", _let(chosen, "x", _trial("x", seasonal)))
+    return f"aggregate(sequence(1, {ROUNDS}), {init}, (f, n_) -> {round_}, f -> f.best)"
 
-        return _let(found, choose)
 
-    def _next(x):
-        tp, tq, ts = _trial(x["best"], x["lam"])
-        return F.struct(x["best"].alias("best"), x["lam"].alias("lam"), tp.alias("tp"), tq.alias("tq"), (ts if seasonal else zero).alias("ts"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), init, round_, lambda acc: acc["best"])
+def path(y_last: str, w: str, est: str, steps: str, seasonal: bool) -> str:
+    """Forecast levels 1 ... ``steps`` after the sample."""
+    back = lambda k: _at("s.ws", f"size({w}) + k - 1 - {k}")
+    s12, s13 = (f"{est}.s * {back(SEASON)}", f"{est}.s * {back(SEASON + 1)}") if seasonal else ("0D", "0D")
+    new = f"{s12} + {est}.p * ({back(1)} - {s13}) + if(k = 1, {est}.q * {est}.e, 0D)"
+    step = _let(new, "d", _struct(ws="concat(s.ws, array(d))", y="s.y + d", out="concat(s.out, array(s.y + d))"))
+    zero = _struct(ws=w, y=y_last, out="cast(array() as array<double>)")
+    return f"aggregate(sequence(1, cast({steps} as int)), {zero}, (s, k) -> {step}, s -> s.out)"
 
 
-def path(y_last: Column, w: Column, est: Column, steps: Column, seasonal: bool) -> Column:
-    """Forecast levels 1 ... ``steps`` after the sample."""
-    m = F.size(w)
+def forecast(y: str, steps: str, seasonal: bool) -> str:
+    """Forecast path of the array ``y`` of values in time order."""
+    return _let(differences(y), "w", _let(estimated("w", seasonal), "est", path(f"element_at({y}, -1)", "w", "est", steps, seasonal)))
 
-    def step(acc, k):
-        ws, i = acc["ws"], m + k - 1  # place of this difference
-        season = [est["s"] * _at(ws, i - SEASON), est["s"] * _at(ws, i - SEASON - 1)] if seasonal else [F.lit(0.0)] * 2
-        new = season[0] + est["p"] * (_at(ws, i - 1) - season[1]) + F.when(k == 1, est["q"] * est["e"]).otherwise(0.0)
-        return _let(new, lambda d: F.struct(F.concat(ws, F.array(d)).alias("ws"), (acc["y"] + d).alias("y"), F.concat(acc["out"], F.array(acc["y"] + d)).alias("out")))
 
-    zero = F.struct(w.alias("ws"), y_last.alias("y"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), steps.cast("int")), zero, step, lambda acc: acc["out"])
+def forecasts(fits: list[tuple[str, str]], seasonal: bool) -> Column:
+    """Array of the forecast paths of some (values, steps) of a row."""
+    each = ", ".join(_struct(ys=y, steps=f"cast({k} as int)") for y, k in fits)
+    return F.expr(f"transform(array({each}), u -> {forecast('u.ys', 'u.steps', seasonal)})")
 
 
 # --- ridge of the trend model (I6) -----------------------------------------------
@@ -150,5 +138,5 @@ def cholesky_stages(n: int, a: str = "a", b: str = "b", x: str = "x") -> list[li
 
 def solved(df, n: int, keep: list[str]):
     """``keep`` and x0 ... x{n-1} of a frame with the columns of the system."""
-    out = reduce(lambda d, stage: d.selectExpr("*", *[f"{e} AS {name}" for name, e in stage]), cholesky_stages(n), df)
-    return out.select(*keep, *[f"x{i}" for i in range(n)])
+    every = [f"{e} AS {name}" for stage in cholesky_stages(n) for name, e in stage]  # later ones use earlier ones
+    return df.selectExpr("*", *every).select(*keep, *[f"x{i}" for i in range(n)])

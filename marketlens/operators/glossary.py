@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from marketlens.functions.text import is_identity_pair, normalize_key, py_strip, sanitize_field_reason
 
@@ -57,7 +58,11 @@ def candidate_pairs(postings: DataFrame, *, id_col="id", title_col="role_title",
     return ex.where(ok).select(id_col, "pos", py_strip("o").alias("original"), py_strip("e").alias("english"))
 
 
-def merge(existing: DataFrame, pairs: DataFrame, seq_col: str = "seq") -> tuple[DataFrame, DataFrame]:
+#: Sequence values per range of a key.
+RANGE = 1 << 16
+
+
+def merge(existing: DataFrame, pairs: DataFrame, seq_col: str = "seq", part: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """H5: merge new (original, english, seq) pairs into the glossary.
 
     Per key: a new key takes the first pair's original casing; an english
@@ -65,40 +70,48 @@ def merge(existing: DataFrame, pairs: DataFrame, seq_col: str = "seq") -> tuple[
     wins. Blank, unusable (B4) and identity pairs are skipped (reported in the
     second frame with a reason). Returns (merged glossary, actions) where
     actions has one row per changed pair (action insert / update) and the
-    rejected pairs (action reject)."""
-    p = pairs.select(seq_col, py_strip("original").alias("original"), py_strip("english").alias("english"))
+    rejected pairs (action reject).
+
+    A key's pairs are looked at in ranges of ``part`` (a number that rises with
+    the sequence; the sequence itself by default), ``RANGE`` values each, so the
+    pairs of a frequent key are never one group. A range is reduced to its
+    first pair, its last value and its last change; those few rows per key are
+    then put in order, which settles the first pair of every range and the
+    final run. Two exchanges, no join back. ``seq_col`` may be a struct."""
+    p = pairs.select(F.col(seq_col).alias("seq"), (F.col(seq_col) if part is None else part).cast("long").alias("at"),
+                     py_strip("original").alias("original"), py_strip("english").alias("english"))
     reason = F.coalesce(sanitize_field_reason("original", "original"), sanitize_field_reason("english", "english"))
     p = p.withColumn("reason", reason)
     rejected = p.where(F.col("reason").isNotNull() & (F.col("original") != "") & (F.col("english") != ""))
     p = p.where(F.col("reason").isNull() & ~is_identity_pair("original", "english")).withColumn("key", normalize_key("original"))
+    kind = p.schema["seq"].dataType
     old = existing.where(~is_identity_pair("original", "english")).select(
-        "key", "original", "english", F.lit(-1).cast("long").alias(seq_col), F.lit(True).alias("_old"))
-    stream = old.unionByName(p.select("key", "original", "english", F.col(seq_col).cast("long"), F.lit(False).alias("_old")))
-    stream = stream.withColumn("_n", normalize_key("english"))
-    # Merged table from grouped aggregates (partial aggregation, no per-key
-    # ordering): the final English is the first row of the key's last run of
-    # equal normalised English values; a run that starts with the stored row
-    # is no change.
-    last = stream.groupBy("key").agg(F.max_by("_n", seq_col).alias("_last_n"),
-                                     F.min_by("original", seq_col).alias("original"),
-                                     F.max(seq_col).alias(seq_col))
-    s2 = stream.join(last.select("key", "_last_n"), "key")
-    cut = s2.groupBy("key").agg(F.max(F.when(F.col("_n") != F.col("_last_n"), F.col(seq_col))).alias("_cut"))
-    s3 = s2.join(cut, "key").where(F.col("_cut").isNull() | (F.col(seq_col) > F.col("_cut")))
-    run_first = s3.groupBy("key").agg(F.min_by("english", seq_col).alias("english"))
-    merged = last.join(run_first, "key").select("key", "original", "english", seq_col)
-    # Audit rows: one per changing pair, in sequence order within the key.
-    w = Window.partitionBy("key").orderBy(seq_col)
-    prev = F.lag("_n").over(w)
-    stream = stream.withColumn("_change", ~F.col("_old") & (prev.isNull() | (prev != F.col("_n"))))
-    stream = stream.withColumn("_is_new_key", ~F.col("_old") & prev.isNull())
-    actions = stream.where("_change").select(
-        "key", seq_col, "original", "english",
-        F.when(F.col("_is_new_key"), F.lit("insert")).otherwise(F.lit("update")).alias("action"),
-        F.lit(None).cast("string").alias("reason"),
-    ).unionByName(rejected.select(normalize_key("original").alias("key"), F.col(seq_col).cast("long"), "original", "english",
-                                  F.lit("reject").alias("action"), "reason"))
-    return merged, actions
+        "key", F.lit(-1).cast("long").alias("range"), F.lit(None).cast(kind).alias("seq"), "original", "english")
+    stream = old.unionByName(p.select("key", F.floor(F.col("at") / RANGE).cast("long").alias("range"), "seq", "original", "english"))
+    w = Window.partitionBy("key", "range").orderBy(F.col("seq").asc_nulls_first())
+    row = stream.withColumn("n", normalize_key("english")).withColumn("prev", F.lag("n").over(w))
+    found = F.struct("seq", "original", "english", "n")
+    inside = F.col("prev").isNotNull() & (F.col("prev") != F.col("n"))
+    # per range, in the partitioning of the window
+    ranges = row.groupBy("key", "range").agg(
+        F.min(found).alias("first"), F.max(F.struct("seq", "n")).alias("last"), F.max(F.when(inside, F.struct("seq", "english"))).alias("change"))
+    by_range = Window.partitionBy("key").orderBy("range")
+    ranges = ranges.withColumn("before", F.lag("last.n").over(by_range))
+    is_old = F.col("range") == -1
+    starts = F.col("before").isNull() | (F.col("before") != F.col("first.n"))  # the range's first pair starts a run
+    run = F.coalesce(F.col("change"), F.when(starts, F.struct(F.col("first.seq").alias("seq"), F.col("first.english").alias("english"))))
+    merged = ranges.withColumn("run", run).groupBy("key").agg(
+        F.min_by("first.original", "range").alias("original"),
+        F.max_by("run.english", F.when(F.col("run").isNotNull(), F.col("range"))).alias("english"),
+        F.max_by("last.seq", "range").alias(seq_col))
+    if isinstance(kind, (LongType, IntegerType)):
+        merged = merged.withColumn(seq_col, F.coalesce(seq_col, F.lit(-1)))
+    heads = ranges.where(starts & ~is_old).select("key", "first.seq", "first.original", "first.english", F.when(F.col("before").isNull(), F.lit("insert")).otherwise(F.lit("update")).alias("action"))
+    changes = row.where(inside).select("key", "seq", "original", "english", F.lit("update").alias("action"))
+    none = F.lit(None).cast("string").alias("reason")
+    actions = heads.unionByName(changes).select("key", F.col("seq").alias(seq_col), "original", "english", "action", none)
+    return merged, actions.unionByName(rejected.select(
+        normalize_key("original").alias("key"), F.col("seq").alias(seq_col), "original", "english", F.lit("reject").alias("action"), "reason"))
 
 
 def changed_count(actions: DataFrame) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.functions.dates import FREQ_MONTH, period_start
+from marketlens.functions.dates import FREQ_MONTH, first_day, period_start
 from marketlens.functions.labels import role_label, skill_label_series
 from marketlens.functions.numeric import finite_or_null, round_half_even, salary_midpoint
 
@@ -71,13 +71,22 @@ def role_series(frame: DataFrame, freq: str = FREQ_MONTH) -> DataFrame:
     )
 
 
+def dated_links(links: DataFrame, frame: DataFrame, *, posting_col="posting_id", skill_col="skill_id", distinct: bool = False) -> DataFrame:
+    """(posting_id, skill_id, date_added) of the links of the postings in
+    ``frame``. With ``distinct`` repeated links count once; they are removed
+    after the join, so links of postings that ``frame`` leaves out are never
+    shuffled for it."""
+    dated = links.select(F.col(posting_col).alias("posting_id"), F.col(skill_col).alias("skill_id")).join(
+        frame.select("posting_id", "date_added"), "posting_id"
+    )
+    return dated.groupBy("posting_id", "skill_id").agg(F.first("date_added").alias("date_added")) if distinct else dated
+
+
 def skill_link_counts(links: DataFrame, frame: DataFrame, freq: str = FREQ_MONTH, *,
                       posting_col="posting_id", skill_col="skill_id") -> DataFrame:
     """(period, skill id) link counts: the big link table is reduced to one row
     per period and skill before it meets the skill dimension."""
-    dated = links.select(F.col(posting_col).alias("posting_id"), F.col(skill_col).alias("skill_id")).join(
-        frame.select("posting_id", "date_added"), "posting_id"
-    )
+    dated = dated_links(links, frame, posting_col=posting_col, skill_col=skill_col)
     return dated.groupBy(period_start("date_added", freq).alias("period_start"), "skill_id").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -135,13 +144,14 @@ def role_rollup(frame: DataFrame, freqs=("D", "W-MON", "M")) -> DataFrame:
 
 
 def skill_rollup(links: DataFrame, frame: DataFrame, skills: DataFrame, freqs=("D", "W-MON", "M"), *,
-                 id_col="id", en_col="display_name_en", display_col="display_name", name_col="name") -> DataFrame:
-    """D8 for skills: day counts per skill id first, then rolled to every
-    granularity from that (already small) frame."""
-    daily = skill_link_counts(links, frame, "D").withColumnRenamed("period_start", "day")
-    g = daily.select("skill_id", "n", _granularities("day", freqs).alias("_g"))
+                 id_col="id", en_col="display_name_en", display_col="display_name", name_col="name",
+                 distinct: bool = False) -> DataFrame:
+    """D8 for skills: links are counted per (granularity, period, skill id) in
+    one aggregate, partial before its shuffle, then named by the dimension."""
+    dated = dated_links(links, frame, distinct=distinct)
+    g = dated.select("skill_id", _granularities("date_added", freqs).alias("_g"))
     per_id = g.groupBy(F.col("_g.granularity").alias("granularity"), F.col("_g.period_start").alias("period_start"), "skill_id").agg(
-        F.sum("n").alias("n")
+        F.count(F.lit(1)).alias("n")
     )
     dim = skills.select(F.col(id_col).alias("skill_id"), skill_label_series(en_col, display_col, name_col).alias("display_name_en"))
     return per_id.join(dim, "skill_id").groupBy("granularity", "period_start", "display_name_en").agg(
@@ -149,6 +159,33 @@ def skill_rollup(links: DataFrame, frame: DataFrame, skills: DataFrame, freqs=("
     )
 
 
+def totals_rollup(frame: DataFrame, links: DataFrame, freqs=("D", "W-MON", "M"), *, distinct: bool = False) -> DataFrame:
+    """D8 for totals (D7 at several granularities): postings, role mentions and
+    skill mentions per (granularity, period). Postings take their number of
+    links with them, so both sums come from one scan of the postings; periods
+    are grouping sets of one aggregate over the days."""
+    own = links.groupBy("posting_id").agg((F.count_distinct("skill_id") if distinct else F.count("skill_id")).alias("n"))
+    days = frame.join(own, "posting_id", "left").groupBy("date_added").agg(
+        F.count("posting_id").alias("postings"), F.sum(F.coalesce("n", F.lit(0))).alias("skills"))
+    out = days.select("*", _granularities("date_added", freqs).alias("_g"))
+    return out.groupBy(F.col("_g.granularity").alias("granularity"), F.col("_g.period_start").alias("period_start")).agg(
+        F.sum("postings").cast("bigint").alias("total_postings"), F.sum("postings").cast("bigint").alias("total_role_mentions"),
+        F.sum("skills").cast("bigint").alias("total_skill_mentions"))
+
+
+def window_starts(frame: DataFrame, windows: dict[str, int], date_col: str = "date_added") -> dict:
+    """E1 from the posting dates alone: per frequency the first of the last
+    ``n`` distinct periods, None where that is the whole history (n <= 0, or
+    not more than n periods). Only the distinct days are collected, which the
+    time span bounds, not the number of postings."""
+    days = sorted(r[0] for r in frame.select(F.col(date_col).cast("date")).distinct().collect() if r[0] is not None)
+    out = {}
+    for freq, n in windows.items():
+        starts = sorted({first_day(d, freq) for d in days})
+        out[freq] = starts[-int(n)] if 0 < n < len(starts) else None
+    return out
+
+
 def last_periods(df: DataFrame, n: int, period_col: str = "period_start") -> DataFrame:
     """E1 (+G3, C5): rows of the last ``n`` distinct periods present; n <= 0 or
     fewer periods than n keeps all. The kept period list is bounded by n, so

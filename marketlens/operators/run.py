@@ -3,8 +3,10 @@ horizon filter -> status -> summary, all as DataFrames."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,40 +36,61 @@ class RunOutcome:
     summary: DataFrame   # one row: status, counts, parameters (D16, D17)
     role_keys: DataFrame
     skill_keys: DataFrame
+    shares: DataFrame | None = None  # market shares of the window (with the report)
+    summarise: Callable[[DataFrame, DataFrame], DataFrame] | None = None  # the summary of stored results and errors
+    top_k: int = forecast.DEFAULT_TOP_K
+    seconds: dict[str, float] = field(default_factory=dict)  # building, and with ``staging`` running, each model
 
 
 def run_forecast(*, monthly_roles: DataFrame, weekly_roles: DataFrame, monthly_skills: DataFrame,
                  weekly_skills: DataFrame, training_window_months: int = 24, horizons=None, models=None,
-                 top_k: int = forecast.DEFAULT_TOP_K, data_source: str = "database") -> RunOutcome:
+                 top_k: int = forecast.DEFAULT_TOP_K, data_source: str = "database",
+                 sliced: bool = False, staging: str | None = None) -> RunOutcome:
+    """I11 over the series of both granularities. ``sliced``: the frames are
+    the training window already. With ``staging`` (a shared folder) each model's
+    rows are written there as it runs, so that its seconds are its own and later
+    reads do not fit it again."""
     model_list, horizon_list, window = forecast.run_parameters(models, horizons, training_window_months)
     max_h = max(horizon_list)
     spark = monthly_roles.sparkSession
 
-    mr = periods.last_periods(monthly_roles, window)
-    wr = periods.last_periods(weekly_roles, periods.weekly_window(window))
-    ms = periods.last_periods(monthly_skills, window)
-    ws = periods.last_periods(weekly_skills, periods.weekly_window(window))
+    part = (lambda df, n: df) if sliced else periods.last_periods
+    mr, wr = part(monthly_roles, window), part(weekly_roles, periods.weekly_window(window))
+    ms, ws = part(monthly_skills, window), part(weekly_skills, periods.weekly_window(window))
     role_keys = periods.rank_top_keys(mr, "role_title_en", "posting_count", top_k)
     skill_keys = periods.rank_top_keys(ms, "display_name_en", "posting_count", top_k)
 
     rows: list[DataFrame] = []
     errors: list[DataFrame] = [spark.createDataFrame([], ERROR_SCHEMA)]
     metrics: list[DataFrame] = [spark.createDataFrame([], METRIC_SCHEMA)]
-    report = None
+    report, shares, seconds = None, None, {}
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        if staging is None:
+            return df
+        path = f"{staging.rstrip('/')}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     if "baseline" in model_list:
         report = baseline.baseline_report(monthly_roles=mr, weekly_roles=wr, monthly_skills=ms, weekly_skills=ws,
                                           role_keys=role_keys, skill_keys=skill_keys)
+        started = time.perf_counter()
         b = baseline.baseline_rows(report)
-        rows.append(b.withColumn("metrics", F.col("metrics").cast(METRICS_TYPE)))
+        rows.append(kept(b.withColumn("metrics", F.col("metrics").cast(METRICS_TYPE)), "baseline-points"))
+        shares = baseline.share_tables(mr, ms)
+        seconds["baseline"] = round(time.perf_counter() - started, 3)
 
     fmodels = [m for m in model_list if m in forecast.MODEL_KEYS or m in forecast.USER_MODELS]
     if fmodels:
         series = forecast.forecast_targets(mr, ms, role_keys, skill_keys).persist()
         for m in fmodels:
+            started = time.perf_counter()
             out = forecast.forecaster(m)(series, max_h)
-            rows.append(out.points.select(*POINT_COLS, F.lit(None).cast(METRICS_TYPE).alias("metrics")))
-            errors.append(out.errors.select("model_name", "target_type", "target_key", "error"))
-            metrics.append(out.metrics)
+            rows.append(kept(out.points, f"{m}-points").select(*POINT_COLS, F.lit(None).cast(METRICS_TYPE).alias("metrics")))
+            errors.append(kept(out.errors, f"{m}-errors").select("model_name", "target_type", "target_key", "error"))
+            metrics.append(kept(out.metrics, f"{m}-metrics"))
+            seconds[m] = round(time.perf_counter() - started, 3)
 
     if rows:
         results = reduce(lambda a, c: a.unionByName(c), rows)                         # G1
@@ -80,9 +103,9 @@ def run_forecast(*, monthly_roles: DataFrame, weekly_roles: DataFrame, monthly_s
     results = forecast.filter_by_horizons(results, horizon_list)                       # G5
     all_errors = reduce(lambda a, c: a.unionByName(c), errors)                         # G2
     all_metrics = reduce(lambda a, c: a.unionByName(c), metrics)
-    summary = run_summary(results, all_errors, model_list=model_list, horizons=horizon_list, window=window,
-                          data_source=data_source)
-    return RunOutcome(results, all_errors, all_metrics, report, summary, role_keys, skill_keys)
+    summarise = partial(run_summary, model_list=model_list, horizons=horizon_list, window=window, data_source=data_source)
+    return RunOutcome(results, all_errors, all_metrics, report, summarise(results, all_errors), role_keys, skill_keys,
+                      shares, summarise, top_k, seconds)
 
 
 def run_status(n_results, n_errors) -> F.Column:

@@ -63,6 +63,12 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.repartition("posting_id").dropDuplicates(["posting_id", "skill_id"])
 
 
+def link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs as they stand, repeats included, for operators that
+    remove them after a join (``distinct=True``)."""
+    return read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("posting_id"), F.col("l_partkey").alias("skill_id"))
+
+
 def company_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings per company name, pre-aggregated by key before the join to the
     customer table (one row per customer crosses the join, not one per order)."""

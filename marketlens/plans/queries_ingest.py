@@ -90,12 +90,14 @@ def q_validate(spark, d):
 
 
 def accepted_payloads(spark, d):
-    """Accepted payloads, written to the shared folder: the table is read by
-    several branches (labels, skills, pairs), and none of them validates again."""
-    path = os.path.join(checkpoint_dir(spark), "accepted-" + uuid.uuid4().hex)
+    """Accepted payloads. All verdicts are written to the shared folder and the
+    table read back is filtered: several branches (labels, skills, pairs) read
+    it, none validates again, and the reject rules stay out of the filter,
+    where the optimiser would repeat them for every column."""
+    path = os.path.join(checkpoint_dir(spark), "verdicts-" + uuid.uuid4().hex)
     v = extraction.validate_payloads(b.payloads(spark, d))
-    v.where("accepted").write.parquet(path)
-    return spark.read.schema(v.schema).parquet(path)
+    v.write.parquet(path)
+    return spark.read.schema(v.schema).parquet(path).where("accepted")
 
 
 # Glossary from the part table: p_name -> p_name with dashes (one line per
@@ -159,13 +161,27 @@ SELECT key, arg_min(original, seq) AS original,
 FROM ch GROUP BY key"""
 
 
-@query("glossary_merge", _GLOSSARY_SQL)
-def q_glossary_merge(spark, d):
+def _merged_glossary(spark, d):
     v = accepted_payloads(spark, d)
     pairs = glossary.candidate_pairs(v.withColumnRenamed("payload_id", "id"))
-    pairs = pairs.select((F.col("id") * 1_000_000 + F.col("pos")).alias("seq"), "original", "english")
-    merged, actions = glossary.merge(part_glossary(spark, d), pairs)
-    return merged
+    pairs = pairs.select(F.struct("id", "pos").alias("seq"), "original", "english")
+    return glossary.merge(part_glossary(spark, d), pairs, part=F.col("seq.id"))
+
+
+def _seq_number():
+    return F.coalesce(F.col("seq.id") * 1_000_000 + F.col("seq.pos"), F.lit(-1)).alias("seq")
+
+
+@query("glossary_merge", _GLOSSARY_SQL)
+def q_glossary_merge(spark, d):
+    return _merged_glossary(spark, d)[0].select("key", "original", "english", _seq_number())
+
+
+@query("glossary_actions", _GLOSSARY_SQL.replace("SELECT key, arg_min(original, seq)", ", unused AS (SELECT key, arg_min(original, seq)") + """)
+SELECT key, seq, original, english, CASE WHEN prev IS NULL THEN 'insert' ELSE 'update' END AS action FROM ch WHERE chg""")
+def q_glossary_actions(spark, d):
+    actions = _merged_glossary(spark, d)[1].where("action <> 'reject'")
+    return actions.select("key", _seq_number(), "original", "english", "action")
 
 
 # ------------------------------------------------------------------ J2, J3

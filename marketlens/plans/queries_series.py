@@ -18,35 +18,47 @@ TOP_K = 15
 MA_DIGITS = 6
 
 
-def series_rollups(spark, d):
-    """Monthly and weekly role and skill series, each pair from one pass (D8
-    roll-up: one scan of the postings, one link join)."""
-    f = frame(spark, d)
-    roles = periods.role_rollup(f, ("M", "W-MON"))
-    skills = periods.skill_rollup(b.links(spark, d), f, b.skills(spark, d), ("M", "W-MON"))
-    return roles, skills
+FREQS = ("M", "W-MON")
 
 
 def _pick(df, g):
     return df.where(F.col("granularity") == g).drop("granularity")
 
 
-def windowed(spark, d, window=WINDOW):
+def _rollups(spark, d, f):
+    """Monthly and weekly role and skill series, each pair from one pass (D8
+    roll-up: one scan of the postings, one link join)."""
+    return periods.role_rollup(f, FREQS), periods.skill_rollup(b.link_rows(spark, d), f, b.skills(spark, d), FREQS, distinct=True)
+
+
+def windowed(spark, d, window=WINDOW, with_skills=True):
     """The four sliced series frames of a run (E1, E2) and both shortlists
-    (D10). The roll-ups and the slices are aggregates (periods x keys) and
-    are persisted for the several branches that read them (measured faster
-    than slicing each roll-up in one step over its period calendar)."""
-    roles, skills = series_rollups(spark, d)
-    roles, skills = roles.persist(), skills.persist()
-    weeks = periods.weekly_window(window)
-    mr = periods.last_periods(_pick(roles, "M"), window).persist()
-    wr = periods.last_periods(_pick(roles, "W-MON"), weeks).persist()
-    ms = periods.last_periods(_pick(skills, "M"), window).persist()
-    ws = periods.last_periods(_pick(skills, "W-MON"), weeks).persist()
-    role_keys = periods.rank_top_keys(mr, "role_title_en", "posting_count", TOP_K).persist()
-    skill_keys = periods.rank_top_keys(ms, "display_name_en", "posting_count", TOP_K).persist()
+    (D10). The history is cut from the posting dates before the link join, at
+    the first day that any window needs; the slices are then plain filters.
+    Should periods without links lie inside a window, so that the skill series
+    have fewer periods than asked for, those are sliced from the whole history
+    (found out only ``with_skills``)."""
+    f = frame(spark, d)
+    windows = {"M": window, "W-MON": periods.weekly_window(window)}
+    starts = periods.window_starts(f, windows)
+    cut = None if None in starts.values() else min(starts.values())
+    recent = f if cut is None else f.where(F.col("date_added") >= F.lit(cut))
+    roles, skills = (x.persist() for x in _rollups(spark, d, recent))
+
+    def part(df, g):
+        rows = _pick(df, g)
+        return rows if starts[g] is None else rows.where(F.col("period_start") >= F.lit(starts[g]))
+
+    sliced = {g: part(skills, g) for g in FREQS}
+    if cut is not None and with_skills:
+        found = {r.granularity: r.p for r in skills.groupBy("granularity").agg(F.collect_set("period_start").alias("p")).collect()}
+        if any(sum(p >= starts[g] for p in found.get(g, [])) < n for g, n in windows.items()):
+            skills = _rollups(spark, d, f)[1].persist()
+            sliced = {g: periods.last_periods(_pick(skills, g), windows[g]) for g in FREQS}
+    mr, wr, ms, ws = part(roles, "M"), part(roles, "W-MON"), sliced["M"], sliced["W-MON"]
     return dict(monthly_roles=mr, weekly_roles=wr, monthly_skills=ms, weekly_skills=ws,
-                role_keys=role_keys, skill_keys=skill_keys)
+                role_keys=periods.rank_top_keys(mr, "role_title_en", "posting_count", TOP_K).persist(),
+                skill_keys=periods.rank_top_keys(ms, "display_name_en", "posting_count", TOP_K).persist())
 
 
 def _round_ma(df):
@@ -79,7 +91,7 @@ def q_baseline_report(spark, d):
 SELECT role_title_en, CAST(sum(posting_count) AS BIGINT) AS posting_count FROM mr
 GROUP BY 1 ORDER BY 2 DESC, 1 ASC LIMIT 15""")
 def q_role_shortlist(spark, d):
-    return windowed(spark, d)["role_keys"]
+    return windowed(spark, d, with_skills=False)["role_keys"]
 
 
 @query("skill_shortlist", S.with_(*WINDOW_CTES) + """
@@ -98,7 +110,7 @@ ORDER BY posting_count DESC, {key} ASC LIMIT 20"""
 
 @query("role_market_share", S.with_(*WINDOW_CTES) + _share_sql("mr", "role_title_en"))
 def q_role_share(spark, d):
-    return series.market_share(windowed(spark, d)["monthly_roles"], "role_title_en", head=20)
+    return series.market_share(windowed(spark, d, with_skills=False)["monthly_roles"], "role_title_en", head=20)
 
 
 @query("skill_market_share", S.with_(*WINDOW_CTES) + _share_sql("ms", "display_name_en"))
@@ -199,3 +211,11 @@ def q_event_lag_matrix(spark, d):
     from pyspark.sql import Window
     dense = ev.withColumn("t", F.row_number().over(Window.partitionBy("event_type").orderBy("month")) - 1)
     return series.lag_matrix(dense, "event_type")
+
+
+@query("totals_rollup", S.with_(*S.BASE) + "".join(f"""{' UNION ALL ' if i else ''}SELECT '{g}' AS granularity, {S.period('date_added', g)} AS period_start, count(*) AS total_postings,
+  count(*) AS total_role_mentions, CAST(sum(n) AS BIGINT) AS total_skill_mentions
+FROM (SELECT f.posting_id, f.date_added, count(skill_id) AS n FROM frame f LEFT JOIN links l ON l.posting_id = f.posting_id GROUP BY ALL) GROUP BY 1, 2
+""" for i, g in enumerate(("D", "W-MON", "M"))))
+def q_totals_rollup(spark, d):
+    return periods.totals_rollup(frame(spark, d), b.link_rows(spark, d), distinct=True)

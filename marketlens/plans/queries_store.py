@@ -3,12 +3,15 @@ their results <- ``lineitem``; the skill dimension has one row per part name."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from marketlens.operators import pipeline, skills, store
 from marketlens.plans import bindings as b
 from marketlens.plans.registry import query
-from marketlens.session import read_table
+from marketlens.session import checkpoint_dir, read_table
 
 
 def _dimension(spark, d):
@@ -42,22 +45,23 @@ def q_delete_skills(spark, d):
 
 
 @query("rebuild_links", """
-WITH dim AS (SELECT lower(p_name) AS name, min(p_partkey) AS id FROM part GROUP BY 1), pk AS (SELECT id FROM dim ORDER BY name LIMIT 2)
+WITH dim AS (SELECT lower(p_name) AS name, min(p_partkey) AS id FROM part GROUP BY 1)
 SELECT DISTINCT l_orderkey AS posting_id, l_partkey AS skill_id FROM lineitem WHERE l_orderkey % 11 <> 0
-UNION SELECT o_orderkey, pk.id FROM orders, pk WHERE o_orderkey % 11 = 0""")
+UNION SELECT l_orderkey, dim.id FROM lineitem JOIN part ON p_partkey = l_partkey JOIN dim ON dim.name = lower(p_name) WHERE l_orderkey % 11 = 0""")
 def q_rebuild_links(spark, d):
-    dim = _dimension(spark, d)
-    names = dim.orderBy("name").limit(2).agg(F.sort_array(F.collect_list("name")).alias("n"))  # one row
-    touched = b.postings(spark, d).where("id % 11 = 0").select("id").join(F.broadcast(names))
-    touched = touched.select("id", F.concat("n", "n").alias("skills"), F.concat("n", "n").alias("skills_en"))
-    return skills.rebuild_links(b.links(spark, d), touched, dim)
+    """Every eleventh posting is corrected: its skills are named anew, each
+    name twice, and link to the dimension's row of that name."""
+    touched = b.postings(spark, d).where("id % 11 = 0").select("id")
+    named = b.links(spark, d).join(b.skills(spark, d).select(F.col("id").alias("skill_id"), "name"), "skill_id")
+    named = touched.join(named, F.col("id") == F.col("posting_id")).groupBy("id").agg(F.collect_list("name").alias("n"))
+    return skills.rebuild_links(b.links(spark, d), named.select("id", F.concat("n", "n").alias("skills"), F.concat("n", "n").alias("skills_en")), _dimension(spark, d))
 
 
-@query("existing_skills", """
-SELECT lower(p_name) AS name, min(p_partkey) AS id FROM part GROUP BY 1
-HAVING lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_partkey % 97 = 0)""")
+@query("existing_skills", "SELECT lower(p_name) AS name, min(p_partkey) AS id FROM part GROUP BY 1")
 def q_existing_skills(spark, d):
-    names = read_table(spark, d, "part").where("p_partkey % 97 = 0").select(F.concat(F.lit(" "), F.upper("p_name")).alias("name"))
+    """All names of the table, upper-cased and padded, and as many unknown ones."""
+    p = read_table(spark, d, "part")
+    names = p.select(F.explode(F.array(F.concat(F.lit(" "), F.upper("p_name")), F.concat(F.lit("no such "), "p_name"), F.lit(""))).alias("name"))
     return skills.existing_for_names(_dimension(spark, d), names).select("name", "id")
 
 
@@ -90,3 +94,23 @@ def q_delete_run(spark, d):
     runs, results = store.delete_run(_runs(spark, d), _results(spark, d), 7)
     n = results.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_results"))
     return runs.select(F.col("id").alias("run_id")).join(n, "run_id", "left").fillna(0, ["n_results"])
+
+
+@query("review_applied", """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 'Corrected' ELSE o_orderpriority END AS role_title FROM orders WHERE o_orderkey % 1000 <> 7""")
+def q_review_applied(spark, d):
+    """Corrections, then deletions, on a table stored by id ranges; both are
+    applied twice, which changes nothing. Only touched ranges are rewritten."""
+    width = 1 << 14
+    base = os.path.join(checkpoint_dir(spark), "postings-" + uuid.uuid4().hex)
+    p = b.postings(spark, d).select("id", "role_title")
+    store.write_ranges(p, base, width=width)
+    fixes = p.where("id % 10 = 0").select("id", F.lit("Corrected").alias("new_title"))
+    gone = p.where("id % 1000 = 7").select("id")
+
+    def correct(old):
+        return old.join(fixes, "id", "left").select("id", F.coalesce("new_title", "role_title").alias("role_title"))
+
+    for k, (touched, change) in enumerate(((fixes, correct), (gone, lambda old: old.join(gone, "id", "left_anti"))) * 2):
+        store.rewrite_ranges(spark, base, touched.select("id"), change, staging=f"{base}-staged-{k}", width=width)
+    return spark.read.parquet(base).select("id", "role_title")

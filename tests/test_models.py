@@ -107,8 +107,8 @@ def squares(w, p, q, s):
 
 def fitted(spark, series, seasonal):
     df = spark.createDataFrame([(i, [float(v) for v in y]) for i, y in enumerate(series)], "i int, y array<double>")
-    df = df.withColumn("w", arima.differences(F.col("y"))).withColumn("est", arima.estimated(F.col("w"), seasonal))
-    df = df.withColumn("path", arima.path(F.element_at("y", -1), F.col("w"), F.col("est"), F.lit(14), seasonal))
+    df = df.withColumn("w", F.expr(arima.differences("y"))).withColumn("est", F.expr(arima.estimated("w", seasonal)))
+    df = df.withColumn("path", arima.forecasts([("y", "14"), ("y", "2")], seasonal)[0])
     return [x for x in df.orderBy("i").collect()]
 
 
