@@ -8,10 +8,11 @@ smoothed log probabilities (languages x buckets) are broadcast with the
 scoring function, which adds up the rows of a text's n-grams, as a sparse
 matrix of occurrences times the dense one, for a batch of texts at once.
 
-Training reads the ``rows_per_language`` rows of each language whose ids have
-the smallest hashes (whole texts; the counts are grouped by Spark, and only
-languages x buckets numbers reach the driver); the prior is the share of all
-rows. Scoring reads every character of every text.
+Training takes each row with the chance ``rows_per_language`` / rows of its
+language, decided by a hash of its id and text, so about that many of each
+language, or all if there are fewer (whole texts; the counts are grouped by
+Spark, and only languages x buckets numbers reach the driver); the prior is the
+share of all rows. Scoring reads every character of every text.
 
 ``score`` is the posterior of the predicted language, the evidence divided by
 the number of n-gram orders, since the orders count the same letters. Log
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import chunks, text_bytes
@@ -40,6 +41,7 @@ SPACE = 32
 #: Characters hashed at once; longer texts are cut, with ORDERS - 1 in common.
 PIECE = 1 << 16
 UNKNOWN = "und"
+SHARE = 1 << 32
 
 _MULTIPLIER = np.uint32(0x9E3779B1)
 _letters: list[np.ndarray] = []
@@ -148,12 +150,12 @@ class Model:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 1500) -> Model:
     """Learn from the rows of ``docs`` (which the caller has cut to those that
     may be learnt from)."""
-    rows = docs.select(F.col(id_col).alias("k"), F.col(lang_col).cast("string").alias("lang")).filter("k is not null and lang is not null")
-    known = {x.lang: x.n for x in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = docs.select(F.col(id_col).alias("k"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).filter("k is not null and l is not null")
+    known = {x.l: x.n for x in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(known)
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    sample = rows.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= rows_per_language).select("k", F.col("lang").alias("l")).distinct()
-    texts = docs.select(F.col(id_col).alias("k"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(sample), ["k", "l"]).select("l", "t")
+    # a row is learnt if its hash falls into its language's share: no ordering of a language's rows
+    shares = docs.sparkSession.createDataFrame([(x, min(SHARE, SHARE * rows_per_language // known[x])) for x in names], "l string, share long")
+    texts = rows.join(F.broadcast(shares), "l").filter(F.pmod(F.xxhash64("k", "t"), F.lit(SHARE)) < F.col("share")).select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]):
         total: dict[str, np.ndarray] = {}
