@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from datetime import date
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from marketlens.plans import sqlparts as S
 from marketlens.plans.queries_forecast import HORIZON, _model_sql, targets
 from marketlens.plans.registry import query
 from marketlens.session import checkpoint_dir, read_table
+from marketlens.sources import files
 
 WS = S.PY_WS_SQL
 FP = f"sha256(trim(text, {WS}))"
@@ -396,3 +399,110 @@ def q_skill_upsert_existing(spark, d):
     up = skills.upsert_skills(stored, skills.skill_mentions(v, id_col="payload_id"))
     old = stored.select("name", F.lit(True).alias("_old"))
     return up.join(old, "name", "left").select("name", "display_name", "display_name_en", F.coalesce("_old", F.lit(False)).alias("was_stored"))
+
+
+# ------------------------------------------------------------------ K1, K2 with late data
+# Events come in five files in order; every seventh comes two files late, every
+# fifth is sent again with the next file.
+FILES = 5
+LATE_DAYS = 5
+
+
+def _arrivals(spark, d):
+    e = read_table(spark, d, "events").select("event_id", "ts", "event_type", "value")
+    top = e.agg((F.max("event_id") + 1).alias("top"))
+    own = F.expr(f"(event_id * {FILES}) div top")
+    first = F.least(own + F.when(F.col("event_id") % 7 == 3, 2).otherwise(0), F.lit(FILES - 1))
+    files = F.when((F.col("event_id") % 5 == 0) & (own < FILES - 1), F.array(first, own + 1)).otherwise(F.array(first))
+    return e.join(F.broadcast(top)).select("event_id", "ts", "event_type", "value", F.explode(files).alias("file"))
+
+
+_ARRIVALS_SQL = f"""
+WITH e AS (SELECT *, event_id * {FILES} // (SELECT max(event_id) + 1 FROM events) AS own FROM events),
+arr AS (
+  SELECT event_id, ts, event_type, value, least(own + CASE WHEN event_id % 7 = 3 THEN 2 ELSE 0 END, {FILES - 1}) AS file FROM e
+  UNION ALL SELECT event_id, ts, event_type, value, own + 1 FROM e WHERE event_id % 5 = 0 AND own < {FILES - 1}),
+latest AS (SELECT file, max(epoch_ms(ts)) AS ms FROM arr GROUP BY 1),
+marks AS (SELECT a.file, max(b.ms) AS before FROM latest a LEFT JOIN latest b ON b.file < a.file - 1 GROUP BY 1)"""
+
+
+def _arriving(spark, d, base):
+    """The arrivals as a file stream, one file per micro-batch: the files are
+    written one after another, and a file source takes the oldest first."""
+    rows = _arrivals(spark, d)
+    for k in range(FILES):
+        rows.where(F.col("file") == k).drop("file").coalesce(1).write.parquet(os.path.join(base, "in", str(k)))
+    schema = rows.drop("file").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(os.path.join(base, "in"))
+
+
+@query("stream_late_ingest", _ARRIVALS_SQL + f""",
+told AS (SELECT arr.event_id, before IS NOT NULL AND epoch_us(ts) <= (before - {LATE_DAYS * 86_400_000}) * 1000 AS late FROM arr JOIN marks USING (file))
+SELECT 'kept' AS outcome, event_id, CAST(1 AS BIGINT) AS n FROM told WHERE NOT late GROUP BY 2
+UNION ALL SELECT 'late', event_id, count(*) FROM told WHERE late GROUP BY 2""")
+def q_stream_late(spark, d):
+    from marketlens.streaming.ingest import distinct_events, drain, late_rows
+
+    base = os.path.join(checkpoint_dir(spark), "late-" + uuid.uuid4().hex)
+    s = _arriving(spark, d, base)
+    once = distinct_events(s, ["event_id"], event_time="ts", watermark=f"{LATE_DAYS} days")
+    kept = drain(once, base + "/kept", base + "/kept-at")
+    late = late_rows(s, base + "/side", base + "/side-at", event_time="ts", seconds=LATE_DAYS * 86_400)
+    count = lambda df, name: df.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("outcome"), "event_id", "n")
+    return count(kept, "kept").unionByName(count(late, "late"))
+
+
+@query("stream_period_append", _ARRIVALS_SQL + """,
+told AS (
+  SELECT CAST(ts AS DATE) AS period_start, event_type, value, (epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) + 86400000) AS closes, before FROM arr JOIN marks USING (file))
+SELECT period_start, event_type, count(*) AS n, """ + S.rnd("sum(value)", 6) + """ AS value_sum FROM told
+WHERE (before IS NULL OR closes > before - 2 * 86400000) AND closes <= (SELECT max(ms) FROM latest) - 2 * 86400000 GROUP BY 1, 2""")
+def q_stream_append(spark, d):
+    from marketlens.streaming.ingest import drain, period_counts_stream
+
+    base = os.path.join(checkpoint_dir(spark), "append-" + uuid.uuid4().hex)
+    days = period_counts_stream(_arriving(spark, d, base), watermark="2 days")
+    out = drain(days, base + "/out", base + "/at")
+    return out.select("period_start", "event_type", "n", round_half_even("value_sum", 6).alias("value_sum"))
+
+
+# ------------------------------------------------------------------ A11, A12 with damaged lines
+@query("attempt_log_round_trip", _ATT_SQL + """
+SELECT 'record' AS kind, CASE WHEN a.tier = 'fallback' THEN 'ollama' ELSE 'openrouter' END AS provider, a.model, count(*) AS n, CAST(sum(length(a.payload)) AS BIGINT) AS prompt_tokens
+FROM a WHERE a.attempt % 50 <> 0 GROUP BY ALL
+UNION ALL SELECT 'damaged', NULL, NULL, count(*), NULL FROM a WHERE a.attempt % 50 = 0""")
+def q_attempt_log(spark, d):
+    """The attempt log written as JSON lines, every fiftieth line cut off or
+    with a number that is none; read back with its damaged lines apart."""
+    path = os.path.join(checkpoint_dir(spark), "attempts-" + uuid.uuid4().hex)
+    rec = extraction.attempt_records(b.indexed_attempts(spark, d), usage_cols=(F.struct("prompt_tokens").alias("token_usage"),))
+    line = F.to_json(F.struct(*rec.columns))
+    cut = F.when(F.col("attempt_index") % 100 == 0, F.expr("substring(line, 1, length(line) - 20)")).otherwise(F.regexp_replace("line", '"attempt_index":[0-9]+', '"attempt_index":"none"'))
+    rec.select("attempt_index", line.alias("line")).select(F.when(F.col("attempt_index") % 50 == 0, cut).otherwise(F.col("line")).alias("value")).write.text(path)
+    records, damaged = files.read_checked_attempt_log(spark, path)
+    good = records.groupBy("provider", "model").agg(F.count(F.lit(1)).alias("n"), F.sum("token_usage.prompt_tokens").alias("prompt_tokens"))
+    bad = damaged.where("line_offset is not null").agg(F.count(F.lit(1)).alias("n"))
+    none = lambda t: F.lit(None).cast(t)
+    return good.select(F.lit("record").alias("kind"), "provider", "model", "n", "prompt_tokens").unionByName(
+        bad.select(F.lit("damaged").alias("kind"), none("string").alias("provider"), none("string").alias("model"), "n", none("bigint").alias("prompt_tokens")))
+
+
+# ------------------------------------------------------------------ A13, L1: series built from the three tables
+SINCE = date(1998, 1, 1)
+
+
+@query("series_from_tables", S.with_(S.POSTINGS, S.FRAME.replace("FROM postings", f"FROM postings WHERE date_added >= DATE '{SINCE}'"), S.SKILLS, S.LINKS, S.role_series("M", "mr"), S.role_series("W-MON", "wr"),
+                                     S.skill_series("M", "ms"), S.skill_series("W-MON", "ws")) + """
+SELECT 'monthly_roles' AS series, role_title_en AS key, period_start, posting_count FROM mr UNION ALL SELECT 'weekly_roles', role_title_en, period_start, posting_count FROM wr
+UNION ALL SELECT 'monthly_skills', display_name_en, period_start, posting_count FROM ms UNION ALL SELECT 'weekly_skills', display_name_en, period_start, posting_count FROM ws
+UNION ALL SELECT 'monthly_totals', 'postings', CAST(date_trunc('month', date_added) AS DATE), count(*) FROM frame GROUP BY ALL""")
+def q_series_from_tables(spark, d):
+    """The three tables stored by month, read back from a date on through the
+    source registry."""
+    base = os.path.join(checkpoint_dir(spark), "tables-" + uuid.uuid4().hex)
+    files.write_posting_tables(base, postings=b.postings(spark, d), links=b.links(spark, d), skills=b.skills(spark, d))
+    found = files.load_series(spark, "tables", base, since=SINCE)
+    key = {"roles": "role_title_en", "skills": "display_name_en"}
+    rows = [found[f"{g}_{k}"].select(F.lit(f"{g}_{k}").alias("series"), F.col(c).alias("key"), "period_start", "posting_count") for g in ("monthly", "weekly") for k, c in key.items()]
+    rows.append(found["monthly_totals"].select(F.lit("monthly_totals").alias("series"), F.lit("postings").alias("key"), "period_start", F.col("total_postings").alias("posting_count")))
+    return reduce(lambda x, y: x.unionByName(y), rows)

@@ -76,6 +76,46 @@ def start_ingest(spark: SparkSession, source_dir: str, store_path: str, checkpoi
     return q.start()
 
 
+def distinct_events(stream: DataFrame, keys: list[str], *, event_time: str, watermark: str) -> DataFrame:
+    """K1 for late data: each key once. Copies that come within the watermark
+    are dropped by state that expires with it; rows behind the watermark are
+    dropped (``split_late`` keeps them in a side table)."""
+    s = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    return s.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(keys)
+
+
+def split_late(path: str, *, event_time: str, seconds: int):
+    """foreachBatch sink: the side table of rows that come too late. Lateness is
+    judged as the engine's stateful operators do: by the watermark that the
+    batch before this one ran with, so by the latest event time of the batches
+    before that, less ``seconds``, in whole milliseconds. Rows at or behind it
+    go to ``late/batch=<id>``, with the watermark that they missed.
+    The batches' latest times are kept under ``marks``, so a retried batch sees
+    the same watermark and overwrites its own folders."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        own = batch.agg(F.max(F.unix_millis(F.col(event_time).cast("timestamp"))).alias("latest"))
+        own.write.mode("overwrite").parquet(os.path.join(path, "marks", f"batch={batch_id}"))
+        marks = _stored(spark, os.path.join(path, "marks"), T.StructType([T.StructField("latest", T.LongType())]))
+        before = marks.where(F.col("batch") < batch_id - 1).agg(F.max("latest").alias("before"))  # one row
+        mark = F.timestamp_millis(F.col("before") - 1000 * seconds)
+        late = batch.join(F.broadcast(before)).withColumn("watermark", mark).drop("before")
+        late.where(F.col(event_time).cast("timestamp") <= F.col("watermark")).write.mode("overwrite").parquet(os.path.join(path, "late", f"batch={batch_id}"))
+
+    return write
+
+
+def late_rows(stream: DataFrame, path: str, checkpoint: str, *, event_time: str, seconds: int) -> DataFrame:
+    """Run a stream to the end of its input and return its rows that came too
+    late, with the ``watermark`` that they missed."""
+    q = stream.writeStream.foreachBatch(split_late(path, event_time=event_time, seconds=seconds)).option("checkpointLocation", checkpoint)
+    q.trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("watermark", T.TimestampType())])
+    out = _stored(stream.sparkSession, os.path.join(path, "late"), schema)
+    return stream.sparkSession.createDataFrame([], schema) if out is None else out.drop("batch")
+
+
 def period_counts_stream(stream: DataFrame, *, ts_col: str = "ts", key_col: str = "event_type",
                          watermark: str = "2 days", freq: str = "D") -> DataFrame:
     """K2: counts per (period, key) with late data accepted up to the
