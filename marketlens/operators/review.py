@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.text import optional_stripped, py_strip
-from marketlens.operators.extraction import WORK_TYPES, validate_payloads
+from marketlens.operators.extraction import NUMBER_TEXT, WORK_TYPES, validate_payloads
 
 EDITABLE = ("company_name", "role_title", "role_title_en", "salary_min", "salary_max", "work_type",
             "has_nondiscrimination_disclaimer", "location", "country", "city")
@@ -20,7 +20,7 @@ def parse_feed(feed: DataFrame, id_col: str = "posting_id", extra=()) -> DataFra
     must be a known value. ``extra`` columns (a sequence number) are kept."""
     def num(c):
         s = optional_stripped(c)
-        v = s.try_cast("double")
+        v = F.when(s.rlike(NUMBER_TEXT), s.try_cast("double"))  # a Java double would also take "12d"
         return v, F.when(s.isNotNull() & v.isNull(), F.lit(f"{c} must be a number"))
 
     lo, r_lo = num("salary_min")

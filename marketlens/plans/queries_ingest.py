@@ -3,6 +3,7 @@ attempt chains, envelopes, run store and report, streaming."""
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from datetime import date
@@ -92,6 +93,49 @@ def q_validate(spark, d):
                     F.array_join("skills", "|").alias("skills_joined"), F.array_join("skills_en", "|").alias("skills_en_joined"))
 
 
+def _reason_cases() -> list[tuple[str | None, str]]:
+    """Every way in which a payload is refused: the reason and the JSON text,
+    in which ? stands for a good title."""
+    x = extraction
+    long_ = lambda n: json.dumps("x" * n)
+    good = '"role_title": "?"'
+    cases = [(None, "{" + good + "}"), ("schema: payload is not JSON", "{" + good), ("schema: payload is not a JSON object", "[1, 2]"),
+             ("schema: role_title is required", '{"city": "Bonn"}'), ("schema: role_title must be a string", '{"role_title": 3}'),
+             (f"schema: role_title longer than {x.MAX_SHORT_TEXT}", '{"role_title": ' + long_(x.MAX_SHORT_TEXT + 1) + "}"), ("domain:role_title:empty", '{"role_title": "  "}')]
+    more = []
+    for f, most in x.STRING_FIELDS.items():
+        if f != "role_title":
+            more += [(f"schema: {f} must be a string", f'"{f}": [1]'), (f"schema: {f} longer than {most}", f'"{f}": {long_(most + 1)}')]
+    for f in x.NUMBER_FIELDS:
+        more += [(f"schema: {f} must be a number", f'"{f}": "12d"'), (f"schema: {f} must be finite", f'"{f}": "nan"'), (f"schema: {f} must be >= 0", f'"{f}": -1'),
+                 (f"schema: {f} must be <= {x.SALARY_SOFT_MAX:g}", f'"{f}": {x.SALARY_SOFT_MAX * 10:.0f}')]
+    more += [("schema: application_deadline must be a date", '"application_deadline": "soon"'),
+             ("schema: work_type must be one of " + ", ".join(x.WORK_TYPES), '"work_type": "office"'),
+             ("schema: has_nondiscrimination_disclaimer must be a boolean", '"has_nondiscrimination_disclaimer": "maybe"')]
+    many = lambda n: json.dumps([f"s{i}" for i in range(n)])
+    for f in x.LIST_FIELDS:
+        more += [(f"schema: {f} must be a list of strings", f'"{f}": "a"'), (f"schema: {f} must not hold nulls", f'"{f}": ["a", null]'),
+                 (f"schema: {f} holds more than {x.MAX_SKILLS} items", f'"{f}": {many(x.MAX_SKILLS + 1)}')]
+    wide = long_(x.MAX_SKILL_LEN + 1)
+    more += [("domain:salary_min:above_salary_max", '"salary_min": 9, "salary_max": 8'), ("domain:skills_en:length_differs", '"skills": ["a", "b"], "skills_en": ["a"]'),
+             (f"domain:skill:length>{x.MAX_SKILL_LEN}", f'"skills": [{wide}]'), ("domain:skills_en:blank_entry", '"skills": ["a"], "skills_en": [" "]'),
+             (f"domain:skills_en:length>{x.MAX_SKILL_LEN}", f'"skills": ["a"], "skills_en": [{wide}]'),
+             ("domain:salary_currency:not_a_code:EURO", '"salary_currency": "EURO"')]
+    return cases + [(reason, "{" + good + ", " + text + "}") for reason, text in more]
+
+
+_REASONS = _reason_cases()
+
+
+@query("payload_reasons", "SELECT o_orderkey AS payload_id, [" + ", ".join("NULL" if r is None else "'" + r.replace("'", "''") + "'" for r, _ in _REASONS)
+       + f"][o_orderkey % {len(_REASONS)} + 1] AS reason FROM orders")
+def q_payload_reasons(spark, d):
+    o = read_table(spark, d, "orders")
+    text = F.array(*[F.lit(t) for _, t in _REASONS])[(F.col("o_orderkey") % len(_REASONS)).cast("int")]
+    p = o.select(F.col("o_orderkey").alias("payload_id"), F.replace(text, F.lit("?"), F.col("o_orderpriority")).alias("payload"))
+    return extraction.validate_payloads(p).select("payload_id", "reason")
+
+
 def accepted_payloads(spark, d):
     """Accepted payloads. All verdicts are written to the shared folder and the
     table read back is filtered: several branches (labels, skills, pairs) read
