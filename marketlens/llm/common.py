@@ -42,16 +42,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_keys(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """``df`` with a key of each row (``row_key``, long) in the order of ids,
-    nulls first, and whether that is the id itself. If ids repeat or are null,
-    rows are numbered by id and hash of the text, and stored so that all uses
-    see the same numbers; rows equal in both are told apart by their number."""
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that ``df`` has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
+def row_keys(df: DataFrame, id_col: str, text_col: str, key_col: str = "row_key") -> tuple[DataFrame, bool]:
+    """``df`` with a key of each row (``key_col``, long; pass a ``fresh`` name to
+    keep all columns of a caller) in the order of ids, nulls first, and whether
+    that is the id itself. If ids repeat or are null, rows are numbered by id and
+    hash of the text, and stored so that all uses see the same numbers; rows
+    equal in both are told apart by their number."""
     own = F.col(id_col).cast("long")
     if not df.groupBy(own.alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").limit(1).count():
-        return df.withColumn("row_key", own), True
+        return df.withColumn(key_col, own), True
     ordered = df.orderBy(own, F.sha2(F.col(text_col).cast("string"), 256))
-    return stored(ordered.withColumn("row_key", F.monotonically_increasing_id()), "row-keys"), False
+    return stored(ordered.withColumn(key_col, F.monotonically_increasing_id()), "row-keys"), False
 
 
 def in_training_fold(doc_id: Column | str) -> Column:

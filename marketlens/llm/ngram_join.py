@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marketlens.llm.common import chunks, lowered, mix, row_keys, slice_hashes, stored, text_bytes, window_hashes, word_slices
+from marketlens.llm.common import chunks, fresh, lowered, mix, row_keys, slice_hashes, stored, text_bytes, window_hashes, word_slices
 from marketlens.llm.graph import components
 
 WIDTH = 5
@@ -287,9 +287,11 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one document of each group: that of the smallest id (null
     last; of rows that repeat it, that of the smallest hash of its text)."""
-    keyed, plain = row_keys(df, id_col, text_col)
-    gone = _placed(keyed, plain, id_col, text_col).filter("id <> first").select(F.col("id").alias("row_key"))
-    return keyed.join(gone, "row_key", "left_anti").select(*df.columns)
+    key = fresh(df, "row_key")
+    keyed, plain = row_keys(df, id_col, text_col, key)
+    narrow = keyed.select(F.col(key).alias("row_key"), *{id_col: 0, text_col: 0})
+    gone = _placed(narrow, plain, id_col, text_col).filter("id <> first").select(F.col("id").alias(key))
+    return keyed.join(gone, key, "left_anti").select(*df.columns)
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
