@@ -1,6 +1,5 @@
 """End-to-end ingest batch (J5) with a pluggable extractor (L3), posting
-views with label fallbacks (A14), user per-series models (L2) and a
-versioned table store for upserts without a table format (L4)."""
+views with label fallbacks (A14) and user per-series models (L2)."""
 
 from __future__ import annotations
 
@@ -90,6 +89,25 @@ def posting_view(postings: DataFrame, links: DataFrame, skills_df: DataFrame) ->
         F.coalesce("skill_labels", F.array().cast("array<string>")).alias("skill_labels"))
 
 
+def posting_lists(postings: DataFrame, links: DataFrame, skills_df: DataFrame, order_col: str | None = None) -> DataFrame:
+    """Postings with two parallel lists of their skills, ``skills`` (display
+    label, else name) and ``skills_en`` (English label, else those), in link
+    order: by ``order_col`` of the links, then skill id. A posting's list is
+    bounded by its own links; the dimension meets the links before they are
+    collected, so no list is exploded again."""
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    dim = skills_df.select(F.col("id").alias("skill_id"), F.coalesce(filled("display_name"), F.col("name")).alias("s"),
+                           F.coalesce(filled("display_name_en"), filled("display_name"), F.col("name")).alias("e"))
+    place = F.col(order_col) if order_col else F.lit(0)
+    own = links.groupBy("posting_id", "skill_id").agg(F.min(place).alias("o")).join(dim, "skill_id")
+    per = own.groupBy("posting_id").agg(F.array_sort(F.collect_list(F.struct("o", "skill_id", "s", "e"))).alias("l"))
+    none = F.array().cast("array<string>")
+    joined = postings.join(per, postings["id"] == per["posting_id"], "left")
+    return joined.select(*[F.col(c) for c in postings.columns if c not in ("role_title_en", "skills", "skills_en")],
+                         saved_title_en("role_title_en", "role_title").alias("role_title_en"),
+                         F.coalesce(F.transform("l", lambda x: x["s"]), none).alias("skills"), F.coalesce(F.transform("l", lambda x: x["e"]), none).alias("skills_en"))
+
+
 def posting_by_id(view: DataFrame, posting_id: int) -> DataFrame:
     return view.where(F.col("id") == int(posting_id))
 

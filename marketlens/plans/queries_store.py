@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
-from marketlens.operators import pipeline, skills, store
+from marketlens.operators import analysis, pipeline, skills, store
 from marketlens.plans import bindings as b
 from marketlens.plans.registry import query
 from marketlens.session import checkpoint_dir, read_table
@@ -74,6 +75,28 @@ def q_posting_view(spark, d):
     return v.select("id", "role_title_en", F.array_join("skill_labels", "|").alias("labels"))
 
 
+@query("posting_lists", """
+WITH l AS (SELECT l_orderkey AS id, l_partkey AS pk, min(l_linenumber) AS o FROM lineitem GROUP BY ALL)
+SELECT o_orderkey AS id, coalesce(string_agg(p_brand, '|' ORDER BY o, pk), '') AS skills, coalesce(string_agg(p_name, '|' ORDER BY o, pk), '') AS skills_en
+FROM orders LEFT JOIN l ON l.id = o_orderkey LEFT JOIN part ON p_partkey = pk GROUP BY 1""")
+def q_posting_lists(spark, d):
+    links = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("posting_id"), F.col("l_partkey").alias("skill_id"), "l_linenumber")
+    v = pipeline.posting_lists(b.postings(spark, d), links, b.skills(spark, d), "l_linenumber")
+    return v.select("id", F.array_join("skills", "|").alias("skills"), F.array_join("skills_en", "|").alias("skills_en"))
+
+
+# ------------------------------------------------------------------ D19
+@query("run_analysis", """
+SELECT 'top_companies' AS analysis, label, n FROM (SELECT c_name AS label, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
+UNION ALL SELECT 'top_roles', label, n FROM (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
+UNION ALL SELECT 'top_skills', label, n FROM (SELECT p_name AS label, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)""")
+def q_run_analysis(spark, d):
+    """Three of the four analyses in one call."""
+    postings = b.postings(spark, d).join(b.companies(spark, d), "company_id")
+    found = analysis.run_analysis(postings, b.links(spark, d), b.skills(spark, d), ["top_skills", "top_roles", "top_companies", "no such"], 10)
+    return reduce(lambda x, y: x.unionByName(y), [df.toDF("label", "n").select(F.lit(k).alias("analysis"), "label", "n") for k, df in found.items()])
+
+
 # ------------------------------------------------------------------ F1, F4, H7, A7
 @query("recent_runs", "SELECT o_orderkey AS id FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10")
 def q_recent_runs(spark, d):
