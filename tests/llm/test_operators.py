@@ -83,7 +83,7 @@ def test_training_fold(spark):
 # --- 1 ---------------------------------------------------------------------
 
 def lines_by_force(rows, similarity=0.8):
-    """The operator's definition, row by row."""
+    """All pairs of lines by their edit distance, row by row."""
     norm = lambda s: re.sub(r"[^\w]+|_+", " ", s.lower()).strip(" ")
     places, first = [], {}
     for i, t in rows:
@@ -91,14 +91,6 @@ def lines_by_force(rows, similarity=0.8):
             if k := norm(line):
                 places.append((i, n, k))
                 first[k] = min(first.get(k, (i, n)), (i, n))
-    buckets = collections.defaultdict(list)
-    for k in first:
-        words = k.split(" ")
-        for seed in range(line_dedup.HASHES):
-            hs = [xxhash.xxh64_intdigest(w.encode(), xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)) for w in words]
-            bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-            buckets[(seed, 0, bits & 0xFFFFFFFF)].append(k)
-            buckets[(seed, 1, bits >> 32)].append(k)
     parent = {k: k for k in first}
 
     def find(x):
@@ -115,14 +107,11 @@ def lines_by_force(rows, similarity=0.8):
             row = new
         return row[-1]
 
-    for members in buckets.values():
-        members.sort(key=lambda k: hashlib.md5(k.encode()).digest())
-        for i in range(1, len(members)):
-            for a in {members[0], members[i - 1]}:
-                b = members[i]
-                longer = max(len(a), len(b))
-                if min(len(a), len(b)) >= longer * similarity and distance(a, b) <= int(longer * (1 - similarity) + 1e-9):
-                    parent[find(a)] = find(b)
+    for a in first:  # all pairs, whatever they share
+        for b in first:
+            longer = max(len(a), len(b))
+            if a < b and min(len(a), len(b)) >= longer * similarity and distance(a, b) <= int(longer * (1 - similarity) + 1e-9):
+                parent[find(a)] = find(b)
     keep = {}
     for k, at in first.items():
         keep[find(k)] = min(keep.get(find(k), at), at)
@@ -153,38 +142,84 @@ def test_line_dedup(spark):
 def test_simhash_of_long_lines(spark):
     df = spark.createDataFrame([(b"1", "a " * 70_000 + "b"), (b"2", "a")], "key binary, norm string")
     one, two = sorted(line_dedup.simhashes(df).collect(), key=lambda x: x.key)
-    blocks = [f"b{i}" for i in range(2 * line_dedup.HASHES)]
-    assert [one[c] for c in blocks] == [two[c] for c in blocks]
+    assert (one.u, one.v) == (two.u, two.v)
 
 
-def removed_by_all_pairs(spark, texts):
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return sum(x.n_removed for x in line_dedup.removed_lines(df).collect())
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
 
 
-def test_lines_with_a_changed_word(spark):
+def test_recall_by_kind_of_edit(spark):
+    """Pairs of similarity 0.8 and more, by all-pairs edit distance: the share
+    found, for words replaced and for letters replaced in many words."""
     r = np.random.default_rng(17)
-    word = lambda: "".join("etaoinsrdlhc"[int(c)] for c in r.integers(0, 12, 5))
-    texts = []
-    for n in (8, 12, 20, 40):
-        for _ in range(25):
+    parts = "the and ing tion en er on th in re st ou at ha nt sh ed es wh ble ly or an is it of".split()
+    word = lambda: "".join(r.choice(parts, int(r.integers(1, 5))))
+    kinds = {("words", 0.05, 40): 0.95, ("words", 0.1, 40): 0.95, ("words", 0.15, 40): 0.95, ("words", 0.2, 40): 0.95, ("words", 0.2, 10): 0.9,
+             ("words", 0.1, 12): 0.95, ("words", 0.1, 8): 0.95, ("letter", 2, 40): 0.9, ("letter", 4, 40): 0.9, ("letter", 1, 40): 0.0}
+    rows, pairs = [], {}
+    for kind, amount, n in kinds:
+        for _ in range(40):
             words = [word() for _ in range(n)]
-            texts += [" ".join(words), " ".join(words[:3] + [word()] + words[4:])]
-    assert removed_by_all_pairs(spark, texts) >= 98  # of 100 pairs
+            changed = list(words)
+            if kind == "words":
+                for i in r.choice(n, max(1, round(amount * n)), replace=False):
+                    changed[i] = word()
+            else:
+                for i in range(0, n, amount):
+                    at = int(r.integers(len(changed[i])))
+                    changed[i] = changed[i][:at] + "abcdefghijklmnopqrstuvwxyz"[int(r.integers(26))] + changed[i][at + 1:]
+            a, b = " ".join(words), " ".join(changed)
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+            pairs[len(rows) - 1] = (kind, amount, n), a != b and edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+    got = {x.doc_id: x.n_removed for x in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind, least in kinds.items():
+        true = [i for i, (k, near) in pairs.items() if k == kind and near]
+        assert len(true) >= 10 and sum(got[i] for i in true) >= least * len(true), kind
+    assert all(got[i] == 0 for i, (k, near) in pairs.items() if not near and k[0] == "words")
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    a, b, c, d = "alpha apples in orchards", "winter gloves kept warm", "dull copper pans hung low", "seven ships went northward"
+    rows = [(None, f"{a}\n{b}"), (None, f"{c}\n{a}"), (7, f"{d}\n{b}"), (7, d), (7, d), (8, None)]
+    cols = "doc_id long, text string, _gone int, row_key int, lost_lines string, id int"
+    df = spark.createDataFrame([(*x, 1, 777, "x", 3) for x in rows], cols)
+    left = line_dedup.deduplicated(df)
+    assert left.columns == df.columns and {tuple(x)[2:] for x in left.collect()} == {(1, 777, "x", 3)} and left.count() == 6
+    kept = collections.Counter(line for x in left.collect() for line in (x.text or "").split("\n") if line)
+    assert kept == {a: 1, b: 1, c: 1, d: 1}  # every line once, none lost
+    assert line_dedup.removed_lines(df).agg(F.sum("n_removed")).first()[0] == 4
+    again = ngram_join.one_of_each(df)
+    assert again.columns == df.columns and {x.row_key for x in again.collect()} == {777}
+
+
+def test_very_long_lines(spark):
+    r = np.random.default_rng(3)
+    words = ["w%d" % x for x in r.integers(0, 5000, 4000)]
+    changed = " ".join("other" if i % 40 == 0 else w for i, w in enumerate(words))
+    rows = [(1, " ".join(words)), (2, changed), (3, "z" * 300_000), (4, "z" * 300_000 + " !"), (5, "no such line " * 20_000)]
+    got = {x.doc_id: x.n_removed for x in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
 
 
 def test_all_groups_of_a_bucket_meet(spark):
     n = line_dedup.PART_ROWS + 50  # two salted parts; u tells 16 families apart, far from each other
     far = [int(x) for x in np.random.default_rng(2).integers(-(1 << 63), (1 << 63) - 1, 32)]
-    rows = [(1, (i.to_bytes(2, "big"), 50, far[2 * (i % 16)], far[2 * (i % 16) + 1])) for i in range(n)]
-    df = spark.createDataFrame(rows, "bucket long, m struct<key: binary, size: int, u: bigint, v: bigint>")
-    number = lambda found: {(int.from_bytes(x.a, "big"), int.from_bytes(x.b, "big")) for x in found.collect()}
+    rows = [(1, (i, 50, far[2 * (i % 16)], far[2 * (i % 16) + 1])) for i in range(n)]
+    df = spark.createDataFrame(rows, "bucket long, m struct<key: bigint, size: int, u: bigint, v: bigint>")
+    number = lambda found: {(x.a, x.b) for x in found.collect()}
     want = {(i, j) for i in range(n) for j in range(i + 1, n) if i % 16 == j % 16}
-    none = spark.createDataFrame([], "key binary, root binary")
+    none = spark.createDataFrame([], "key long, root long")
     heads = number(line_dedup.head_pairs(df, 0.8))
     assert heads == {(i, j) for i, j in want if i == 0}
-    assert number(line_dedup.open_pairs(df, none, 0.8)) == want - heads
-    grouped = spark.createDataFrame([(i.to_bytes(2, "big"), (i % 16).to_bytes(2, "big")) for i in range(n)], "key binary, root binary")
+    assert number(line_dedup.open_pairs(df, none, 0.8)) == want
+    grouped = spark.createDataFrame([(i, i % 16) for i in range(n)], "key long, root long")
     assert line_dedup.open_pairs(df, grouped, 0.8).count() == 0
 
 
