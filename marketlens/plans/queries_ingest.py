@@ -12,12 +12,12 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from marketlens.functions.numeric import round_half_even
-from marketlens.operators import extraction, forecast, glossary, ingest, skills, store
+from marketlens.operators import extraction, forecast, glossary, ingest, pipeline, skills, store
 from marketlens.plans import bindings as b
 from marketlens.plans import modelsql
 from marketlens.plans import sqlparts as S
 from marketlens.plans.queries_forecast import HORIZON, _model_sql, targets
-from marketlens.plans.registry import query
+from marketlens.plans.registry import ORACLE, query
 from marketlens.session import checkpoint_dir, read_table
 from marketlens.sources import files
 
@@ -550,3 +550,28 @@ def q_series_from_tables(spark, d):
     rows = [found[f"{g}_{k}"].select(F.lit(f"{g}_{k}").alias("series"), F.col(c).alias("key"), "period_start", "posting_count") for g in ("monthly", "weekly") for k, c in key.items()]
     rows.append(found["monthly_totals"].select(F.lit("monthly_totals").alias("series"), F.lit("postings").alias("key"), "period_start", F.col("total_postings").alias("posting_count")))
     return reduce(lambda x, y: x.unionByName(y), rows)
+
+
+# ------------------------------------------------------------------ J5 with an extractor (L3)
+def _extract(texts):
+    """Stands for a provider: the first word is the title; every seventh text
+    fails at both attempts, every fifth comes back without a title."""
+    title = F.when(F.col("posting_id") % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit("T"), F.col("posting_id").cast("string")))
+    fails = F.col("posting_id") % 7 == 0
+    tries = F.explode(F.array(F.struct(F.lit(0).alias("attempt"), F.lit("primary").alias("tier")), F.struct(F.lit(1).alias("attempt"), F.lit("fallback").alias("tier"))))
+    a = texts.select("posting_id", title.alias("role_title"), fails.alias("fails")).select("posting_id", "fails", F.to_json(F.struct("role_title")).alias("body"))
+    a = a.select("*", tries.alias("a"))
+    ok = ~F.col("fails") & (F.col("a.attempt") == 1)
+    return a.select("posting_id", "a.attempt", "a.tier", ok.alias("succeeded"), F.when(~ok, F.lit("api_error")).alias("error_category"),
+                    F.when(ok, F.col("body")).alias("payload"), F.lit("m").alias("model"), F.when(~ok, F.lit("HTTP 500")).alias("message"))
+
+
+@query("ingest_extracted", f"""
+SELECT doc_id, CASE WHEN status <> 'created' THEN status WHEN doc_id % 7 = 0 THEN 'extraction_failed' WHEN doc_id % 5 = 0 THEN 'invalid' ELSE 'created' END AS status
+FROM ({ORACLE['ingest_documents']})""")
+def q_ingest_extracted(spark, d):
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    out = pipeline.ingest_texts(
+        b.documents(spark, d), store_postings=b.stored_texts(spark, d), store_skills=none("id long, name string, display_name string, display_name_en string"),
+        store_links=none("posting_id long, skill_id long"), extract=_extract, glossary=part_glossary(spark, d), run_date=date(2024, 1, 1))
+    return out.outcomes.select("doc_id", "status")
