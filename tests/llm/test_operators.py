@@ -209,18 +209,19 @@ def test_very_long_lines(spark):
 
 
 def test_all_groups_of_a_bucket_meet(spark):
-    n = line_dedup.PART_ROWS + 50  # two salted parts; u tells 16 families apart, far from each other
-    far = [int(x) for x in np.random.default_rng(2).integers(-(1 << 63), (1 << 63) - 1, 32)]
-    rows = [(1, (i, 50, far[2 * (i % 16)], far[2 * (i % 16) + 1])) for i in range(n)]
-    df = spark.createDataFrame(rows, "bucket long, m struct<key: bigint, size: int, u: bigint, v: bigint>")
+    n = line_dedup.PART_ROWS + 50  # two salted parts; u and v tell 16 families apart, far from each other
+    code = lambda f: int(np.uint64(sum(((f & p).bit_count() & 1) << p for p in range(64))).astype(np.int64))  # noqa: E731  64 of 128 bits apart
+    known = spark.createDataFrame([(i, (i, 90, code(i % 16), code(i % 16))) for i in range(n)], "key long, m struct<key: bigint, size: int, u: bigint, v: bigint>")
+    shared = spark.createDataFrame([(k, i, 0) for k in (1, 2) for i in range(n)] + [(3, i, i % 16) for i in range(n)], "bucket long, key long, lead long")
     number = lambda found: {(x.a, x.b) for x in found.collect()}
     want = {(i, j) for i in range(n) for j in range(i + 1, n) if i % 16 == j % 16}
     none = spark.createDataFrame([], "key long, root long")
-    heads = number(line_dedup.head_pairs(df, 0.8))
-    assert heads == {(i, j) for i, j in want if i == 0}
-    assert number(line_dedup.open_pairs(df, none, 0.8)) == want
+    assert number(line_dedup.head_pairs(shared, known, 0.8)) == {(i, j) for i, j in want if i == 0}
+    assert number(line_dedup.open_pairs(shared, known, none, 0.8)) == want
     grouped = spark.createDataFrame([(i, i % 16) for i in range(n)], "key long, root long")
-    assert line_dedup.open_pairs(df, grouped, 0.8).count() == 0
+    assert line_dedup.open_pairs(shared, known, grouped, 0.8).count() == 0
+    once = shared.filter("bucket = 1")  # one shared piece is not enough for long lines
+    assert line_dedup.open_pairs(once, known, none, 0.8).count() == 0 == line_dedup.head_pairs(once, known, 0.8).count()
 
 
 # --- 2, 3, 5 ---------------------------------------------------------------
