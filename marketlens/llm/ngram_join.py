@@ -118,30 +118,36 @@ def _may_link(pairs: DataFrame, maps: DataFrame) -> DataFrame:
 
 
 #: Longs of the largest bitmap that goes with a list's members.
-FOLDED = 16
+FOLDED = 8
 
 
 def _folds(maps: DataFrame) -> DataFrame:
-    """(cls, folds): the bitmap of each class XORed down to ``FOLDED`` longs and
-    every power of two below (as many as it has), smallest first. The parity
-    of a folded cell is that of all its shingles, so two folds of one size
-    differ in no more cells than the sets in shingles."""
+    """(cls, folds): the bitmap of each class XORed down to ``FOLDED`` longs or as
+    many as it has, and to half of those (none for one long). The parity of a
+    folded cell is that of all its shingles, so two folds of one size differ in
+    no more cells than the sets in shingles. Linked sets are so near in size
+    that their bitmaps are as long, or one is twice the other."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             out = []
             for k in range(b.num_rows):
                 x = np.frombuffer(b.column(1)[k].as_buffer(), np.int64)
-                sizes = [1 << i for i in range(len(x).bit_length()) if 1 << i <= min(len(x), FOLDED)]
-                out.append([np.bitwise_xor.reduce(x.reshape(-1, size), 0).tolist() for size in sizes])
+                top = np.bitwise_xor.reduce(x.reshape(-1, min(len(x), FOLDED)), 0)
+                half = np.bitwise_xor.reduce(top.reshape(2, -1), 0) if len(top) > 1 else top[:0]
+                out.append([top.tolist(), half.tolist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.list_(pa.int64())))], names=["cls", "folds"])
 
     return maps.select("cls", "bits").mapInArrow(run, "cls long, folds array<array<long>>")
 
 
-#: SQL: x and y may link by their folds; ``_may_link`` tests the whole bitmaps.
-_FOLDS_ALLOW = ("7 * aggregate(zip_with(xf[least(size(xf), size(yf)) - 1], yf[least(size(xf), size(yf)) - 1], (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
-                " <= x.n + y.n")
+def _folds_allow(x: str, y: str) -> str:
+    """SQL: the folds of x and y do not rule out a link (``_may_link`` tests the
+    whole bitmaps)."""
+    differ = lambda i, j: f"aggregate(zip_with({x}f[{i}], {y}f[{j}], (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
+    size = lambda side, i: f"size({side}f[{i}])"
+    cases = " ".join(f"when {size(x, i)} = {size(y, j)} then {differ(i, j)}" for i, j in ((0, 0), (1, 0), (0, 1)))
+    return f"7 * case {cases} else 0 end <= {x}.n + {y}.n"
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -291,9 +297,9 @@ def _placed(keyed: DataFrame, plain: bool, id_col: str, text_col: str) -> DataFr
             more = more.filter("root <> lroot and " + _within("m", "l")).select(F.least("m.cls", "l.cls").alias("a"), F.greatest("m.cls", "l.cls").alias("b"))
         else:
             folds = stored(_folds(maps.join(open_.select("cls").distinct(), "cls", "left_semi")), "ngram-folds")
-            rows = stored(open_.join(folds, "cls"), "ngram-rows")
+            rows = open_.join(folds, "cls").repartition("h")  # both sides of the join read this one exchange
             x, y = rows.select("h", F.col("m").alias("x"), F.col("root").alias("rx"), F.col("folds").alias("xf")), rows.select(F.col("h").alias("k"), F.col("m").alias("y"), F.col("root").alias("ry"), F.col("folds").alias("yf"))
-            more = x.join(y, F.expr("h = k and x.cls < y.cls and rx <> ry and " + _within("x", "y") + " and " + _FOLDS_ALLOW)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+            more = x.join(y, F.expr("h = k and x.cls < y.cls and rx <> ry and " + _within("x", "y") + " and " + _folds_allow("x", "y"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
         more = stored(more.distinct().join(tried, ["a", "b"], "left_anti"), "ngram-more")
         tried = tried.union(more)
         all_links = all_links.union(stored(_verified(_may_link(more, maps), docs, reps), "ngram-links"))
