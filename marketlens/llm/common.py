@@ -42,6 +42,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of frames that nothing refers to any
+    more (the cleaner acts when the driver collects garbage, by itself only
+    every half hour). To be called after ``stored`` of a large frame."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it, so that ``df`` has no such column."""
     while name.lower() in {c.lower() for c in df.columns}:
