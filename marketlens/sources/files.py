@@ -96,9 +96,11 @@ def load_series(spark: SparkSession, kind: str | None, path: str, since=None, un
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
-    """A4: glossary TSV -> (key, original, english, seq). Line order is kept
-    by a monotonically increasing id (partition order, then row order)."""
-    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
+    """A4: glossary TSV -> (key, original, english, seq). Lines are in the order
+    of their file's path and of their place in it (``seq`` is a struct of file,
+    start of the split and row), so of several files the last one by name wins."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select("value", place.alias("seq"))
     return parse_lines(lines, "value", "seq")
 
 

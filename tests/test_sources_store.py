@@ -142,3 +142,10 @@ def test_series_of_a_date_range(spark, tmp_path, since, until):
     total = lambda n, c="posting_count": found[n].agg(F.sum(c)).first()[0]
     assert total("monthly_roles") == total("weekly_roles") == total("monthly_skills") == total("weekly_skills") == want
     assert total("monthly_totals", "total_skill_mentions") == want
+
+
+def test_glossary_files_in_order_of_their_names(spark, tmp_path):
+    for name, lines in (("b.tsv", "Haus\thome\nAuto\tcar\n"), ("a.tsv", "haus\thouse\nHAUS\tbuilding\n" * 50), ("c.tsv", "auto\tvehicle\nauto\tauto\n")):
+        (tmp_path / name).write_text(lines, encoding="utf-8")
+    got = {r.key: (r.original, r.english) for r in files.read_glossary(spark, str(tmp_path)).collect()}
+    assert got == {"haus": ("Haus", "home"), "auto": ("auto", "vehicle")}
