@@ -82,24 +82,30 @@ def dated_links(links: DataFrame, frame: DataFrame, *, posting_col="posting_id",
     return dated.groupBy("posting_id", "skill_id").agg(F.first("date_added").alias("date_added")) if distinct else dated
 
 
-def skill_link_counts(links: DataFrame, frame: DataFrame, freq: str = FREQ_MONTH, *,
-                      posting_col="posting_id", skill_col="skill_id") -> DataFrame:
-    """(period, skill id) link counts: the big link table is reduced to one row
-    per period and skill before it meets the skill dimension."""
-    dated = dated_links(links, frame, posting_col=posting_col, skill_col=skill_col)
-    return dated.groupBy(period_start("date_added", freq).alias("period_start"), "skill_id").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+def skill_day_counts(links: DataFrame, frame: DataFrame, *, distinct: bool = False, parts: int | None = None) -> DataFrame:
+    """(date_added, skill_id, n): links per day and skill. With ``parts`` the
+    rows are dealt by day and skill into as many tasks, so that what a task
+    keeps does not grow with the input; no group is larger than a day's postings."""
+    dated = dated_links(links, frame, distinct=distinct).select("date_added", "skill_id")
+    dealt = dated.repartition(parts, "date_added", "skill_id") if parts else dated
+    return dealt.groupBy("date_added", "skill_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def skill_series(links: DataFrame, frame: DataFrame, skills: DataFrame, freq: str = FREQ_MONTH, *,
-                 id_col="id", en_col="display_name_en", display_col="display_name", name_col="name") -> DataFrame:
-    """D6 (+C2): link count per (period, skill label B10)."""
-    counts = skill_link_counts(links, frame, freq)
+def _labelled(counts: DataFrame, skills: DataFrame, id_col: str, en_col: str, display_col: str, name_col: str) -> DataFrame:
     dim = skills.select(F.col(id_col).alias("skill_id"), skill_label_series(en_col, display_col, name_col).alias("display_name_en"))
-    return counts.join(dim, "skill_id").groupBy("period_start", "display_name_en").agg(
-        F.sum("n").cast("bigint").alias("posting_count")
-    )
+    return counts.join(dim, "skill_id")
+
+
+def skill_series(links: DataFrame, frame: DataFrame, skills: DataFrame, freq: str = FREQ_MONTH, *,
+                 id_col="id", en_col="display_name_en", display_col="display_name", name_col="name",
+                 parts: int | None = None) -> DataFrame:
+    """D6 (+C2): link count per (period, skill label B10). The big link table is
+    reduced to one row per day and skill (``parts`` as there) before it meets
+    the skill dimension."""
+    counts = skill_day_counts(links, frame, parts=parts)
+    return _labelled(counts, skills, id_col, en_col, display_col, name_col).groupBy(
+        period_start("date_added", freq).alias("period_start"), "display_name_en"
+    ).agg(F.sum("n").cast("bigint").alias("posting_count"))
 
 
 def period_totals(frame: DataFrame, roles: DataFrame, skills_series: DataFrame, freq: str = FREQ_MONTH) -> DataFrame:
@@ -145,16 +151,14 @@ def role_rollup(frame: DataFrame, freqs=("D", "W-MON", "M")) -> DataFrame:
 
 def skill_rollup(links: DataFrame, frame: DataFrame, skills: DataFrame, freqs=("D", "W-MON", "M"), *,
                  id_col="id", en_col="display_name_en", display_col="display_name", name_col="name",
-                 distinct: bool = False) -> DataFrame:
-    """D8 for skills: links are counted per (granularity, period, skill id) in
-    one aggregate, partial before its shuffle, then named by the dimension."""
-    dated = dated_links(links, frame, distinct=distinct)
-    g = dated.select("skill_id", _granularities("date_added", freqs).alias("_g"))
-    per_id = g.groupBy(F.col("_g.granularity").alias("granularity"), F.col("_g.period_start").alias("period_start"), "skill_id").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    dim = skills.select(F.col(id_col).alias("skill_id"), skill_label_series(en_col, display_col, name_col).alias("display_name_en"))
-    return per_id.join(dim, "skill_id").groupBy("granularity", "period_start", "display_name_en").agg(
+                 distinct: bool = False, parts: int | None = None) -> DataFrame:
+    """D8 for skills: links are counted per day and skill id (``parts`` as in
+    ``skill_day_counts``), named by the dimension and summed per day and label;
+    only those sums are expanded to the granularities."""
+    counts = skill_day_counts(links, frame, distinct=distinct, parts=parts)
+    days = _labelled(counts, skills, id_col, en_col, display_col, name_col).groupBy("date_added", "display_name_en").agg(F.sum("n").alias("n"))
+    g = days.select("display_name_en", "n", _granularities("date_added", freqs).alias("_g"))
+    return g.groupBy(F.col("_g.granularity").alias("granularity"), F.col("_g.period_start").alias("period_start"), "display_name_en").agg(
         F.sum("n").cast("bigint").alias("posting_count")
     )
 

@@ -23,6 +23,8 @@ from marketlens.session import read_table
 
 # Order status -> work type of the bound postings.
 WORK_TYPE_BY_STATUS = {"F": "onsite", "O": "remote", "P": "hybrid"}
+#: Rows of a task that sorts rows or keeps keys of them (up to some 100 bytes a row and step).
+TASK_ROWS = 400_000
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,18 +57,32 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _link_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("posting_id"), F.col("l_partkey").alias("skill_id"))
+
+
+def link_parts(spark: SparkSession, sf_dir: str) -> int | None:
+    """Tasks for the links where they are dealt by key, ``TASK_ROWS`` each (the
+    count reads file footers); None where Spark's own choice, a few tasks per
+    core, is as fine. Left to itself Spark would make tasks of few but
+    well-compressed bytes, and so of ever more rows."""
+    parts = -(-_link_keys(spark, sf_dir).count() // TASK_ROWS)
+    return parts if parts > spark.sparkContext.defaultParallelism else None
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posting-skill links; the pair is the key, so duplicates are removed.
     Dealt by posting once: the removal of duplicates and the join to the
     postings both use that shuffle."""
-    li = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("posting_id"), F.col("l_partkey").alias("skill_id"))
-    return li.repartition("posting_id").dropDuplicates(["posting_id", "skill_id"])
+    parts, li = link_parts(spark, sf_dir), _link_keys(spark, sf_dir)
+    return (li.repartition(parts, "posting_id") if parts else li.repartition("posting_id")).dropDuplicates(["posting_id", "skill_id"])
 
 
 def link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pairs as they stand, repeats included, for operators that
-    remove them after a join (``distinct=True``)."""
-    return read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("posting_id"), F.col("l_partkey").alias("skill_id"))
+    remove them after a join (``distinct=True``). Many are dealt by posting."""
+    parts, li = link_parts(spark, sf_dir), _link_keys(spark, sf_dir)
+    return li.repartition(parts, "posting_id") if parts else li
 
 
 def company_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ for _freq, _tag in (("M", "monthly"), ("W-MON", "weekly"), ("D", "daily")):
         return periods.role_series(frame(spark, d), _f)
 
     def _skills(spark, d, _f=_freq):
-        return periods.skill_series(b.links(spark, d), frame(spark, d), b.skills(spark, d), _f)
+        return periods.skill_series(b.links(spark, d), frame(spark, d), b.skills(spark, d), _f, parts=b.link_parts(spark, d))
 
     query(f"roles_{_tag}", S.with_(*S.BASE, S.role_series(_freq)) + "SELECT * FROM roles")(_roles)
     query(f"skills_{_tag}", S.with_(*S.BASE, S.skill_series(_freq)) + "SELECT * FROM skill_series")(_skills)
@@ -80,7 +80,7 @@ FROM posts p LEFT JOIN rs USING (period_start) LEFT JOIN ss USING (period_start)
 def q_totals_monthly(spark, d):
     f = frame(spark, d)
     roles = periods.role_series(f, "M")
-    sk = periods.skill_series(b.links(spark, d), f, b.skills(spark, d), "M")
+    sk = periods.skill_series(b.links(spark, d), f, b.skills(spark, d), "M", parts=b.link_parts(spark, d))
     return periods.period_totals(f, roles, sk, "M")
 
 
@@ -110,7 +110,7 @@ _SKILL_ROLLUP_SQL = " UNION ALL ".join(
 SELECT granularity, period_start, display_name_en, CAST(count(*) AS BIGINT) AS posting_count
 FROM ({_SKILL_ROLLUP_SQL}) GROUP BY 1, 2, 3""")
 def q_skills_rollup(spark, d):
-    return periods.skill_rollup(b.links(spark, d), frame(spark, d), b.skills(spark, d))
+    return periods.skill_rollup(b.links(spark, d), frame(spark, d), b.skills(spark, d), parts=b.link_parts(spark, d))
 
 
 @query("roles_last_24_months", S.with_(*S.BASE, S.role_series("M")) + """
@@ -142,7 +142,7 @@ SELECT display_name_en, CAST(sum(posting_count) AS BIGINT) AS posting_count FROM
 WHERE period_start IN (SELECT period_start FROM keep)
 GROUP BY 1 ORDER BY posting_count DESC, display_name_en ASC LIMIT 15""")
 def q_top_skills_recent(spark, d):
-    sk = periods.skill_series(b.links(spark, d), frame(spark, d), b.skills(spark, d), "M")
+    sk = periods.skill_series(b.links(spark, d), frame(spark, d), b.skills(spark, d), "M", parts=b.link_parts(spark, d))
     return periods.top_keys_recent(sk, "display_name_en")
 
 

@@ -28,7 +28,7 @@ def _pick(df, g):
 def _rollups(spark, d, f):
     """Monthly and weekly role and skill series, each pair from one pass (D8
     roll-up: one scan of the postings, one link join)."""
-    return periods.role_rollup(f, FREQS), periods.skill_rollup(b.link_rows(spark, d), f, b.skills(spark, d), FREQS, distinct=True)
+    return periods.role_rollup(f, FREQS), periods.skill_rollup(b.link_rows(spark, d), f, b.skills(spark, d), FREQS, distinct=True, parts=b.link_parts(spark, d))
 
 
 def windowed(spark, d, window=WINDOW, with_skills=True):

@@ -106,3 +106,28 @@ def test_skill_rollup_matches_single_granularity(spark):
         assert sorted(map(tuple, roll.collect())) == sorted(map(tuple, single.select(*roll.columns).collect()))
     labels = {r.display_name_en for r in periods.skill_series(links, f, skills, "M").collect()}
     assert labels == {"Python", "unknown"}  # B10: blank English label -> 'unknown' (no fallback past a non-NULL blank)
+
+
+def test_skill_counts_are_dealt_into_the_tasks_asked_for(spark):
+    f = periods.posting_frame(_postings(spark))
+    skills = spark.createDataFrame([(1, "python", "Python", "Python"), (2, "sql", None, " "), (2, "sql", "SQL", "SQL")],
+                                   "id long, name string, display_name string, display_name_en string")
+    links = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (3, 1), (3, 1), (None, 1), (1, None)], "posting_id long, skill_id long")
+    for distinct in (False, True):
+        plain = periods.skill_rollup(links, f, skills, distinct=distinct)
+        dealt = periods.skill_rollup(links, f, skills, distinct=distinct, parts=5)
+        assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
+    assert sorted(map(tuple, periods.skill_series(links, f, skills, parts=5).collect())) == sorted(map(tuple, periods.skill_series(links, f, skills).collect()))
+    assert periods.skill_day_counts(links, f, parts=5).rdd.getNumPartitions() == 5
+
+
+def test_tasks_for_links_grow_with_their_rows(spark, tmpdir_path, monkeypatch):
+    from marketlens.plans import bindings
+
+    li = spark.range(100).selectExpr("id div 4 as l_orderkey", "id % 7 as l_partkey")
+    li.union(li).write.parquet(f"{tmpdir_path}/lineitem.parquet")
+    assert bindings.link_parts(spark, tmpdir_path) is None  # few rows: Spark's own choice
+    monkeypatch.setattr(bindings, "TASK_ROWS", 20)
+    assert bindings.link_parts(spark, tmpdir_path) == 10
+    for links, n in ((bindings.links(spark, tmpdir_path), 100), (bindings.link_rows(spark, tmpdir_path), 200)):
+        assert links.rdd.getNumPartitions() == 10 and links.count() == n
