@@ -47,3 +47,18 @@ def test_models_add_no_shuffle_after_the_series_partitioning(spark):
         section = lines[start:end]
         assert any("ObjectHashAggregate" in l or "SortAggregate" in l for l in section)
         assert not any("Exchange" in l for l in section), model
+
+
+def test_links_left_after_deletion_are_counted_in_tasks_of_bounded_rows(spark, monkeypatch):
+    import __spark_entry__ as E
+    from marketlens.plans import bindings
+
+    few = {tuple(r) for r in E.queries()["delete_postings"](spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    monkeypatch.setattr(bindings, "TASK_ROWS", rows // 40)
+    parts = bindings.link_parts(spark, SF)
+    assert parts >= 40
+    dealt = E.queries()["delete_postings"](spark, SF)
+    assert {tuple(r) for r in dealt.collect()} == few
+    for name in ("delete_postings", "skills_monthly", "totals_monthly", "top_skills_recent"):
+        assert f", {parts}), REPARTITION_BY_NUM" in _plan(E.queries()[name](spark, SF)), name
