@@ -62,3 +62,17 @@ def test_links_left_after_deletion_are_counted_in_tasks_of_bounded_rows(spark, m
     assert {tuple(r) for r in dealt.collect()} == few
     for name in ("delete_postings", "skills_monthly", "totals_monthly", "top_skills_recent"):
         assert f", {parts}), REPARTITION_BY_NUM" in _plan(E.queries()[name](spark, SF)), name
+
+
+def test_series_of_a_run_are_counted_in_tasks_of_bounded_rows(spark, monkeypatch):
+    from marketlens.plans import bindings
+    from marketlens.plans.queries_series import windowed
+
+    few = {tuple(r) for r in windowed(spark, SF)["monthly_skills"].collect()}
+    spark.catalog.clearCache()
+    monkeypatch.setattr(bindings, "TASK_ROWS", 100)
+    parts = bindings.link_parts(spark, SF)
+    dealt = windowed(spark, SF)["monthly_skills"]
+    assert {tuple(r) for r in dealt.collect()} == few
+    assert _plan(dealt).count(f", {parts}), REPARTITION_BY_NUM") >= 2  # by posting, then by day and skill
+    spark.catalog.clearCache()
