@@ -7,7 +7,7 @@ codegen; none of them is a Python UDF.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The code points Python's ``str.strip()`` removes (29 in all):
@@ -59,9 +59,18 @@ def fingerprint(col) -> Column:
     return F.sha2(py_strip(col), 256)
 
 
-def sanitize_field_reason(col, field_name: str = "value", max_len: int = MAX_GLOSSARY_FIELD_LEN) -> Column:
-    """Reject reason of a glossary field (NULL when the field is usable)."""
-    s = py_strip(F.coalesce(_c(col), F.lit("")))
+def once(df: DataFrame, *cols) -> DataFrame:
+    """``df.select(*cols)`` whose columns are computed once per row. A filter goes
+    below a plain select, and each of its uses of a column computes it anew;
+    below this one it does not go."""
+    return df.select(F.inline(F.array(F.struct(*cols))))
+
+
+def sanitize_field_reason(col, field_name: str = "value", max_len: int = MAX_GLOSSARY_FIELD_LEN, stripped: bool = False) -> Column:
+    """Reject reason of a glossary field (NULL when the field is usable);
+    a ``stripped`` one is not stripped again."""
+    s = F.coalesce(_c(col), F.lit(""))
+    s = s if stripped else py_strip(s)
     return (
         F.when(s == "", F.lit(f"{field_name}:empty"))
         .when(s.rlike("[\\t\\n\\r]"), F.lit(f"{field_name}:control_character"))

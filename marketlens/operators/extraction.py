@@ -47,24 +47,34 @@ def _is_number(kind: Column) -> Column:
 
 
 def _extract(df: DataFrame, payload_col: str, id_col: str) -> DataFrame:
-    """Parse once, then pull every field once: ``k_<f>`` its VARIANT kind
-    (STRING / BIGINT / DOUBLE / DECIMAL(..) / BOOLEAN / VOID for json null /
-    ARRAY<..> / OBJECT<..>; NULL when absent) and ``s_<f>`` its typed value.
-    Staged projections keep the parse from being repeated per check."""
+    """Parse once and take all fields in one walk over the object, then read
+    each field by itself: ``k_<f>`` its VARIANT kind (STRING / BIGINT / DOUBLE /
+    DECIMAL(..) / BOOLEAN / VOID for json null / ARRAY<..> / OBJECT<..>; NULL
+    when absent) and ``s_<f>`` its typed value, cast only where the kind calls
+    for it. Staged projections keep the steps from being repeated per check."""
     parsed = df.select(F.col(id_col), F.try_parse_json(F.col(payload_col)).alias("_v"))
-    cols = [F.col(id_col), F.col("_v").isNull().alias("not_json"), F.schema_of_variant("_v").alias("k_top")]
-    for f in ALL_FIELDS:
-        var = F.try_variant_get("_v", f"$.{f}", "variant")
-        cols.append(F.schema_of_variant(var).alias(f"k_{f}"))
-    for f in tuple(STRING_FIELDS) + ("application_deadline", "work_type"):
-        cols.append(F.try_variant_get("_v", f"$.{f}", "string").alias(f"s_{f}"))
+    # NULL unless the payload is an object; its other fields are left aside
+    whole = F.try_variant_get("_v", "$", "struct<" + ", ".join(f"{f}: variant" for f in ALL_FIELDS) + ">")
+    parsed = parsed.select(id_col, F.col("_v").isNull().alias("not_json"), whole.alias("_f"))
+    # as one array, which keeps the generated code of each step short enough to be compiled
+    kinds = F.transform(F.array(*[F.col(f"_f.{f}") for f in ALL_FIELDS]), lambda v: F.schema_of_variant(v))
+    parsed = parsed.select(id_col, "not_json", F.col("_f").isNull().alias("not_object"), "_f", kinds.alias("_k"))
+    parsed = parsed.select(id_col, "not_json", "not_object", "_f", *[F.col("_k")[i].alias(f"k_{f}") for i, f in enumerate(ALL_FIELDS)])
+    k = lambda f: F.col(f"k_{f}")
+    get = lambda f, kind: F.try_variant_get(f"_f.{f}", "$", kind)
+    cols = [F.col(c) for c in parsed.columns if c != "_f"]
+    for f in STRING_FIELDS:
+        cols.append(F.when(k(f) == "STRING", get(f, "string")).alias(f"s_{f}"))
+    for f in ("application_deadline", "work_type"):
+        cols.append(get(f, "string").alias(f"s_{f}"))
     for f in NUMBER_FIELDS:
-        cols.append(F.try_variant_get("_v", f"$.{f}", "double").alias(f"d_{f}"))
-        cols.append(F.try_variant_get("_v", f"$.{f}", "string").alias(f"s_{f}"))
-    cols.append(F.try_variant_get("_v", "$.has_nondiscrimination_disclaimer", "boolean").alias("b_flag"))
-    cols.append(F.lower(F.try_variant_get("_v", "$.has_nondiscrimination_disclaimer", "string")).alias("s_flag"))
+        cols.append(F.when(k(f) != "STRING", get(f, "double")).alias(f"d_{f}"))
+        cols.append(F.when(k(f) == "STRING", get(f, "string")).alias(f"s_{f}"))
+    flag = "has_nondiscrimination_disclaimer"
+    cols.append(F.when(k(flag) == "BOOLEAN", get(flag, "boolean")).alias("b_flag"))
+    cols.append(F.when(k(flag) != "BOOLEAN", F.lower(get(flag, "string"))).alias("s_flag"))
     for f in LIST_FIELDS:
-        cols.append(F.try_variant_get("_v", f"$.{f}", "array<string>").alias(f"a_{f}"))
+        cols.append(get(f, "array<string>").alias(f"a_{f}"))
     return parsed.select(*cols)
 
 
@@ -77,9 +87,9 @@ def validate_payloads(df: DataFrame, payload_col: str = "payload", id_col: str =
     x = _extract(df, payload_col, id_col)
     k = lambda f: F.col(f"k_{f}")
     # typed values (stage 2)
-    vals = [F.col(id_col), F.col("not_json"), F.col("k_top")]
+    vals = [F.col(id_col), F.col("not_json"), F.col("not_object")]
     for f in STRING_FIELDS:
-        vals.append(F.when(k(f) == "STRING", F.col(f"s_{f}")).alias(f))
+        vals.append(F.col(f"s_{f}").alias(f))
     for f in NUMBER_FIELDS:
         vals.append(F.when(_is_number(k(f)) | (k(f) == "BOOLEAN"), F.col(f"d_{f}"))
                     .when((k(f) == "STRING") & F.trim(f"s_{f}").rlike(NUMBER_TEXT), F.trim(f"s_{f}").try_cast("double")).alias(f))
@@ -99,7 +109,7 @@ def validate_payloads(df: DataFrame, payload_col: str = "payload", id_col: str =
     # schema checks
     reasons: list[Column] = [
         F.when(c("not_json"), F.lit("schema: payload is not JSON")),
-        F.when(~c("k_top").startswith("OBJECT"), F.lit("schema: payload is not a JSON object")),
+        F.when(c("not_object"), F.lit("schema: payload is not a JSON object")),
         F.when(k("role_title").isNull() | (k("role_title") == "VOID"), F.lit("schema: role_title is required")),
     ]
     for f, max_len in STRING_FIELDS.items():
@@ -142,11 +152,11 @@ def validate_payloads(df: DataFrame, payload_col: str = "payload", id_col: str =
         F.when(F.size("_pairs") > MAX_SKILLS, F.lit(f"domain:skills:more_than_{MAX_SKILLS}")),
         F.concat(F.lit("domain:"), currency_reason(c("salary_currency"))),
     ]
-    reason = F.coalesce(*reasons)
+    u = u.withColumn("reason", F.coalesce(*reasons))
     return u.select(
         F.col(id_col),
-        reason.isNull().alias("accepted"),
-        reason.alias("reason"),
+        c("reason").isNull().alias("accepted"),
+        "reason",
         optional_stripped("company_name").alias("company_name"),
         c("_title").alias("role_title"),
         F.coalesce(optional_stripped("role_title_en"), c("_title")).alias("role_title_en"),

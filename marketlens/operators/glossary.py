@@ -9,26 +9,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType
 
-from marketlens.functions.text import is_identity_pair, normalize_key, py_strip, sanitize_field_reason
+from marketlens.functions.text import is_identity_pair, normalize_key, once, py_strip, sanitize_field_reason
+
+
+def _reason() -> Column:
+    """B4 of the stripped columns original and english."""
+    return F.coalesce(sanitize_field_reason("original", "original", stripped=True), sanitize_field_reason("english", "english", stripped=True))
+
+
+def _identity() -> Column:
+    """B3 of the stripped columns original and english."""
+    return F.lower("original") == F.lower("english")
 
 
 def parse_lines(lines: DataFrame, line_col: str = "value", seq_col: str = "seq") -> DataFrame:
     """A4: glossary rows from TSV lines: skip blank, comment and tab-less
     lines; split on the first tab; drop unusable (B4) and identity (B3) rows;
     key = lower-cased stripped original; the last row of a key wins."""
-    s = py_strip(line_col)
-    rows = lines.select(F.col(seq_col), s.alias("_s")).where(
+    rows = once(lines, F.col(seq_col), py_strip(line_col).alias("_s")).where(
         (F.col("_s") != "") & ~F.col("_s").startswith("#") & (F.instr("_s", "\t") > 0)
     )
-    rows = rows.select(
-        seq_col,
-        F.substring_index("_s", "\t", 1).alias("_o"),
-        F.expr("substring(_s, instr(_s, '\t') + 1)").alias("_e"),
+    rows = once(
+        rows, seq_col,
+        py_strip(F.substring_index("_s", "\t", 1)).alias("original"),
+        py_strip(F.expr("substring(_s, instr(_s, '\t') + 1)")).alias("english"),
     )
-    rows = rows.where(sanitize_field_reason("_o", "original").isNull() & sanitize_field_reason("_e", "english").isNull())
-    rows = rows.select(seq_col, py_strip("_o").alias("original"), py_strip("_e").alias("english"))
-    rows = rows.where(~is_identity_pair("original", "english"))
-    last = rows.groupBy(normalize_key("original").alias("key")).agg(
+    rows = rows.where(_reason().isNull() & ~_identity())
+    last = rows.groupBy(F.lower("original").alias("key")).agg(
         F.max_by(F.struct("original", "english", seq_col), F.col(seq_col)).alias("r"))
     return last.select("key", "r.original", "r.english", F.col(f"r.{seq_col}").alias(seq_col))
 
@@ -54,8 +61,8 @@ def candidate_pairs(postings: DataFrame, *, id_col="id", title_col="role_title",
     none = F.array().cast("array<struct<pos:int,o:string,e:string>>")
     ex = postings.select(id_col, F.explode(F.concat(F.array(title), F.coalesce(skills, none))).alias("p"))
     ex = ex.select(id_col, "p.pos", F.col("p.o").alias("o"), F.col("p.e").alias("e"))
-    ok = (F.coalesce(F.length("o"), F.lit(0)) > 0) & (F.coalesce(F.length("e"), F.lit(0)) > 0) & ~is_identity_pair("o", "e")
-    return ex.where(ok).select(id_col, "pos", py_strip("o").alias("original"), py_strip("e").alias("english"))
+    ok = (F.coalesce(F.length("o"), F.lit(0)) > 0) & (F.coalesce(F.length("e"), F.lit(0)) > 0)
+    return once(ex.where(ok), id_col, "pos", py_strip("o").alias("original"), py_strip("e").alias("english")).where(~_identity())
 
 
 #: Sequence values per range of a key.
@@ -78,18 +85,17 @@ def merge(existing: DataFrame, pairs: DataFrame, seq_col: str = "seq", part: Col
     first pair, its last value and its last change; those few rows per key are
     then put in order, which settles the first pair of every range and the
     final run. Two exchanges, no join back. ``seq_col`` may be a struct."""
-    p = pairs.select(F.col(seq_col).alias("seq"), (F.col(seq_col) if part is None else part).cast("long").alias("at"),
-                     py_strip("original").alias("original"), py_strip("english").alias("english"))
-    reason = F.coalesce(sanitize_field_reason("original", "original"), sanitize_field_reason("english", "english"))
-    p = p.withColumn("reason", reason)
+    p = once(pairs, F.col(seq_col).alias("seq"), (F.col(seq_col) if part is None else part).cast("long").alias("at"),
+             py_strip("original").alias("original"), py_strip("english").alias("english"))
+    p = p.withColumn("reason", _reason())
     rejected = p.where(F.col("reason").isNotNull() & (F.col("original") != "") & (F.col("english") != ""))
-    p = p.where(F.col("reason").isNull() & ~is_identity_pair("original", "english")).withColumn("key", normalize_key("original"))
+    p = p.where(F.col("reason").isNull() & ~_identity()).withColumn("key", F.lower("original")).withColumn("n", F.lower("english"))
     kind = p.schema["seq"].dataType
     old = existing.where(~is_identity_pair("original", "english")).select(
-        "key", F.lit(-1).cast("long").alias("range"), F.lit(None).cast(kind).alias("seq"), "original", "english")
-    stream = old.unionByName(p.select("key", F.floor(F.col("at") / RANGE).cast("long").alias("range"), "seq", "original", "english"))
+        "key", F.lit(-1).cast("long").alias("range"), F.lit(None).cast(kind).alias("seq"), "original", "english", normalize_key("english").alias("n"))
+    stream = old.unionByName(p.select("key", F.floor(F.col("at") / RANGE).cast("long").alias("range"), "seq", "original", "english", "n"))
     w = Window.partitionBy("key", "range").orderBy(F.col("seq").asc_nulls_first())
-    row = stream.withColumn("n", normalize_key("english")).withColumn("prev", F.lag("n").over(w))
+    row = stream.withColumn("prev", F.lag("n").over(w))
     found = F.struct("seq", "original", "english", "n")
     inside = F.col("prev").isNotNull() & (F.col("prev") != F.col("n"))
     # per range, in the partitioning of the window
@@ -111,7 +117,7 @@ def merge(existing: DataFrame, pairs: DataFrame, seq_col: str = "seq", part: Col
     none = F.lit(None).cast("string").alias("reason")
     actions = heads.unionByName(changes).select("key", F.col("seq").alias(seq_col), "original", "english", "action", none)
     return merged, actions.unionByName(rejected.select(
-        normalize_key("original").alias("key"), F.col("seq").alias(seq_col), "original", "english", F.lit("reject").alias("action"), "reason"))
+        F.lower("original").alias("key"), F.col("seq").alias(seq_col), "original", "english", F.lit("reject").alias("action"), "reason"))
 
 
 def changed_count(actions: DataFrame) -> Column:

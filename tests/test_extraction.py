@@ -138,3 +138,28 @@ def test_error_category_order(spark):
     codes = spark.createDataFrame([(401,), (404,), (429,), (503,), (418,)], "c int")
     assert [r.s for r in codes.select(extraction.http_status_class("c").alias("s")).collect()] == [
         "auth", "not_found", "rate_limit", "unavailable", "other"]
+
+
+def test_kinds_of_a_field(spark):
+    """Absent, null, and a value of another kind are told apart in every field."""
+    r = _validate(spark, [
+        {"role_title": "E", "city": None, "skills": None},
+        {"role_title": "E", "city": None, "salary_max": True, "other": {"city": 3}},
+        {"role_title": "E", "city": {"a": 1}},
+        {"role_title": "E", "salary_min": " 12.5 ", "has_nondiscrimination_disclaimer": "YES"},
+        {"role_title": "E", "salary_min": "12d"},
+        {"role_title": "E", "has_nondiscrimination_disclaimer": 1},
+        {"role_title": "E", "has_nondiscrimination_disclaimer": None},
+        {"role_title": "E", "skills": [], "skills_en": [1]},
+        "null", '"E"', '{"role_title": "E", "role_title": "F"}', "",
+    ])
+    assert r[0].reason == "schema: skills must be a list of strings"
+    assert r[1].accepted and r[1].city is None and r[1].salary_max == 1.0
+    assert r[2].reason == "schema: city must be a string"
+    assert r[3].accepted and r[3].salary_min == 12.5 and r[3].has_nondiscrimination_disclaimer
+    assert r[4].reason == "schema: salary_min must be a number"
+    assert r[5].accepted and r[5].has_nondiscrimination_disclaimer
+    assert r[6].reason == "schema: has_nondiscrimination_disclaimer must be a boolean"
+    assert r[7].reason == "schema: skills_en must be a list of strings"
+    assert r[8].reason == r[9].reason == "schema: payload is not a JSON object"
+    assert r[10].reason == r[11].reason == "schema: payload is not JSON"
