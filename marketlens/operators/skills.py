@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.text import optional_stripped, py_strip
+from marketlens.functions.text import once, optional_stripped, py_strip
 
 
 def skill_mentions(postings: DataFrame, *, id_col="id", skills_col="skills", skills_en_col="skills_en") -> DataFrame:
@@ -13,10 +13,9 @@ def skill_mentions(postings: DataFrame, *, id_col="id", skills_col="skills", ski
     english, name) with the lower-cased English name as the skill key."""
     ex = postings.select(F.col(id_col).alias("posting_id"),
                          F.posexplode(F.arrays_zip(F.col(skills_col).alias("s"), F.col(skills_en_col).alias("x"))).alias("pos", "p"))
-    original = py_strip(F.coalesce("p.s", F.lit("")))
-    english = F.coalesce(optional_stripped(F.coalesce("p.x", "p.s")), original)
-    m = ex.select("posting_id", "pos", F.when(original == "", english).otherwise(original).alias("original"),
-                  english.alias("english"))
+    m = once(ex, "posting_id", "pos", py_strip(F.coalesce("p.s", F.lit(""))).alias("o"), optional_stripped(F.coalesce("p.x", "p.s")).alias("e"))
+    english = F.coalesce("e", "o")
+    m = m.select("posting_id", "pos", F.when(F.col("o") == "", english).otherwise(F.col("o")).alias("original"), english.alias("english"))
     return m.where(F.col("english") != "").withColumn("name", F.lower("english"))
 
 

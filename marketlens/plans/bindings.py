@@ -118,7 +118,9 @@ def payload_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer")
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    lines = li.join(p, li.l_partkey == p.p_partkey).groupBy("l_orderkey").agg(
+    lines, parts = li.join(p, li.l_partkey == p.p_partkey), link_parts(spark, sf_dir)
+    # many are dealt by order first: payloads are built and validated in that many tasks
+    lines = (lines.repartition(parts, "l_orderkey") if parts else lines).groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_name", F.when(F.col("p_size") >= 3, F.col("p_brand")).otherwise(F.lit("")).alias("en")))).alias("ls"))
     seg = F.coalesce(*[F.when(F.col("c_mktsegment") == k, F.lit(v)) for k, v in CURRENCY_BY_SEGMENT.items()])
     work = F.coalesce(*[F.when(F.col("o_orderstatus") == k, F.lit(v)) for k, v in WORK_TYPE_BY_STATUS.items()], F.lit("unknown"))

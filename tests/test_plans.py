@@ -76,3 +76,45 @@ def test_series_of_a_run_are_counted_in_tasks_of_bounded_rows(spark, monkeypatch
     assert {tuple(r) for r in dealt.collect()} == few
     assert _plan(dealt).count(f", {parts}), REPARTITION_BY_NUM") >= 2  # by posting, then by day and skill
     spark.catalog.clearCache()
+
+
+def test_payload_fields_are_taken_in_one_walk(spark):
+    import re
+
+    from marketlens.operators import extraction
+
+    p = spark.createDataFrame([(1, '{"role_title": "E"}')], "payload_id long, payload string")
+    old = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        codegen = _plan(extraction.validate_payloads(p), "codegen")
+        plan = _plan(extraction.validate_payloads(p))
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", old)
+    assert not [f for f in extraction.ALL_FIELDS if f"$.{f}" in plan]  # no walk per field
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", codegen)]
+    assert sizes and max(sizes) < 8000  # longer methods are never compiled by the JVM
+
+
+def test_filters_do_not_strip_again(spark):
+    """A filter on a stripped field must not carry the strip below."""
+    from marketlens.operators import glossary, skills
+
+    one = spark.range(1).selectExpr("id as seq", "concat('a', id) as original", "concat(' b', id) as english", "concat('a', id, '\t', 'b') as value")
+    lists = spark.range(1).selectExpr("id", "array(concat('a', id)) as skills", "array(concat('b', id)) as skills_en", "'t' as role_title", "'u' as role_title_en")
+    none = one.limit(0).selectExpr("original as key", "original", "english")
+    frames = {"parse_lines": glossary.parse_lines(one), "candidate_pairs": glossary.candidate_pairs(lists), "merge": glossary.merge(none, one)[0],
+              "skill_mentions": skills.skill_mentions(lists)}
+    for name, df in frames.items():
+        plan = df._jdf.queryExecution().optimizedPlan().toString().replace("\n", " ")
+        for part in plan.split("Filter ")[1:]:
+            condition = part.split(" +- ")[0]
+            assert "trim(" not in condition, (name, condition)
+
+
+def test_payloads_are_built_in_tasks_of_bounded_rows(spark, monkeypatch):
+    from marketlens.plans import bindings
+
+    monkeypatch.setattr(bindings, "TASK_ROWS", 100)
+    parts = bindings.link_parts(spark, SF)
+    assert parts and f", {parts}), REPARTITION_BY_NUM" in _plan(bindings.payloads(spark, SF))
