@@ -185,6 +185,39 @@ def test_recall_by_kind_of_edit(spark):
     assert all(got[i] == 0 for i, (k, near) in pairs.items() if not near and k[0] == "words")
 
 
+def test_short_lines_lose_no_link(spark):
+    r = np.random.default_rng(23)
+    text = lambda n: "".join("abcde  "[int(c)] for c in r.integers(0, 7, n))
+    lines = ["the colour of", "the color of", "grey", "gray", "page 1001", "page 1002", "page 2002", "Über uns", "über u s", "ab cde", "abcde", "a", "b"]
+    for _ in range(150):  # few letters, so that many pairs are near; some with a letter changed, left out or added
+        one = text(int(r.integers(1, line_dedup.DELETIONS_TO + 1)))
+        at = int(r.integers(0, len(one) + 1))
+        lines += [one, one[:at] + "ab c"[int(r.integers(0, 4))] * int(r.integers(0, 2)) + one[at + int(r.integers(0, 2)):]]
+    rows = [(i, x) for i, x in enumerate(lines) if len(x) <= line_dedup.DELETIONS_TO]
+    want = lines_by_force(rows)
+    got = {x.doc_id: x.removed for x in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    # all pairs, whatever the other lines join them to
+    keyed = spark.createDataFrame(sorted({re.sub(" +", " ", x).strip() for _, x in rows} - {""}), "string").select(F.monotonically_increasing_id().alias("key"), F.col("value").alias("norm"))
+    texts = {x.key: x.norm for x in keyed.collect()}
+    links = {(x.a, x.b) for x in line_dedup.links(keyed, line_dedup.short_pairs(keyed, 0.8), 0.8).collect()}
+    near = lambda a, b: edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+    assert links == {(i, j) for i in texts for j in texts if i < j and near(texts[i], texts[j])} and len(links) > 50
+
+
+def test_exact_search_finds_pairs_without_a_whole_word(spark):
+    r = np.random.default_rng(29)
+    letters = lambda n: "".join("abcdefghijklmnop"[int(c)] for c in r.integers(0, 16, n))
+    rows = []
+    for n in (5, 12, 40):
+        words = [letters(7) for _ in range(n)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(w[:3] + "z" + w[4:] for w in words))]
+    df = spark.createDataFrame([*rows, (10, None)], "doc_id long, text string")
+    found = lambda **how: {x.doc_id for x in line_dedup.removed_lines(df, **how).collect() if x.n_removed}
+    assert found() == set() and found(exact=True) == {1, 3, 5}
+    assert {x.doc_id for x in line_dedup.deduplicated(df, exact=True).collect() if x.text == ""} == {1, 3, 5}
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     a, b, c, d = "alpha apples in orchards", "winter gloves kept warm", "dull copper pans hung low", "seven ships went northward"
     rows = [(None, f"{a}\n{b}"), (None, f"{c}\n{a}"), (7, f"{d}\n{b}"), (7, d), (7, d), (8, None)]
