@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -218,6 +219,30 @@ def test_exact_search_finds_pairs_without_a_whole_word(spark):
     assert {x.doc_id for x in line_dedup.deduplicated(df, exact=True).collect() if x.text == ""} == {1, 3, 5}
 
 
+def test_line_texts_are_stored_once_and_pairs_in_shares(spark, monkeypatch):
+    written, plain = [], common.stored
+
+    def noted(df, name):
+        written.append((name, plain(df, name)))
+        return written[-1][1]
+
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    r = np.random.default_rng(31)
+    rows = []
+    for i in range(60):
+        words = ["w%d" % x for x in r.integers(0, 40, 30)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join("other" if j == i % 30 else w for j, w in enumerate(words)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {x.doc_id: x.removed for x in line_dedup.removed_lines(df).collect()}
+    assert whole == {i: [0] if i % 2 else [] for i in range(120)}
+    there = [n for n, x in written if "norm" in x.columns and os.path.exists(x.inputFiles()[0].removeprefix("file:").replace("//", ""))]
+    assert there == ["line-classes"]  # the table of all lines is gone once it was counted
+    assert [n for n, _ in written].count("line-open-pairs") == line_dedup.OPEN_PASSES
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 10)
+    assert {x.doc_id: x.removed for x in line_dedup.removed_lines(df).collect()} == whole
+    assert [n for n, _ in written].count("line-links") > 4  # several shares of the pairs
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     a, b, c, d = "alpha apples in orchards", "winter gloves kept warm", "dull copper pans hung low", "seven ships went northward"
     rows = [(None, f"{a}\n{b}"), (None, f"{c}\n{a}"), (7, f"{d}\n{b}"), (7, d), (7, d), (8, None)]
