@@ -186,6 +186,18 @@ def test_recall_by_kind_of_edit(spark):
     assert all(got[i] == 0 for i, (k, near) in pairs.items() if not near and k[0] == "words")
 
 
+def test_a_line_has_all_of_its_pieces(spark):
+    words = ["w%d" % i for i in range(100)]
+    df = spark.createDataFrame([(0, " ".join(words)), (1, "a b c d e"), (2, "a b"), (3, "a b a b a b a")], "key long, norm string")
+    got = collections.Counter(x.key for x in line_dedup.pieces(df).collect())
+    assert got == {0: 98 + 96, 1: 3 + 1, 2: 1, 3: 2 + 2}
+    # one triple in common, wherever it stands, is a shared piece
+    pairs = [(2 * i, " ".join(f"x{i}" + w for w in words)) for i in range(20)]
+    pairs += [(2 * i + 1, " ".join((f"x{i}" if 3 * i <= j < 3 * i + 3 else f"y{i}") + w for j, w in enumerate(words))) for i in range(20)]
+    shared = line_dedup.shared_pieces(spark.createDataFrame(pairs, "key long, norm string")).collect()
+    assert collections.Counter((x.key, x.lead) for x in shared) == {(k, 2 * i): 1 for i in range(20) for k in (2 * i, 2 * i + 1)}
+
+
 def test_short_lines_lose_no_link(spark):
     r = np.random.default_rng(23)
     text = lambda n: "".join("abcde  "[int(c)] for c in r.integers(0, 7, n))
