@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from marketlens.llm import common, decontaminate, fingerprint, graph, line_dedup, ngram_join, quality_cnn, recompression, suffix_dedup, toxicity, warc
 from marketlens.llm import queries as llm_queries
 from marketlens.llm import sentencepiece_codec as sp
@@ -231,6 +232,32 @@ def test_exact_search_finds_pairs_without_a_whole_word(spark):
     assert {x.doc_id for x in line_dedup.deduplicated(df, exact=True).collect() if x.text == ""} == {1, 3, 5}
 
 
+def test_query_and_pipeline_lose_no_link_of_lines_of_any_length(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(37)
+    word = lambda: "".join("the and ing tion en er on th re st ou é ß".split()[int(c)] for c in r.integers(0, 13, int(r.integers(1, 4))))
+    lines = ["international communications", "international communication", "internationale communication", "contact the administrator today", "contact the administrators today",
+             "counter-revolutionaries", "counter revolutionary's", "a" * 15, "a" * 18, "a" * 23, "😀 is no letter", "𐐷𐐷𐐷𐐷𐐷 of five", "𐐷𐐷𐐷𐐷x of five", "x"]
+    for n in (2, 3, 4, 5, 8, 12, 25):
+        for share in (1, 1, 2):  # a letter changed, left out or added in every word or every second one
+            words = [word() + "esta" for _ in range(n)]
+            at = [int(r.integers(0, len(w))) for w in words]
+            lines += [" ".join(words), " ".join(w if i % share else w[:k] + "abc "[int(r.integers(0, 3))] * int(r.integers(0, 2)) + w[k + int(r.integers(0, 2)):] for i, (w, k) in enumerate(zip(words, at)))]
+    rows = [(i, x) for i, x in enumerate(lines)] + [(900, None), (901, "\n".join(lines[::7])), (902, "")]
+    want = lines_by_force(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    query = lambda: {x.doc_id: x.removed for x in llm_queries.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert query() == want and sum(map(len, want.values())) > 15
+    monkeypatch.setattr(line_dedup, "PART_ROWS", 8)  # many parts, each compared with each
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert query() == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    kept = {x.doc_id: x.text for x in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}
+    assert kept == {i: t if t is None or not want[i] else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[i]) for i, t in rows}
+
+
 def test_line_texts_are_stored_once_and_pairs_in_shares(spark, monkeypatch):
     written, plain = [], common.stored
 
